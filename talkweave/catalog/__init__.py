@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingest", "analytics")
+MODULES = ("ingest", "analytics", "text")
 
 
 def entries() -> dict[str, tuple]:

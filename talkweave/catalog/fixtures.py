@@ -27,6 +27,10 @@ select concat('w', right(cast(user_id as string), 1)) as workspace_id,
             when value >= 60 then concat('yaar kya hai ', event_type)
             when value >= 50 then concat('wow 😀🎉 ', event_type, '!')
             when value >= 45 then 'ok'
+            when value >= 42 then 'do you remember the plan kab tha?'
+            when value >= 39 then 'MAC D?'
+            when value >= 37 then '😀 🎉!'
+            when value >= 35 then concat('us din ', event_type)
             else concat(event_type, ' ', props) end as text,
        value < 0.3 as is_system
 from {events}

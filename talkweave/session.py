@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
         builder.config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
