@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingest", "analytics", "text")
+MODULES = ("ingest", "analytics", "text", "search")
 
 
 def entries() -> dict[str, tuple]:

@@ -366,8 +366,8 @@ ENTRIES = {
         + r"""a as (select event_id, message, regexp_extract(raw, '(?s)\{.*\}') as t from raw),
  b as (select event_id, message, case when t <> '' and json_valid(t) then cast(t as json) end as j from a),
  c as (select *, coalesce((j->>'$.needs_history') in ('true', '1'), false) as nh,
-  [trim(q) for q in from_json(coalesce(j->'$.search_queries', '[]'), '["varchar"]') if trim(q) <> ''] as listed from b),
- d as (select *, case when len(listed) > 0 then listed when j->'$.search_queries' is null and coalesce(trim(j->>'$.search_query'), '') <> '' then [trim(j->>'$.search_query')] else [lower(trim(message))] end as qs from c)
+  [trim(q) for q in from_json(coalesce((j->'$.search_queries'), '[]'), '["varchar"]') if trim(q) <> ''] as listed from b),
+ d as (select *, case when len(listed) > 0 then listed when (j->'$.search_queries') is null and coalesce(trim(j->>'$.search_query'), '') <> '' then [trim(j->>'$.search_query')] else [lower(trim(message))] end as qs from c)
  select event_id, nh as needs_history, nh and coalesce((j->>'$.needs_rewrite') in ('true', '1'), false) as needs_rewrite,
   case when nh and lower(trim(j->>'$.query_intent')) in ('current', 'historical', 'neutral') then lower(trim(j->>'$.query_intent')) else 'neutral' end as query_intent,
   case when nh then array_to_string(qs, '|') else '' end as queries from d""",
