@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingest", "analytics", "text", "search")
+MODULES = ("ingest", "analytics", "text", "search", "context", "prompts")
 
 
 def entries() -> dict[str, tuple]:
