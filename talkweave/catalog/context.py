@@ -9,21 +9,21 @@ from talkweave.catalog.analytics import usable
 from talkweave.functions import text as tx
 from talkweave.operators import context as cx
 from talkweave.operators import sampling, voice
+from talkweave.operators.turns import usable_messages
 
 WS = "workspace_id"
 
 
 def line(spark, folder):
-    return cx.timeline(fx.messages_conv(spark, folder), fx.BLOCK)
+    return cx.timeline(usable_messages(fx.messages_conv(spark, folder)), fx.BLOCK)
 
 
 def raw_hits(spark, folder):
-    """Hits of one request per dialogue; hits on system rows carry an id the timeline lacks."""
+    """Hits of one request per dialogue; the timeline lacks the system rows among them."""
     m = fx.messages_conv(spark, folder)
     size = F.length("text")
-    shifted = F.when(F.col("is_system"), F.col("message_id") + 500).otherwise(F.col("message_id"))
     return m.filter(F.col("is_system") | (F.col("sender") == "user") & tx.strip(F.col("text")).rlike(r"[.,]\s")).select(
-        F.col(WS).alias("request_id"), WS, shifted.alias("message_id"), (size / (size + 200.0)).alias("score"),
+        F.col(WS).alias("request_id"), WS, "message_id", (size / (size + 200.0)).alias("score"),
         F.col("sender").alias("speaker"), "ts", tx.snippet(F.col("text")).alias("snippet"),
         F.lit("assistant").alias("target_person"),
     )
@@ -47,14 +47,14 @@ def _windows(spark, folder):
 
 def ev_hits(spark, folder):
     """Hits spread over the long event timelines, so that merging has gaps to find."""
-    m = fx.messages_ev(spark, folder)
+    m = usable(spark, folder)
     return m.filter("text like '%@Purchase%'").select(
         F.col(WS).alias("request_id"), WS, "message_id", (F.length("text") / 100.0).alias("score")
     )
 
 
 def _merged(spark, folder):
-    t = cx.timeline(fx.messages_ev(spark, folder), fx.BLOCK)
+    t = cx.timeline(usable(spark, folder), fx.BLOCK)
     merged = cx.merge_intervals(cx.hit_windows(ev_hits(spark, folder), t), fx.BLOCK)
     return merged.select("request_id", "range_no", "start", "end", F.round("score", 6).alias("score"))
 
@@ -96,7 +96,11 @@ def _monthly(spark, folder):
 
 
 def voice_candidates(spark, folder):
-    return voice.voice_candidates(line(spark, folder), fx.BLOCK)
+    """Candidates from the five-sender chats and from the two-sender dialogues."""
+    chats = cx.timeline(usable(spark, folder), fx.BLOCK).select(WS, "pos", "sender", "text")
+    return voice.voice_candidates(
+        chats.unionByName(line(spark, folder).select(WS, "pos", "sender", "text")), fx.BLOCK
+    )
 
 
 def _candidates(spark, folder):
@@ -126,8 +130,8 @@ def _samples(spark, folder):
     )
 
 
-C = f"with {fx.SQL_MESSAGES_CONV}, line as (select *, row_number() over (partition by workspace_id order by ts, seq) - 1 as pos, count(*) over (partition by workspace_id) as n from messages_conv)"
-RAW = C + rf""", raw as (select workspace_id as request_id, workspace_id, case when is_system then message_id + 500 else message_id end as message_id,
+C = f"with {fx.SQL_MESSAGES_CONV}, line as (select *, row_number() over (partition by workspace_id order by ts, seq) - 1 as pos, count(*) over (partition by workspace_id) as n from messages_conv where not is_system and not " + fx.noise_sql("text") + ")"
+RAW = C + rf""", raw as (select workspace_id as request_id, workspace_id, message_id,
  length(text) / (length(text) + 200.0) as score, sender as speaker, ts, left(text, 500) as snippet from messages_conv
  where is_system or (sender = 'user' and regexp_matches({fx.strip_sql('text')}, '[.,]\s')))"""
 HITS = RAW + """, hits as (select * from (select *, row_number() over (partition by request_id order by score desc, message_id) as rank from raw) z where rank <= 3),
@@ -165,7 +169,9 @@ def _topic_case(col: str) -> str:
     return f"case when list_max([{counts}]) = 0 then 'general' else {names}[list_position([{counts}], list_max([{counts}]))] end"
 
 
-VOICE = C + f""", ln as (select *, {fx.strip_sql('text')} as b, {fx.noise_sql('text')} as noise from line),
+VOICE = C + f""", {fx.SQL_USABLE}, both_lines as (select workspace_id, pos, sender, text from line union all
+ select workspace_id, row_number() over (partition by workspace_id order by ts, seq) - 1, sender, text from usable),
+ ln as (select *, {fx.strip_sql('text')} as b, {fx.noise_sql('text')} as noise from both_lines),
  w as (select a.workspace_id, a.sender as person, a.pos as anchor, m.pos, m.sender, m.b,
    row_number() over (partition by a.workspace_id, a.pos order by m.pos) as i
   from ln a join ln m on m.workspace_id = a.workspace_id and m.pos >= greatest(a.pos - 1, 0) and m.pos < greatest(a.pos - 1, 0) + 10 and not m.noise
@@ -193,7 +199,7 @@ ENTRIES = {
     ),
     "merge_intervals": (
         _merged,
-        f"""with {fx.SQL_MESSAGES_EV}, line as (select *, row_number() over (partition by workspace_id order by ts, seq) - 1 as pos, count(*) over (partition by workspace_id) as n from messages_ev),
+        f"""with {fx.SQL_USABLE}, line as (select *, row_number() over (partition by workspace_id order by ts, seq) - 1 as pos, count(*) over (partition by workspace_id) as n from usable),
  win as (select workspace_id as request_id, greatest(0, pos - 3) as s, least(n, pos + 5) as e, length(text) / 100.0 as score from line where contains(text, '@Purchase')), {merge_sql('win')}
  select request_id, range_no, s as start, e as "end", round(cast(score as double), 6) as score from ranges""",
     ),
@@ -253,17 +259,17 @@ ENTRIES = {
     ),
     "history_tail": (
         _tail,
-        C + " select workspace_id, seq, back from (select *, row_number() over (partition by workspace_id order by seq desc) as back from line) x where back <= 4",
+        C + " select workspace_id, seq, back from (select *, row_number() over (partition by workspace_id order by seq desc) as back from messages_conv) x where back <= 4",
     ),
     "history_budget": (
         _budget,
         C
-        + """, t as (select *, row_number() over (partition by workspace_id order by seq desc) as back from line),
+        + """, t as (select *, row_number() over (partition by workspace_id order by seq desc) as back from messages_conv),
  s as (select *, sum(length(text)) over (partition by workspace_id) as chars from t where back <= 6) select workspace_id, seq from s where chars <= 1500 or back <= 3""",
     ),
     "flatten_dialogue": (
         lambda s, d: cx.flatten_dialogue(fx.messages_conv(s, d), fx.BLOCK).select(WS, "dialogue"),
-        C + " select workspace_id, string_agg(concat(case when sender = 'user' then 'User' else sender end, ': ', text), chr(10) order by seq) as dialogue from line group by 1",
+        C + " select workspace_id, string_agg(concat(case when sender = 'user' then 'User' else sender end, ': ', text), chr(10) order by seq) as dialogue from messages_conv group by 1",
     ),
     "summary_split": (
         _split,
@@ -301,7 +307,7 @@ ENTRIES = {
     "exchange_score": (
         _scores,
         C
-        + f""", p as (select *, seq // 4 as part, {fx.strip_sql('text')} as b from line),
+        + f""", p as (select *, seq // 4 as part, {fx.strip_sql('text')} as b from messages_conv),
  who as (select distinct workspace_id, part, sender from p)
  select w.workspace_id, w.part, w.sender, cast((case when count(*) filter (p.sender = w.sender) >= 2 then 2 else 0 end)
   + count(*) filter (p.sender = w.sender and length(b) > 15) + (case when bool_or(p.sender <> w.sender) then 1 else 0 end)

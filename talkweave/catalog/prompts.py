@@ -124,7 +124,7 @@ ENTRIES = {
         _cap,
         C
         + """, s as (select workspace_id, coalesce(max(case when seq = 0 then length(text) end), 0) as l, coalesce(max(case when seq = 1 then length(text) end), 0) as a,
-  coalesce(max(case when seq = 2 then length(text) end), 0) as w, coalesce(max(case when seq = 3 then length(text) end), 0) as p, coalesce(max(case when seq = 4 then length(text) end), 0) as v from line group by 1),
+  coalesce(max(case when seq = 2 then length(text) end), 0) as w, coalesce(max(case when seq = 3 then length(text) end), 0) as p, coalesce(max(case when seq = 4 then length(text) end), 0) as v from messages_conv group by 1),
  t as (select *, l + a + w + p + v as s0 from s), t1 as (select *, case when s0 > 1200 then s0 - l else s0 end as s1 from t),
  t2 as (select *, case when s1 > 1200 then s1 - a else s1 end as s2 from t1), t3 as (select *, case when s2 > 1200 then s2 - w else s2 end as s3 from t2),
  t4 as (select *, case when s3 > 1200 then s3 - p else s3 end as s4 from t3)
