@@ -340,7 +340,7 @@ ENTRIES = {
  c as (select event_id, case when json_type(j) = 'ARRAY' then j->'$[0]' when json_type(j) = 'OBJECT' then coalesce(j->'$.score', j->'$.relevance', j->'$.value') else j end as j from b),
  d as (select event_id, json_type(j) as t, j->>'$' as s from c),
  e as (select event_id, t, try_cast(trim(rtrim(trim(s), '%')) as double) as x from d)
- select event_id, round(case when t in ('UBIGINT', 'BIGINT', 'DOUBLE') then least(1.0, greatest(0.0, x))
+ select event_id, round(case when x is null then null when t in ('UBIGINT', 'BIGINT', 'DOUBLE') then least(1.0, greatest(0.0, x))
    when t = 'VARCHAR' then least(1.0, greatest(0.0, case when x > 1 and x <= 100 then x / 100 else x end)) end, 6) as score from e""",
     ),
     "parse_rerank": (
@@ -351,7 +351,7 @@ ENTRIES = {
  c as (select event_id, try_cast(j->>'$.id' as bigint) as ordinal, j->'$.score' as s, row_number() over (partition by event_id) as place from b where json_type(j) = 'OBJECT'),
  d as (select event_id, ordinal, place, case when json_type(s) = 'ARRAY' then s->'$[0]' when json_type(s) = 'OBJECT' then s->'$.relevance' else s end as s from c),
  e as (select event_id, ordinal, place, json_type(s) as t, try_cast(rtrim(s->>'$', '%') as double) as x from d),
- f as (select event_id, ordinal, place, least(1.0, greatest(0.0, case when t = 'VARCHAR' and x > 1 and x <= 100 then x / 100 else x end)) as score from e)
+ f as (select event_id, ordinal, place, case when x is not null then least(1.0, greatest(0.0, case when t = 'VARCHAR' and x > 1 and x <= 100 then x / 100 else x end)) end as score from e)
  select event_id, ordinal, round(arg_max(score, place), 6) as score from f where score is not null and ordinal between 1 and 5 group by 1, 2""",
     ),
     "parse_llm_json": (

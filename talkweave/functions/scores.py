@@ -17,7 +17,8 @@ def passes_gate(score: Column, minimum: Column | float) -> Column:
 
 
 def clamp01(score: Column) -> Column:
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
+    """Into [0, 1]; null stays null, which ``least`` and ``greatest`` alone would not keep."""
+    return F.when(score.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
 def adjusted(score: Column, delta: Column) -> Column:

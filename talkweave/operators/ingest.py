@@ -120,52 +120,41 @@ def parse_lines(lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         ["workspace_id"],
         "_blk",
         [F.col("seq")],
-        {"_open": ("max", F.when(F.col("is_header"), F.col("seq")))},
+        {"_open": ("max", F.when(F.col("is_header"), F.struct("seq", "line")))},
+    )
+    head = F.when(F.col("is_header"), F.struct("seq", "line")).otherwise(F.col("_open"))
+    located = located.withColumn("_head", head).filter(F.col("_head").isNotNull())
+    grouped = (
+        located.withColumn("header_seq", F.col("_head.seq"))
+        .withColumn("_part", F.floor((F.col("seq") - F.col("_head.seq")) / block))
+        .groupBy("workspace_id", "header_seq", "_part")
+        .agg(
+            F.min("seq").alias("seq"),
+            F.max("_head.line").alias("raw"),
+            F.max("export_format").alias("export_format"),
+            F.expr("listagg(CASE WHEN NOT is_header THEN line END, '\n') WITHIN GROUP (ORDER BY seq)").alias("_more"),
+        )
     )
-    located = located.withColumn(
-        "header_seq", F.when(F.col("is_header"), F.col("seq")).otherwise(F.col("_open"))
-    ).filter(F.col("header_seq").isNotNull())
-    part = F.floor((F.col("seq") - F.col("header_seq")) / block)
 
     def group(i: int) -> Column:
-        return F.when(
-            F.col("export_format") == "ios", F.regexp_extract("line", IOS, i)
-        ).otherwise(F.regexp_extract("line", ANDROID, i))
-
-    ts = parse_timestamp(*[group(i) for i in range(1, 8)])
-    rest = group(8)
-    named = F.contains(rest, F.lit(": "))
-    fields = F.struct(
-        ts.alias("ts"),
-        F.when(named, strip(F.substring_index(rest, ": ", 1))).otherwise(F.lit("System")).alias("sender"),
-        (~named).alias("is_system"),
-        F.col("line").alias("raw"),
-    )
-    body = F.when(named, F.expr("substring(_rest, instr(_rest, ': ') + 2)")).otherwise(strip(rest))
-    piece = (
-        located.withColumn("_rest", rest)
-        .withColumn("_piece", F.when(F.col("is_header"), body).otherwise(F.col("line")))
-        .withColumn("_fields", F.when(F.col("is_header"), fields))
-        .withColumn("_part", part)
-    )
-    grouped = piece.groupBy("workspace_id", "header_seq", "_part").agg(
-        F.min("seq").alias("seq"),
-        F.max("_fields").alias("_fields"),
-        F.max("export_format").alias("export_format"),
-        F.expr(
-            "listagg(nullif(_piece, ''), '\n') WITHIN GROUP (ORDER BY seq)"
-        ).alias("text"),
-    )
+        return F.when(F.col("export_format") == "ios", F.regexp_extract("raw", IOS, i)).otherwise(
+            F.regexp_extract("raw", ANDROID, i)
+        )
+
+    grouped = grouped.withColumn("ts", parse_timestamp(*[group(i) for i in range(1, 8)])).withColumn("_rest", group(8))
+    named = F.contains("_rest", F.lit(": "))
+    body = F.when(named, F.expr("substring(_rest, instr(_rest, ': ') + 2)")).otherwise(strip(F.col("_rest")))
+    first_line = F.when((F.col("_part") == 0) & (body != ""), body)
     return grouped.select(
         "workspace_id",
         "seq",
         "header_seq",
         "export_format",
-        F.col("_fields.ts").alias("ts"),
-        F.col("_fields.sender").alias("sender"),
-        F.coalesce("text", F.lit("")).alias("text"),
-        F.col("_fields.is_system").alias("is_system"),
-        F.col("_fields.raw").alias("raw"),
+        "ts",
+        F.when(named, strip(F.substring_index("_rest", ": ", 1))).otherwise(F.lit("System")).alias("sender"),
+        F.concat_ws("\n", first_line, F.col("_more")).alias("text"),
+        (~named).alias("is_system"),
+        "raw",
     )
 
 

@@ -41,10 +41,10 @@ def sliding_counts(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
 
 
 def session_counts(messages: DataFrame, gap: str = "30 minutes", lateness: str = "1 day") -> DataFrame:
-    """Sessions closed by 30 quiet minutes.
+    """Sessions closed by more than 30 quiet minutes.
 
     Unlike the batch rule the gap counts from the last message, not from the first of the
-    turn, and a pause of exactly 30 minutes already starts a new session.
+    turn.
     """
     window = F.session_window("event_time", gap).alias("window")
     return _flat(_counts(_timed(messages, lateness).groupBy("workspace_id", window)), "workspace_id")

@@ -13,7 +13,12 @@ from talkweave.sources.tables import write_messages
 
 def stream_exports(spark: SparkSession, folder: str) -> DataFrame:
     """Streaming ``workspace_id, text`` of every export file that appears in ``folder``."""
-    raw = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)
+    raw = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("pathGlobFilter", "*.txt")
+        .load(folder)
+    )
     as_text = F.col("content").cast("string")
     return raw.select(
         F.regexp_extract("path", FILE_NAME, 1).alias("workspace_id"),
