@@ -108,23 +108,22 @@ def candidates(spark, folder):
     return fusion.multi_query_boost(sem, kw, q)
 
 
-def judged(spark, folder):
+def judged(spark, folder, c):
     """Scores a judge gave, read from the labels; unlabelled messages have none."""
     l = fx.table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     given = F.when((F.col("q") == 1) & (F.col("t") == 0), 0.8).when(F.col("q") == 1, 0.5).otherwise(0.1)
-    c = fusion.ranked(candidates(spark, folder))
     return c.join(l, c.message_id == l.doc_id).select("request_id", "ordinal", given.alias("score"))
 
 
 def graded(spark, folder):
     c = fusion.ranked(candidates(spark, folder))
-    top = fusion.apply_rerank(c, judged(spark, folder))
+    top = fusion.apply_rerank(c, judged(spark, folder, c))
     return fusion.passing(top, requests(spark, folder), multi=0.7)
 
 
 def _rerank_apply(spark, folder):
     c = fusion.ranked(candidates(spark, folder))
-    top = fusion.apply_rerank(c, judged(spark, folder))
+    top = fusion.apply_rerank(c, judged(spark, folder, c))
     return rounded(top, "request_id", "message_id", F.col("rank").cast("bigint").alias("rank"))
 
 

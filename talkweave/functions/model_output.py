@@ -6,18 +6,11 @@ default.  JSON is read as VARIANT, which keeps fields whose type changes from ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.functions.scores import clamp01
-from talkweave.functions.text import strip, word_count
-
-
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+from talkweave.functions.text import bind, strip, word_count
 
 
 def _kind(v: Column) -> Column:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters removed from and spaces normalised in an export.
-INVISIBLE = r"[\x{FEFF}\x{200B}\x{200C}\x{200D}\x{200E}\x{200F}\x{202A}-\x{202E}\x{2060}]"
-ODD_SPACES = "[\\x{202F}\\x{00A0}]"
+# Characters removed from an export, and spaces normalised in it.
+INVISIBLE = "\ufeff\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060"
+ODD_SPACES = "\u202f\u00a0"
+BLANKS = " \t\n\x0b\f\r"
 
 # Bodies that carry nothing to read.
 NOISE = (
@@ -63,11 +64,16 @@ CAPITALISED = r"(^|\s)\p{Lu}\p{L}{2,}(\s|$)"
 
 def strip(text: Column) -> Column:
     """Drop white space of every kind at both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(BLANKS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\s+$", "")
+    return F.rtrim(text, F.lit(BLANKS))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use``, however often that reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def word_count(text: Column) -> Column:
@@ -127,15 +133,20 @@ def is_pure_ack(text: Column) -> Column:
 
 def topic_bucket(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS) -> Column:
     """Topic with most keyword hits, the first on a tie, ``general`` without any hit."""
-    low = F.lower(text)
-    counts = F.array(
-        *[sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for words in topics.values()]
-    )
-    best = F.array_max(counts)
     names = F.array(*[F.lit(t) for t in topics])
-    return F.when(best == 0, F.lit("general")).otherwise(
-        F.element_at(names, F.array_position(counts, best).cast("int"))
-    )
+
+    def hits(low: Column) -> Column:
+        return F.array(
+            *[sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)) for words in topics.values()]
+        )
+
+    def best(counts: Column) -> Column:
+        most = F.array_max(counts)
+        return F.when(most == 0, F.lit("general")).otherwise(
+            F.element_at(names, F.array_position(counts, most).cast("int"))
+        )
+
+    return bind(F.lower(text), lambda low: bind(hits(low), best))
 
 
 def normalise(text: Column) -> Column:

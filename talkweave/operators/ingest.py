@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import INVISIBLE, ODD_SPACES, is_noise, rstrip, strip
+from talkweave.functions.text import INVISIBLE, ODD_SPACES, bind, is_noise, rstrip, strip
 from talkweave.plans.ordered import block_of, running_before, top_rows
 from talkweave.schema import BLOCK_ROWS
 
@@ -21,50 +21,67 @@ TIME = r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([APMapm]{2})?"
 DATE = r"(\d{1,2})/(\d{1,2})/(\d{2,4})"
 ANDROID = "^" + DATE + r",\s+" + TIME + r"\s+-\s+(.+)$"
 IOS = r"^\[" + DATE + r",\s+" + TIME + r"\]\s+(.+)$"
+SEPARATOR = "\x1f"
 STARTS_LIKE_HEADER = r"^\[?\d{1,2}/\d{1,2}/\d{2,4},\s+\d{1,2}:\d{2}"
 
 
 def clean_characters(text: Column) -> Column:
-    """Line ends to LF, invisible characters out, odd spaces to plain spaces."""
-    text = F.regexp_replace(text, "\r\n?", "\n")
-    return F.regexp_replace(F.regexp_replace(text, INVISIBLE, ""), ODD_SPACES, " ")
+    """Line ends to LF, odd spaces to plain spaces, invisible characters out."""
+    text = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.translate(text, ODD_SPACES + INVISIBLE, " " * len(ODD_SPACES))
 
 
 def clean_line(line: Column) -> Column:
-    """Trailing space and edit marker dropped, a deleted body replaced by a tag."""
-    bare = F.regexp_replace(rstrip(line), EDITED, "")
-    last = F.substring_index(bare, ": ", -1)
-    head = F.left(bare, F.length(bare) - F.length(last))
-    in_header = line.rlike(STARTS_LIKE_HEADER)
-    deleted_after_name = in_header & F.contains(bare, F.lit(": ")) & strip(last).rlike(DELETED_BODY)
-    return (
-        F.when(deleted_after_name, F.concat(head, F.lit(DELETED_TAG)))
-        .when(~in_header & strip(bare).rlike(DELETED_BODY), DELETED_TAG)
-        .otherwise(bare)
-    )
+    """Trailing space and edit marker dropped, a deleted body replaced by a tag.
+
+    Few lines hold a marker, so a plain search decides whether a pattern runs at all.
+    """
+
+    def without_marker(x: Column) -> Column:
+        marked = F.contains(F.lower(x), F.lit("<this message was edited>"))
+        return F.when(marked, F.regexp_replace(x, EDITED, "")).otherwise(x)
+
+    def tagged(bare: Column) -> Column:
+        last = F.substring_index(bare, ": ", -1)
+        head = F.left(bare, F.length(bare) - F.length(last))
+        in_header = bare.rlike(STARTS_LIKE_HEADER)
+        named = in_header & F.contains(bare, F.lit(": ")) & strip(last).rlike(DELETED_BODY)
+        return (
+            F.when(~F.contains(F.lower(bare), F.lit("this message was deleted")), bare)
+            .when(named, F.concat(head, F.lit(DELETED_TAG)))
+            .when(~in_header & strip(bare).rlike(DELETED_BODY), DELETED_TAG)
+            .otherwise(bare)
+        )
+
+    return bind(bind(rstrip(line), without_marker), tagged)
 
 
 def clean_text(text: Column) -> Column:
     """A whole export text cleaned; blank lines go once a message has begun."""
-    cleaned = F.transform(F.split(clean_characters(text), "\n"), clean_line)
-    blank = F.transform(F.split(clean_characters(text), "\n"), lambda x: rstrip(x) == "")
-    first = F.array_position(blank, False)
-    kept = F.filter(
-        F.arrays_zip(cleaned.alias("line"), blank.alias("blank")),
-        lambda x, i: ~x["blank"] | (first == 0) | (i < first - 1),
-    )
-    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+
+    def kept(lines: Column) -> Column:
+        first = F.array_position(F.transform(lines, lambda x: x == ""), False)
+        return bind(first, lambda at: F.filter(lines, lambda x, i: (x != "") | (at == 0) | (i < at - 1)))
+
+    bare = F.transform(F.split(clean_characters(text), "\n"), rstrip)
+    return F.array_join(F.transform(bind(bare, kept), clean_line), "\n")
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
     """Cleaned non-blank lines with ``seq`` untouched."""
-    tidy = lines.withColumn("line", clean_line(clean_characters(F.col("line"))))
-    return tidy.filter(F.col("line") != "")
+    return visible_lines(lines).withColumn("line", clean_line(clean_characters(F.col("line"))))
+
+
+def visible_lines(lines: DataFrame) -> DataFrame:
+    """Lines that show something: a test cheap enough to run before cleaning."""
+    shown = F.translate("line", ODD_SPACES + INVISIBLE, " " * len(ODD_SPACES))
+    return lines.filter(strip(shown) != "")
 
 
 def detect_format(lines: DataFrame) -> DataFrame:
     """``workspace_id, export_format`` from the first 40 lines; ``android`` when none fits."""
-    head = top_rows(lines, ["workspace_id"], [F.col("seq")], 40)
+    head = top_rows(visible_lines(lines), ["workspace_id"], [F.col("seq")], 40)
+    head = head.withColumn("line", clean_line(clean_characters(F.col("line"))))
     kind = F.when(F.col("line").rlike(IOS), "ios").when(F.col("line").rlike(ANDROID), "android")
     return (
         head.withColumn("kind", kind)
@@ -104,13 +121,13 @@ def parse_timestamp(d1: Column, d2: Column, year: Column, h: Column, m: Column,
     return F.when(allowed, F.coalesce(at(d1, d2), at(d2, d1)))
 
 
-def parse_lines(lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Messages of cleaned lines, header problems included (their ``ts`` is null).
+def parse_lines(raw_lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """Messages of raw lines, header problems included (their ``ts`` is null).
 
     ``seq`` is the number of the header line.  A message of more than ``block`` lines comes
     as several rows, each with its own ``seq``.
     """
-    marked = lines.join(detect_format(lines), "workspace_id")
+    marked = clean_lines(raw_lines).join(detect_format(raw_lines), "workspace_id")
     pattern_hit = F.when(F.col("export_format") == "ios", F.col("line").rlike(IOS)).otherwise(
         F.col("line").rlike(ANDROID)
     )
@@ -132,16 +149,18 @@ def parse_lines(lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
             F.min("seq").alias("seq"),
             F.max("_head.line").alias("raw"),
             F.max("export_format").alias("export_format"),
-            F.expr("listagg(CASE WHEN NOT is_header THEN line END, '\n') WITHIN GROUP (ORDER BY seq)").alias("_more"),
+            F.expr("listagg(CASE WHEN NOT is_header THEN nullif(line, '') END, '\n') WITHIN GROUP (ORDER BY seq)").alias("_more"),
         )
     )
 
-    def group(i: int) -> Column:
-        return F.when(F.col("export_format") == "ios", F.regexp_extract("raw", IOS, i)).otherwise(
-            F.regexp_extract("raw", ANDROID, i)
-        )
-
-    grouped = grouped.withColumn("ts", parse_timestamp(*[group(i) for i in range(1, 8)])).withColumn("_rest", group(8))
+    # One match per message: the groups come back joined and are split again.
+    groups = SEPARATOR.join(f"${i}" for i in range(1, 9))
+    fields = F.when(F.col("export_format") == "ios", F.regexp_replace("raw", IOS, groups)).otherwise(
+        F.regexp_replace("raw", ANDROID, groups)
+    )
+    grouped = grouped.withColumn("_f", F.split(fields, SEPARATOR, 8))
+    grouped = grouped.withColumn("ts", parse_timestamp(*[F.col("_f")[i] for i in range(7)]))
+    grouped = grouped.withColumn("_rest", F.col("_f")[7])
     named = F.contains("_rest", F.lit(": "))
     body = F.when(named, F.expr("substring(_rest, instr(_rest, ': ') + 2)")).otherwise(strip(F.col("_rest")))
     first_line = F.when((F.col("_part") == 0) & (body != ""), body)
@@ -171,7 +190,7 @@ def with_message_id(messages: DataFrame) -> DataFrame:
 
 def parse_exports(lines: DataFrame, block: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(messages, rejects)`` of raw lines; a header whose date fits no format is a reject."""
-    parsed = parse_lines(clean_lines(lines), block)
+    parsed = parse_lines(lines, block)
     columns = ("workspace_id", "seq", "message_id", "ts", "sender", "text", "is_system")
     messages = with_message_id(parsed.filter(F.col("ts").isNotNull())).select(*columns)
     rejects = parsed.filter(F.col("ts").isNull()).select("workspace_id", "seq", "raw")

@@ -143,32 +143,40 @@ def _bm25_packed(token_table, corpus, wanted, stats, k, id_type) -> DataFrame:
     shared = spark.sparkContext.broadcast((workspaces, vocab, weights, avgdl, member, scope))
     rows_at_once = max(1, 4_000_000 // len(vocab))
 
-    def score(batch: pa.RecordBatch) -> np.ndarray:
+    def score(batch: pa.RecordBatch):
         workspaces_, vocab_, weights_, avgdl_, member_, scope_ = shared.value
         lists = batch.column("terms")
-        ws = pc.index_in(batch.column("workspace_id"), value_set=pa.array(workspaces_)).to_numpy(zero_copy_only=False)
-        ws = np.nan_to_num(ws, nan=-1).astype(int)
-        dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(float)
-        flat = pc.index_in(lists.flatten(), value_set=pa.array(vocab_)).to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(dl)), dl.astype(int))
-        known = ~np.isnan(flat) if flat.dtype.kind == "f" else np.ones(len(flat), bool)
-        row, term = row[known], flat[known].astype(int)
-        out = np.empty((len(dl), member_.shape[1]))
+        ws = codes(batch.column("workspace_id"), workspaces_)
+        dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = codes(lists.flatten(), vocab_)
+        row = np.repeat(np.arange(len(dl)), dl)
+        row, term = row[flat >= 0], flat[flat >= 0]
         v = len(vocab_)
-        for lo in range(0, len(dl), rows_at_once):
-            hi = min(lo + rows_at_once, len(dl))
-            inside = (row >= lo) & (row < hi)
-            tf = np.bincount((row[inside] - lo) * v + term[inside], minlength=(hi - lo) * v).reshape(hi - lo, v).astype(float)
-            norm = K1 * (1 - B + B * dl[lo:hi] / avgdl_[ws[lo:hi]])
-            part = weights_[ws[lo:hi]] * tf * (K1 + 1) / np.maximum(tf + norm[:, None], 1e-9)
-            out[lo:hi] = part @ member_
-        out[ws[:, None] != scope_[None, :]] = -np.inf
-        return out
+        for w in np.unique(ws[ws >= 0]):
+            asked = np.flatnonzero(scope_ == w)
+            inside = ws == w
+            mine = inside[row]
+            here = np.flatnonzero(inside)
+            place = np.cumsum(inside) - 1
+            r, t = place[row[mine]], term[mine]
+            for lo in range(0, len(here), rows_at_once):
+                hi = min(lo + rows_at_once, len(here))
+                cut = (r >= lo) & (r < hi)
+                tf = np.bincount((r[cut] - lo) * v + t[cut], minlength=(hi - lo) * v).reshape(hi - lo, v).astype(float)
+                norm = K1 * (1 - B + B * dl[here[lo:hi]] / avgdl_[w])
+                part = weights_[w] * tf * (K1 + 1) / np.maximum(tf + norm[:, None], 1e-9)
+                yield part @ member_[:, asked], here[lo:hi], asked
 
     rows = token_table.select("message_id", "workspace_id", "terms")
     return local_topk(rows, score, arrow_ids([r.query_id for r in wanted]), schema, k, minimum=0.0)
 
 
+def codes(values: pa.Array, known: list) -> np.ndarray:
+    """Index of each value in ``known``, -1 where it is not there."""
+    found = pc.fill_null(pc.index_in(values, value_set=pa.array(known)), -1)
+    return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def bm25_join(token_table: DataFrame, terms: DataFrame, k: int) -> DataFrame:
     """BM25 for request sets too large to pack: postings joined with query terms.
 
@@ -220,9 +228,13 @@ def cosine_topk(
     scopes = np.array([r._scope for r in small])
     shared = vectors.sparkSession.sparkContext.broadcast((matrix, scopes))
 
-    def score(batch: pa.RecordBatch) -> np.ndarray:
+    def score(batch: pa.RecordBatch):
         matrix_, scopes_ = shared.value
-        return _scores(batch.column("embedding"), batch.column("_scope").to_numpy(), matrix_, scopes_)
+        units = _units(batch.column("embedding"), matrix_.shape[1])
+        row_scope = batch.column("_scope").to_numpy()
+        for code in np.intersect1d(row_scope, scopes_):
+            here, wanted = np.flatnonzero(row_scope == code), np.flatnonzero(scopes_ == code)
+            yield units[here] @ matrix_[wanted].T, here, wanted
 
     wide = rows.filter(F.size("embedding") == matrix.shape[1])
     return local_topk(wide, score, arrow_ids([r.query_id for r in small]), schema, k)
@@ -233,11 +245,9 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _scores(lists: pa.Array, row_scope: np.ndarray, matrix: np.ndarray, scopes: np.ndarray) -> np.ndarray:
+def _units(lists: pa.Array, dims: int) -> np.ndarray:
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = _unit(flat.reshape(len(lists), matrix.shape[1])) @ matrix.T
-    out[row_scope[:, None] != scopes[None, :]] = -np.inf
-    return out
+    return _unit(flat.reshape(len(lists), dims))
 
 
 def _cosine_cells(rows: DataFrame, asked: DataFrame, schema: str, k: int) -> DataFrame:
@@ -280,10 +290,10 @@ def _cosine_cells(rows: DataFrame, asked: DataFrame, schema: str, k: int) -> Dat
         ids = a["message_id"].to_numpy()
         if ids.dtype == object:
             ids = ids.astype(str)
-        zeros = np.zeros(b.num_rows)
+        every = np.arange(b.num_rows)
         for lo in range(0, a.num_rows, 8192):
             piece = a["embedding"].slice(lo, 8192).combine_chunks()
-            best.add(_scores(piece, np.zeros(len(piece)), matrix, zeros), ids[lo : lo + 8192])
+            best.add(_units(piece, matrix.shape[1]) @ matrix.T, ids[lo : lo + 8192], every)
         out = best.batch(b["query_id"].combine_chunks(), a["message_id"].type)
         return empty if out is None else pa.Table.from_batches([out])
 

@@ -27,7 +27,7 @@ def number_turns(
     block: int = BLOCK_ROWS,
     split_after_seconds: int | None = None,
 ) -> DataFrame:
-    """Add ``turn_no`` (0-based per workspace, in file order) to every message.
+    """Add ``turn_no`` and the dense ``pos`` (both 0-based, in file order) to every message.
 
     Rows are shuffled once, by workspace and block of ``seq``.  Whether a block opens a new
     turn depends on the last row of the block before it, which a table with one row per
@@ -54,7 +54,9 @@ def number_turns(
     rows = rows.withColumn(
         "_local", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
+    rows = rows.withColumn("_rn", F.row_number().over(inside) - 1)
     edges = rows.groupBy("workspace_id", "_blk").agg(
+        F.count(F.lit(1)).alias("rows"),
         F.min_by(F.struct("sender", "ts"), "seq").alias("head"),
         F.max_by(F.struct("sender", "ts"), "seq").alias("tail"),
         F.sum("_new").alias("inner_starts"),
@@ -71,12 +73,19 @@ def number_turns(
             .cast("bigint"),
         )
         .withColumn("_upto", F.sum(F.col("inner_starts") + F.col("opens")).over(across))
-        .select("workspace_id", "_blk", (F.col("_upto") - F.col("inner_starts")).alias("_base"))
+        .withColumn("_seen", F.sum("rows").over(across))
+        .select(
+            "workspace_id",
+            "_blk",
+            (F.col("_upto") - F.col("inner_starts")).alias("_base"),
+            (F.col("_seen") - F.col("rows")).alias("_first"),
+        )
     )
     return (
         rows.join(edges, ["workspace_id", "_blk"])
         .withColumn("turn_no", (F.col("_base") + F.col("_local")).cast("bigint"))
-        .drop("_new", "_local", "_base", "_blk")
+        .withColumn("pos", (F.col("_first") + F.col("_rn")).cast("bigint"))
+        .drop("_new", "_local", "_base", "_blk", "_rn", "_first")
     )
 
 
@@ -126,8 +135,7 @@ def mentions(messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS) ->
     """
     ahead = 12
     numbered = number_turns(messages.select("workspace_id", "seq", "sender", "ts", "text"), block)
-    dense = _dense(numbered, block)
-    rows = with_neighbours(dense, "pos", 0, ahead, block)
+    rows = with_neighbours(numbered, "pos", 0, ahead, block)
     w = Window.partitionBy("workspace_id", "_blk").orderBy("pos").rowsBetween(1, ahead)
     same_turn = F.collect_list(F.struct("turn_no", "text")).over(w)
     rows = (
@@ -170,12 +178,6 @@ def mentions(messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS) ->
     )
 
 
-def _dense(numbered: DataFrame, block: int) -> DataFrame:
-    from talkweave.plans.ordered import dense_position, seq_levels
-
-    return dense_position(numbered, ["workspace_id"], [F.col("seq")], seq_levels("seq", block))
-
-
 def turn_events(turn_table: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """Classify each turn against the one before it.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import is_noise, is_pure_ack, jaccard, strip, topic_bucket, word_count
+from talkweave.functions.text import bind, is_noise, is_pure_ack, strip, topic_bucket, word_count
 from talkweave.plans.ordered import with_neighbours
 from talkweave.schema import BLOCK_ROWS
 from talkweave.session import checkpoint_folder
@@ -47,13 +47,16 @@ def voice_candidates(line: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         ended = F.struct(state["senders"].alias("senders"), state["said"].alias("said"), F.lit(True).alias("done"))
         return F.when(row["text"].isNull(), state).when(stop, ended).otherwise(taken)
 
-    readable = F.slice("_rows", 1, 10)
-    found = anchors.withColumn("exchange", F.aggregate(readable, start, step, lambda s: s["said"])).drop("_rows")
-    mine = F.filter("exchange", lambda m: m["sender"] == F.col("sender"))
-    both = (F.size(mine) > 0) & (F.size(mine) < F.size("exchange"))
-    wordy = F.forall("exchange", lambda m: word_count(m["text"]) > 1)
-    says = F.exists(mine, lambda m: (F.length(m["text"]) > 10) & ~is_pure_ack(m["text"]))
-    kept = found.filter(both & wordy & says)
+    def is_sample(exchange: Column) -> Column:
+        mine = F.filter(exchange, lambda m: m["sender"] == F.col("sender"))
+        both = (F.size(mine) > 0) & (F.size(mine) < F.size(exchange))
+        wordy = F.forall(exchange, lambda m: word_count(m["text"]) > 1)
+        says = F.exists(mine, lambda m: (F.length(m["text"]) > 10) & ~is_pure_ack(m["text"]))
+        return both & wordy & says
+
+    # Exploding a list of none or one builds the exchange once; a filter would rebuild it.
+    folded = F.aggregate(F.slice("_rows", 1, 10), start, step, lambda s: s["said"])
+    kept = anchors.select(*PERSON, "pos", F.explode(F.filter(F.array(folded), is_sample)).alias("exchange"))
     all_text = F.array_join(F.transform("exchange", lambda m: F.lower(m["text"])), " ")
     return kept.select(
         *PERSON, "pos", "exchange",
@@ -77,11 +80,14 @@ def exchange_score(exchange: Column, person: Column) -> Column:
 
 
 def _texts(exchange: Column) -> Column:
-    return F.transform(exchange, lambda m: m["text"])
+    return F.sort_array(F.array_distinct(F.transform(exchange, lambda m: m["text"])))
 
 
 def _alike(a: Column, b: Column) -> Column:
-    return jaccard(_texts(a), _texts(b)) > SAME
+    """More than 60 % of the texts in common, for two sets of distinct texts."""
+    return bind(
+        F.size(F.array_intersect(a, b)), lambda both: both > SAME * (F.size(a) + F.size(b) - both)
+    )
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -99,31 +105,39 @@ def voice_samples(candidates: DataFrame, at_least: int = 5, at_most: int = 8) ->
     A round is one aggregation with one row per person and task, so a person with most of
     the candidates is no bottleneck.
     """
-    best = candidates.groupBy(*PERSON, "topic").agg(
-        F.max_by(F.struct("exchange", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("best"),
-        F.min("pos").alias("first_pos"),
+    # Exchanges of equal texts shut each other out, so only the best of them can be picked.
+    pool = (
+        candidates.groupBy(*PERSON, "topic", _texts(F.col("exchange")).alias("texts"))
+        .agg(
+            F.max_by(F.struct("exchange", "score", "pos"), F.struct(F.col("score"), -F.col("pos"))).alias("_b"),
+            F.min("pos").alias("first_pos"),
+        )
+        .select(*PERSON, "topic", "texts", "first_pos", "_b.exchange", "_b.score", "_b.pos")
+    )
+    best = pool.groupBy(*PERSON, "topic").agg(
+        F.max_by(F.struct("exchange", "texts", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("best"),
+        F.min("first_pos").alias("first_pos"),
     )
     ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("best.score")).alias("down"), "first_pos", F.col("best.exchange").alias("exchange")))
+        F.collect_list(F.struct((-F.col("best.score")).alias("down"), "first_pos", "best.exchange", "best.texts"))
+    )
+    empty = F.array().cast(
+        "array<struct<exchange:array<struct<sender:string,text:string>>,texts:array<string>,score:bigint>>"
     )
-    empty = F.array().cast("array<struct<exchange:array<struct<sender:string,text:string>>,score:bigint>>")
 
     def keep(acc: Column, item: Column) -> Column:
-        copy = F.exists(acc, lambda k: _alike(k["exchange"], item["exchange"]))
-        entry = F.struct(item["exchange"].alias("exchange"), (-item["down"]).alias("score"))
+        copy = F.exists(acc, lambda k: _alike(k["texts"], item["texts"]))
+        entry = F.struct(item["exchange"].alias("exchange"), item["texts"].alias("texts"), (-item["down"]).alias("score"))
         return F.when(copy, acc).otherwise(F.array_append(acc, entry))
 
     kept = best.groupBy(*PERSON).agg(F.aggregate(ordered, empty, keep).alias("samples"))
-    pool = candidates.select(*PERSON, "pos", "exchange", "score")
     for _ in range(at_least - 1):
         short = kept.filter(F.size("samples") < at_least)
-        fresh = pool.join(short, PERSON).filter(
-            ~F.exists("samples", lambda k: _alike(k["exchange"], F.col("exchange")))
-        )
+        fresh = pool.join(short, PERSON).filter(~F.exists("samples", lambda k: _alike(k["texts"], F.col("texts"))))
         added = fresh.groupBy(*PERSON).agg(
-            F.max_by("exchange", F.struct(F.col("score"), -F.col("pos"))).alias("_next")
+            F.max_by(F.struct("exchange", "texts"), F.struct(F.col("score"), -F.col("pos"))).alias("_next")
         )
-        extra = F.struct(F.col("_next").alias("exchange"), F.lit(0).cast("bigint").alias("score"))
+        extra = F.struct("_next.exchange", "_next.texts", F.lit(0).cast("bigint").alias("score"))
         kept = kept.join(added, PERSON, "left").select(
             *PERSON,
             F.when(F.col("_next").isNull(), F.col("samples"))

@@ -37,12 +37,12 @@ class BestRows:
         self.scores: list[np.ndarray] = [np.empty(0)] * requests
         self.ids: list[np.ndarray | None] = [None] * requests
 
-    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
-        """``scores`` is rows x requests with -inf where a row is out of scope."""
+    def add(self, scores: np.ndarray, ids: np.ndarray, requests: np.ndarray) -> None:
+        """``scores`` is rows x requests; ``requests`` numbers its columns."""
         scores = np.round(scores, SCORE_DIGITS)
         floor = -np.inf if self.minimum is None else self.minimum
-        for q in range(scores.shape[1]):
-            column = scores[:, q]
+        for at, q in enumerate(requests):
+            column = scores[:, at]
             full = len(self.scores[q]) >= self.k
             bar = max(floor, self.scores[q][-1]) if full else floor
             hit = np.flatnonzero((column >= bar) & (column > floor))
@@ -70,13 +70,16 @@ class BestRows:
 
 def local_topk(
     rows: DataFrame,
-    score: Callable[[pa.RecordBatch], np.ndarray],
+    score: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]],
     request_ids: pa.Array,
     schema: str,
     k: int,
     minimum: float | None = None,
 ) -> DataFrame:
-    """Top ``k`` per request of every partition, then of the whole table."""
+    """Top ``k`` per request of every partition, then of the whole table.
+
+    ``score`` yields ``(scores, rows, requests)`` for the pieces of a batch that share a scope.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = BestRows(len(request_ids), k, minimum)
@@ -89,7 +92,8 @@ def local_topk(
             ids = column.to_numpy(zero_copy_only=False)
             if id_type in (pa.string(), pa.large_string()):
                 ids = ids.astype(str)
-            best.add(score(batch), ids)
+            for scores, rows_, requests in score(batch):
+                best.add(scores, ids[rows_], requests)
         out = None if id_type is None else best.batch(request_ids, id_type)
         if out is not None:
             yield out
