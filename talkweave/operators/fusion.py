@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions.scores import adjusted, dual_gate, passes_gate, recency_delta
@@ -55,8 +55,9 @@ def multi_query_boost(semantic: DataFrame, keyword: DataFrame, queries: DataFram
 
 def ranked(hits: DataFrame, part: str = "request_id", k: int | None = None, rank: str = "ordinal") -> DataFrame:
     """Ordinals from 1 by score; ``k`` keeps the first ones."""
-    out = top_rows(hits, [part], best_first(part), k or (1 << 30), rank)
-    return out.withColumn(rank, F.col(rank).cast("bigint"))
+    number = F.row_number().over(Window.partitionBy(part).orderBy(*best_first(part)))
+    out = hits.withColumn(rank, number.cast("bigint"))
+    return out.filter(F.col(rank) <= k) if k else out
 
 
 def weak_pass(

@@ -30,11 +30,12 @@ from talkweave.plans.ordered import top_rows
 
 K1 = 1.5
 B = 0.75
-# Query terms times workspaces whose statistics a task may hold.
+# Rows of term statistics, and numbers per matrix, that a task may hold.
 PACKED_TERMS = 200_000
-# Cells of the large-request path: requests and rows per cell.
+PACKED_NUMBERS = 20_000_000
+# Cells of the large-request path: requests and embedding values per cell.
 CELL_REQUESTS = 2048
-CELL_ROWS = 1 << 18
+CELL_VALUES = 1 << 25
 
 
 def unit_vector(v: Column) -> Column:
@@ -114,11 +115,17 @@ def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     if wanted is not None and sum(len(r.terms) for r in wanted) <= PACKED_TERMS:
         vocabulary = terms.select("workspace_id", "term").distinct()
         stats = packed(term_stats(token_table, vocabulary).select("workspace_id", "term", "idf", "avgdl"), PACKED_TERMS)
-        if stats is not None:
+        if stats is not None and _fits(wanted, stats):
             return _bm25_packed(token_table, corpus, wanted, stats, k, ddl(queries.schema["query_id"]))
     return bm25_join(token_table, terms, k)
 
 
+def _fits(wanted: list, stats: list) -> bool:
+    """Both matrices of the packed search stay within their bound."""
+    vocab, workspaces = len({r.term for r in stats}), len({r.workspace_id for r in stats})
+    return vocab * max(len(wanted), workspaces) <= PACKED_NUMBERS
+
+
 def _bm25_packed(token_table, corpus, wanted, stats, k, id_type) -> DataFrame:
     schema = f"query_id {id_type}, message_id {ddl(corpus.schema['message_id'])}, score double"
     spark = corpus.sparkSession
@@ -253,15 +260,19 @@ def _units(lists: pa.Array, dims: int) -> np.ndarray:
 def _cosine_cells(rows: DataFrame, asked: DataFrame, schema: str, k: int) -> DataFrame:
     """Requests beyond the packed bound: each scope becomes a grid of bounded cells.
 
-    A scope with R rows and Q requests has ``R / CELL_ROWS x Q / CELL_REQUESTS`` cells; a
-    cell multiplies its two blocks and emits ``k`` rows per request, never its pairs.
+    The rows of a scope are cut so that a cell holds at most ``CELL_VALUES`` numbers, its
+    requests into runs of ``CELL_REQUESTS``; a cell multiplies its two blocks and emits
+    ``k`` rows per request, never its pairs.
     """
+    dims = asked.select(F.size("embedding")).first()[0]
+    rows, asked = (df.filter(F.size("embedding") == dims) for df in (rows, asked))
+    cell_rows = max(1, CELL_VALUES // dims)
     grid = (
         rows.groupBy("_scope").agg(F.count(F.lit(1)).alias("_r"))
         .join(asked.groupBy("_scope").agg(F.count(F.lit(1)).alias("_q")), "_scope")
         .select(
             "_scope",
-            F.ceil(F.col("_r") / CELL_ROWS).alias("_rb"),
+            F.ceil(F.col("_r") / cell_rows).alias("_rb"),
             F.ceil(F.col("_q") / CELL_REQUESTS).alias("_qb"),
         )
     )

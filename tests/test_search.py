@@ -39,11 +39,13 @@ def brute_bm25(rows, ws, query, k):
     return sorted(scores, key=lambda x: (-x[0], x[1]))[:k]
 
 
-@pytest.mark.parametrize("path", ["packed", "joined"])
-def test_bm25(spark, docs, path):
+@pytest.mark.parametrize("path", ["packed", "joined", "too large"])
+def test_bm25(spark, docs, path, monkeypatch):
     rows, df = docs
     q = spark.createDataFrame(QUERIES, "query_id string, workspace_id string, text string")
-    if path == "packed":
+    if path == "too large":
+        monkeypatch.setattr(search, "PACKED_NUMBERS", 3)
+    if path != "joined":
         found = search.bm25_topk(df, q, 7)
     else:
         found = search.bm25_join(search.tokenised(df), search.query_terms(q), 7)
@@ -98,7 +100,7 @@ def test_cosine(vecs, person, path, monkeypatch):
     if path == "cells":
         monkeypatch.setattr(search, "PACKED_REQUESTS", 1)
         monkeypatch.setattr(search, "CELL_REQUESTS", 2)
-        monkeypatch.setattr(search, "CELL_ROWS", 30)
+        monkeypatch.setattr(search, "CELL_VALUES", 30 * 6)
     scope = ["workspace_id", "person_id"] if person else ["workspace_id"]
     got = {}
     for r in search.cosine_topk(v, q, 9, scope).orderBy("rank").collect():
