@@ -20,11 +20,11 @@ from talkweave.catalog import entries  # noqa: E402
 from talkweave.session import local_session  # noqa: E402
 
 HEADLINE = (
-    "parse_roundtrip", "turns", "turn_events", "mention_attribution", "pair_stats", "connection_score",
-    "person_scorecard", "group_scorecard", "weekly_series", "heatmap_dense", "style_profile", "tokenize",
-    "topic_bucket", "chunk_density", "route_messages", "bm25_index", "bm25_topk", "cosine_topk", "hybrid_merge",
-    "fast_retrieve", "qa_verdict", "timeline_positions", "context_blocks", "merge_intervals", "paired_exchanges",
-    "recency_sample", "monthly_samples", "voice_samples", "token_chunks", "prompt_rows", "parse_rerank",
+    "parse_roundtrip", "turn_events", "mention_attribution", "connection_score", "person_scorecard",
+    "group_scorecard", "weekly_series", "style_profile", "topic_bucket", "route_messages", "bm25_index",
+    "bm25_topk", "cosine_topk", "hybrid_merge", "fast_retrieve", "qa_verdict", "timeline_positions",
+    "context_blocks", "merge_intervals", "paired_exchanges", "recency_sample", "monthly_samples",
+    "voice_candidates", "token_chunks", "prompt_rows", "parse_rerank",
 )
 
 

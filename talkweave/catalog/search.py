@@ -34,12 +34,14 @@ def vectors(spark, folder):
 def requests(spark, folder):
     b, e = fx.table(spark, folder, "benchmark"), fx.table(spark, folder, "embeddings")
     label = F.col("label").cast("bigint")
+    # Half of the requests ask about the person whose vectors they resemble, half about another.
+    person = F.when(label < 5, label).otherwise(9 - label)
     return b.join(e, b.item_id == e.vec_id).select(
         label.alias("request_id"),
         F.col("item_id").alias("query_id"),
         F.lit("all").alias("workspace_id"),
-        (9 - label).alias("person_id"),
-        F.concat(F.lit("src"), (9 - label).cast("string")).alias("speaker"),
+        person.alias("person_id"),
+        F.concat(F.lit("src"), person.cast("string")).alias("speaker"),
         F.when(label < 3, "current").when(label < 6, "historical").otherwise("neutral").alias("intent"),
         "text",
         "embedding",
@@ -52,8 +54,12 @@ def rounded(df, *columns):
 
 def _bm25_index(spark, folder):
     tokens = search.tokenised(fx.corpus(spark, folder))
-    stats = search.term_stats(tokens).select("workspace_id", "term", "df", F.round("idf", 6).alias("idf"))
-    return search.postings(tokens).join(stats, ["workspace_id", "term"])
+    index = search.postings(tokens)
+    stats = search.posting_stats(index).join(search.corpus_stats(tokens), "workspace_id")
+    stats = stats.select(
+        "workspace_id", "term", "df", F.round(search.idf(F.col("docs"), F.col("df")), 6).alias("idf")
+    )
+    return index.join(stats, ["workspace_id", "term"])
 
 
 def _bm25(spark, folder):
@@ -116,9 +122,10 @@ def judged(spark, folder, c):
 
 
 def graded(spark, folder):
+    # Messages without a judgement keep their keyword score, so the grade is on that scale.
     c = fusion.ranked(candidates(spark, folder))
     top = fusion.apply_rerank(c, judged(spark, folder, c))
-    return fusion.passing(top, requests(spark, folder), multi=0.7)
+    return fusion.passing(top, requests(spark, folder), multi=120.0)
 
 
 def _rerank_apply(spark, folder):
@@ -192,8 +199,8 @@ def _hash_embed(spark, folder):
     )
 
 
-REQ = """req as (select cast(e.label as bigint) as request_id, b.item_id as query_id, cast(9 - e.label as bigint) as person_id,
- concat('src', 9 - e.label) as speaker, case when e.label < 3 then 'current' when e.label < 6 then 'historical' else 'neutral' end as intent,
+REQ = """req as (select cast(e.label as bigint) as request_id, b.item_id as query_id, cast(case when e.label < 5 then e.label else 9 - e.label end as bigint) as person_id,
+ concat('src', case when e.label < 5 then e.label else 9 - e.label end) as speaker, case when e.label < 3 then 'current' when e.label < 6 then 'historical' else 'neutral' end as intent,
  b.text, e.embedding from benchmark b join embeddings e on e.vec_id = b.item_id)"""
 
 COS = "round(list_cosine_similarity([cast(x as double) for x in q.embedding], [cast(x as double) for x in v.embedding]), 9)"
@@ -234,7 +241,7 @@ GRADED = CAND + """, lab as (select doc_id, max(quality) as q, max(toxic) as t f
   from ordc o left join lab l on l.doc_id = o.message_id),
  top8 as (select * from (select *, row_number() over (partition by request_id order by score desc, ordinal) as rank from rr) z where rank <= 8),
  nq as (select request_id, count(*) as n from req group by 1),
- graded as (select t.*, t.score >= case when n > 1 then 0.7 else 0.6 end as passes from top8 t join nq using (request_id)),
+ graded as (select t.*, t.score >= case when n > 1 then 120.0 else 0.6 end as passes from top8 t join nq using (request_id)),
  verdict as (select request_id, count(*) filter (passes) as passing, case when count(*) filter (passes) >= 2 then 'answered' else 'not_found' end as status,
   string_agg(case when rank <= 3 then cast(message_id as varchar) end, ',' order by rank) as near from graded group by 1)"""
 

@@ -10,7 +10,7 @@ from talkweave.functions import model_output as mo
 from talkweave.functions import scores as sc
 from talkweave.functions import text as tx
 from talkweave.operators import routing, style
-from talkweave.operators.search import unit_vector
+from talkweave.operators.search import each_term, unit_vector
 
 WORD = r"[\p{L}\p{N}_]+"
 TOK = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -66,7 +66,7 @@ def docs(spark, folder):
 
 
 def _tokenize(spark, folder):
-    t = docs(spark, folder).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
+    t = each_term(docs(spark, folder), tx.tokens(F.col("text")), "doc_id").withColumnRenamed("term", "token")
     return t.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 

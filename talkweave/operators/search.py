@@ -48,6 +48,12 @@ def unit_vector(v: Column) -> Column:
 # ---------------------------------------------------------------- BM25
 
 
+def each_term(rows: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """One row per term.  The outer explode spares a size check, which Spark would push down
+    to the scan and which would tokenise every text a second time."""
+    return rows.select(*keep, F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull())
+
+
 def tokenised(corpus: DataFrame) -> DataFrame:
     """``workspace_id, message_id, terms``: the input of index and search."""
     return corpus.select("workspace_id", "message_id", tokens(F.col("text")).alias("terms"))
@@ -56,23 +62,19 @@ def tokenised(corpus: DataFrame) -> DataFrame:
 def postings(token_table: DataFrame) -> DataFrame:
     """``workspace_id, term, message_id, tf, dl``.
 
-    Counting terms per document needs no shuffle of documents that are already distinct
-    rows: the counts are taken inside the row and only then exploded.
+    The token lists are placed by message before they are exploded, so the counts are
+    taken where the rows already lie and the exploded rows are never shuffled.
     """
-    counted = F.transform(
-        F.array_distinct("terms"),
-        lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf")),
-    )
-    short = F.size("terms") <= 64
-    exploded = token_table.filter(~short).select(
-        "workspace_id", "message_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")
-    )
-    long_rows = exploded.groupBy("workspace_id", "message_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    short_rows = token_table.filter(short).select(
-        "workspace_id", "message_id", F.size("terms").alias("dl"), F.inline(counted)
-    )
-    columns = ("workspace_id", "term", "message_id", F.col("tf").cast("bigint").alias("tf"), F.col("dl").cast("bigint").alias("dl"))
-    return short_rows.select(*columns).unionByName(long_rows.select(*columns))
+    placed = token_table.select(
+        "workspace_id", "message_id", F.size("terms").cast("bigint").alias("dl"), "terms"
+    ).repartition("message_id")
+    exploded = each_term(placed, F.col("terms"), "workspace_id", "message_id", "dl")
+    return exploded.groupBy("workspace_id", "term", "message_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def posting_stats(posting_table: DataFrame) -> DataFrame:
+    """``workspace_id, term, df`` of an index: a posting is one message with the term."""
+    return posting_table.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def corpus_stats(token_table: DataFrame) -> DataFrame:
@@ -91,7 +93,7 @@ def term_stats(token_table: DataFrame, vocabulary: DataFrame | None = None) -> D
     Document frequencies are summed on the map side first, so a word found in most
     documents arrives as one row per task.
     """
-    seen = token_table.select("workspace_id", F.explode(F.array_distinct("terms")).alias("term"))
+    seen = each_term(token_table, F.array_distinct("terms"), "workspace_id")
     if vocabulary is not None:
         seen = seen.join(vocabulary, ["workspace_id", "term"], "left_semi")
     counts = seen.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -100,9 +102,7 @@ def term_stats(token_table: DataFrame, vocabulary: DataFrame | None = None) -> D
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, workspace_id, term``, each term once per query."""
-    return queries.select(
-        "query_id", "workspace_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")
-    )
+    return each_term(queries, F.array_distinct(tokens(F.col("text"))), "query_id", "workspace_id")
 
 
 def bm25_topk(corpus: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:

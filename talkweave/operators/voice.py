@@ -54,9 +54,12 @@ def voice_candidates(line: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         says = F.exists(mine, lambda m: (F.length(m["text"]) > 10) & ~is_pure_ack(m["text"]))
         return both & wordy & says
 
-    # Exploding a list of none or one builds the exchange once; a filter would rebuild it.
+    # Exploding a list of none or one builds the exchange once; a filter on it, also the one an
+    # inner explode implies, would build it again.
     folded = F.aggregate(F.slice("_rows", 1, 10), start, step, lambda s: s["said"])
-    kept = anchors.select(*PERSON, "pos", F.explode(F.filter(F.array(folded), is_sample)).alias("exchange"))
+    kept = anchors.select(
+        *PERSON, "pos", F.explode_outer(F.filter(F.array(folded), is_sample)).alias("exchange")
+    ).filter(F.col("exchange").isNotNull())
     all_text = F.array_join(F.transform("exchange", lambda m: F.lower(m["text"])), " ")
     return kept.select(
         *PERSON, "pos", "exchange",
