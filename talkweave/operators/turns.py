@@ -125,15 +125,17 @@ def people_of(messages: DataFrame) -> DataFrame:
     return messages.select("workspace_id", "sender").distinct()
 
 
-def mentions(messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+def mentions(
+    messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS, ahead: int = 12
+) -> DataFrame:
     """Per turn, the first name (alphabetically) that some ``@`` in it spells.
 
     The match ignores case and needs no right word boundary, so every ``@`` is expanded to
     one candidate per *length* of name in the workspace and joined on equality; names are
     never compared with all messages.  A name may run on into the following messages of
-    the turn, which contribute one look-ahead of twelve messages.
+    the turn, one message further per space in it; a name with more than ``ahead`` spaces
+    raises an error that asks for a larger ``ahead``.
     """
-    ahead = 12
     numbered = number_turns(messages.select("workspace_id", "seq", "sender", "ts", "text"), block)
     rows = with_neighbours(numbered, "pos", 0, ahead, block)
     w = Window.partitionBy("workspace_id", "_blk").orderBy("pos").rowsBetween(1, ahead)
@@ -149,9 +151,20 @@ def mentions(messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS) ->
         )
         .withColumn("_joined", F.lower(F.concat_ws(" ", F.col("text"), F.array_join("_tail", " "))))
     )
-    lengths = people.groupBy("workspace_id").agg(
-        F.collect_set(F.length(F.lower("sender"))).alias("name_lengths"),
-        F.count(F.lit(1)).alias("speakers"),
+    spaces = F.length("sender") - F.length(F.replace("sender", F.lit(" "), F.lit("")))
+    lengths = (
+        people.groupBy("workspace_id")
+        .agg(
+            F.collect_set(F.length(F.lower("sender"))).alias("_lengths"),
+            F.max(spaces).alias("_spaces"),
+            F.count(F.lit(1)).alias("speakers"),
+        )
+        .withColumn(
+            "name_lengths",
+            F.when(F.col("_spaces") <= ahead, F.col("_lengths")).otherwise(
+                F.raise_error(F.lit("a name has more spaces than `ahead`")).cast("array<int>")
+            ),
+        )
     )
     starts = F.filter(
         F.sequence(F.lit(1), F.length(F.lower("text"))),

@@ -88,6 +88,14 @@ def test_mentions_run_over_messages_and_blocks(random_chat):
     assert any(v == "Ann Lee" for v in want.values())
 
 
+def test_name_longer_than_look_ahead_is_an_error(chat):
+    df = chat([("w", "A", 0, "hi @a"), ("w", "B c d", 1, "yo @a"), ("w", "C", 2, "hm @b c d")])
+    people = tn.people_of(df)
+    assert {r.turn_no: r.mentioned for r in tn.mentions(df, people, 4, ahead=2).collect()} == {1: "A", 2: "B c d"}
+    with pytest.raises(Exception, match="more spaces"):
+        tn.mentions(df, people, 4, ahead=1).collect()
+
+
 def test_pause_can_split_turns(chat):
     df = chat([("w", "A", 0, "one"), ("w", "A", 300, "two"), ("w", "B", 301, "three")])
     assert tn.turns(df, 2).count() == 2
