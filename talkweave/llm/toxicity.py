@@ -24,6 +24,7 @@ MAX_ROWS = 8000
 MAX_ENTRIES = 4000
 STEMS = range(4, 9)
 MIN_LIFT = 8.0
+MIN_SURPRISE = 24.0
 
 # Letters of other scripts drawn like Latin ones, and digits used for letters.
 LOOKALIKES = str.maketrans(
@@ -116,7 +117,11 @@ def _totals(sample: DataFrame, make) -> DataFrame:
 def _weights(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     lift = ((F.col("toxic") + 0.5) / (toxic + 1.0)) / ((F.col("clean") + 0.5) / (clean + 1.0))
     best = _totals(sample, lambda text: units(fold(text))).withColumn("lift", lift)
-    best = best.where((F.col("lift") >= MIN_LIFT) & (F.col("toxic") >= max(3, toxic // 300)))
+    # Log-likelihood ratio of the counts against equal rates: entries of a few rows by chance stay out.
+    share = toxic / (toxic + clean)
+    both = F.col("toxic") + F.col("clean")
+    surprise = 2 * (F.col("toxic") * F.log(F.col("toxic") / (both * share)) + F.col("clean") * F.log(F.greatest("clean", F.lit(1)) / (both * (1 - share))))
+    best = best.where((F.col("toxic") > 0) & (F.col("lift") >= MIN_LIFT) & (surprise >= MIN_SURPRISE))
     rows = best.orderBy(F.desc(F.col("toxic") * F.log("lift")), "key").limit(MAX_ENTRIES).collect()
     lifts = {r["key"]: r["lift"] for r in rows}
     kept: dict[str, float] = {}
