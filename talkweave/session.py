@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +33,20 @@ def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Let workers import this package, also where they do not run beside it: a zip of it goes with the session."""
+    package = Path(__file__).resolve().parent
+    beside = [Path(p or ".").resolve() for p in (".", *os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    context = spark.sparkContext
+    if package.parent in beside or any(p.endswith(f"{package.name}.zip") for p in context._python_includes):
+        return
+    target = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(target))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
