@@ -25,42 +25,58 @@ _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered_words", "n_maximal", "longest_repeat")
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ``keys`` and, along it, whether each differs from the one before."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    return order, np.concatenate([[True], ordered[1:] != ordered[:-1]])
-
-
-def longest_matches(row: np.ndarray, words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(position, length)`` of every word position whose next ``WINDOW`` words recur in its text."""
+def _repeated(row: np.ndarray, words: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Positions whose next ``WINDOW`` words recur in their text, in order."""
     n = len(words)
-    last = edge[row + 1] if n else row
     total = w.mix(row.astype(np.uint64))
     for i in range(WINDOW):
-        ahead = np.minimum(np.arange(n) + i, n - 1) if n else row
-        total = w.mix(total + words[ahead])
+        total = w.mix(total + words[np.minimum(np.arange(n) + i, n - 1)])
     whole = np.flatnonzero(np.arange(n) + WINDOW <= last)
-    order, starts = _runs(total[whole])
-    group = np.cumsum(starts) - 1
-    active = whole[order[np.bincount(group)[group] > 1]] if len(whole) else whole
+    _, group, times = np.unique(total[whole], return_inverse=True, return_counts=True)
+    return whole[times[group] > 1]
+
+
+def _window_ranks(words: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ranks of the next ``WINDOW`` words of each position, in one order of words; the end of a text comes first."""
+    n = len(words)
+    rank = np.unique(words, return_inverse=True)[1] + 1
+    size = 1
+    while size < WINDOW:
+        ahead = np.arange(n) + size
+        follow = np.where(ahead < last, rank[np.minimum(ahead, n - 1)], 0)
+        rank = np.unique(rank * (n + 1) + follow, return_inverse=True)[1] + 1
+        size *= 2
+    return rank
+
+
+def longest_matches(row: np.ndarray, words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(position, length)`` of every word position whose next ``WINDOW`` words recur in its text."""
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    active = _repeated(row, words, edge[row + 1])
     if not len(active):
         return active, active
-    rank = np.arange(n, dtype=np.int64)
-    order, starts = _runs(total[active])
-    active = active[order]
-    rank[active] = n + np.cumsum(starts)
+    # Only texts with a repeat are sorted.
+    place = np.flatnonzero(np.isin(row, np.unique(row[active])))
+    active = np.searchsorted(place, active)
+    row, words = row[place], words[place]
+    n = len(row)
+    last = np.searchsorted(row, row, "right")
+    window = _window_ranks(words, last)
+    rank = window * (n + 1)
     levels, size = [rank], WINDOW
+    active = active[np.lexsort((window[active], row[active]))]
     while True:
         ahead = active + size
         follow = np.where(ahead < last[active], rank[np.minimum(ahead, n - 1)], -1)
-        order = np.lexsort((follow, rank[active]))
+        order = np.lexsort((follow, rank[active], row[active]))
         active, follow = active[order], follow[order]
-        own = rank[active]
-        starts = np.concatenate([[True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])])
-        finer = rank.copy()
-        finer[active] = n + np.cumsum(starts)
-        rank = finer
+        own, text, first = rank[active], row[active], window[active]
+        outer = np.concatenate([[True], (text[1:] != text[:-1]) | (first[1:] != first[:-1])])
+        starts = outer | np.concatenate([[True], (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])])
+        number = np.cumsum(starts)
+        rank = rank.copy()
+        rank[active] = first * (n + 1) + number - number[np.flatnonzero(outer)[np.cumsum(outer) - 1]]
         if starts.all():
             break
         levels.append(rank)
@@ -68,12 +84,12 @@ def longest_matches(row: np.ndarray, words: np.ndarray, edge: np.ndarray) -> tup
     # Longest common prefixes of neighbours, from the widest level down, then word by word.
     a, b = active[:-1].copy(), active[1:].copy()
     ends_a, ends_b, lcp = last[a], last[b], np.zeros(len(a), np.int64)
+    one_text = row[a] == row[b]
     for k in range(len(levels) - 1, -1, -1):
-        size = WINDOW << k
-        here = (a < ends_a) & (b < ends_b)
+        here = one_text & (a < ends_a) & (b < ends_b)
         here &= levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)]
         for x in (a, b, lcp):
-            x[here] += size
+            x[here] += WINDOW << k
     going = lcp > 0
     for _ in range(WINDOW - 1):
         going &= (a < ends_a) & (b < ends_b)
@@ -84,7 +100,7 @@ def longest_matches(row: np.ndarray, words: np.ndarray, edge: np.ndarray) -> tup
     length[:-1] = lcp
     np.maximum(length[1:], lcp, out=length[1:])
     order = np.argsort(active)
-    return active[order], length[order]
+    return place[active[order]], length[order]
 
 
 def _covered(at: np.ndarray, length: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
