@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.rows import col, identified, unused, with_decisions
+from talkweave.llm.rows import col, cut, identified, unused, with_decisions
 from talkweave.llm.words import mix
 
 SPACE = b" \t\n\v\f\r"
@@ -169,7 +169,8 @@ def drop_shared_lines(
     )
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest", F.col("places")[0].alias("line")))
     shared = suspects.groupBy("key").agg(F.count("*").alias("docs"), first.alias("first")).where(F.col("docs") >= min_docs)
-    found = suspects.join(shared, "key")
+    # On a table of its own the join can split a line that very many documents have.
+    found = suspects.join(cut(shared), "key")
     if keep == "first":
         own = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.digest") == F.col("digest"))
         found = found.withColumn("places", F.when(own, F.array_remove("places", F.col("first.line"))).otherwise(F.col("places")))
