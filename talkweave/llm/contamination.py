@@ -24,6 +24,8 @@ from talkweave.llm.rows import col, cut, identified
 WIDTH = 10
 BROADCAST_BYTES = 16 << 20
 TERM = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+# The same terms before A-Z are lower-cased.
+ANY_CASE_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def terms(text: Column) -> Column:
@@ -137,7 +139,8 @@ def contamination(
         "id", "digest", F.size(F.array_distinct(words)).cast("bigint").alias("n_hit"),
         F.array_sort(F.transform("held", lambda x: x["name"])).alias("items"), F.array_sort("spans").alias("spans"), "any",
     ).withColumn("near_items", F.array_sort(F.array_except("any", "items"))).drop("any")
-    sized = identified(docs, id_col, text_col).select("id", "digest", F.size(terms(F.col("text"))).cast("bigint").alias("n_words"))
+    count = F.regexp_count("text", F.lit(ANY_CASE_TERM))
+    sized = identified(docs, id_col, text_col).select("id", "digest", F.coalesce(count, F.lit(0)).cast("bigint").alias("n_words"))
     none = F.array().cast("array<string>")
     left, right = sized.alias("l"), hit.alias("r")
     on = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.digest") == F.col("r.digest"))

@@ -2,9 +2,9 @@
 
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct word n-grams.
 
-1. A task turns each text into its set and the set into block keys.  The hash range is cut into ``D + 2``
-   blocks, where ``D`` is the largest symmetric difference that a linked pair of that size band can have, so
-   a linked pair has two blocks in common at least.  Exact copies collapse into one node first.
+1. A task turns each text into its set and the set into block keys.  The hash range is cut into more blocks than
+   the largest symmetric difference that a linked pair of that size band can have, so a linked pair has equal
+   blocks, and the largest of them gives both sets the same key.  Exact copies are one node.
 2. Nodes that share a block key are in one cluster, so every link lies inside a cluster.
 3. The n-grams of a node are dealt into ``GROUPS`` groups; the group counts are its point.  The nodes of a
    cluster, sorted by size and counts, are packed into leaves of at most ``LEAF`` points.  A leaf, and each pair
@@ -47,8 +47,9 @@ BANDS = _bands()
 def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     """Keys of a sorted set; two linked sets have one in common.
 
-    A pair is looked for in the band of its smaller set.  A block without n-grams gives a key only if the set
-    has two of them: with at most one, the other common block of a pair holds something.
+    A pair is looked for in the band of its smaller set.  With ``D`` the most n-grams that differ there and ``D + 1 + S``
+    blocks, ``S + 1`` blocks of a pair are equal at least, and the largest of them is among the ``D + 1`` largest of both
+    sets.  So the ``S`` smallest blocks, which say little or nothing, need no key.
     """
     n = len(grams)
     if n == 0:
@@ -57,12 +58,12 @@ def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
     high = grams >> np.uint64(32)
     band = int(np.searchsorted(BANDS, n, "right")) - 1
     while band >= 0 and 100 * (BANDS[band + 1] - 1) >= percent * n:
-        blocks = (BANDS[band + 1] - 1) * (100 - percent) // percent + 2
+        differ = (BANDS[band + 1] - 1) * (100 - percent) // percent
+        blocks = differ + 2 + differ * 3 // 10
         edge = np.searchsorted((high * np.uint64(blocks)) >> np.uint64(32), np.arange(blocks + 1, dtype=np.uint64))
         place = (np.arange(1, blocks + 1, dtype=np.uint64) << np.uint64(8)) + np.uint64(band)
         key = w.mix(w.mix(total[edge[1:]] - total[edge[:-1]]) + w.mix(place))
-        empty = edge[1:] == edge[:-1]
-        found.append(key if empty.sum() > 1 else key[~empty])
+        found.append(key[np.lexsort((key, edge[1:] - edge[:-1]))[-(differ + 1) :]])
         band -= 1
     return np.concatenate(found)
 
@@ -80,48 +81,51 @@ def _node(grams: np.ndarray) -> int:
     return int(w.mix(w.mix(grams).sum(dtype=np.uint64, keepdims=True)).view(np.int64)[0])
 
 
-def _listed(parts: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
-
-
-def _described(width: int, percent: int):
+def _described(width: int):
     def run(batches):
         for batch in batches:
-            sizes, nodes, keys = [], [], []
+            sizes, nodes = [], []
             for grams in _sets(batch.column("text"), width):
                 sizes.append(len(grams))
                 nodes.append(_node(grams) if len(grams) else None)
-                keys.append(block_keys(grams, percent))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _listed(keys)],
-                ["id", "digest", "n", "node", "keys"],
+                [batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
+                ["id", "digest", "n", "node"],
             )
 
     return run
 
 
-def _cells(batches):
+def _cells(width: int, percent: int):
     """``(key, node)`` rows.  A key that repeats in a batch leaves its smallest node, and each other node a row
     pair of their own that says the same; so a key of very many nodes shuffles one row per batch."""
-    for batch in batches:
-        lists = batch.column("keys")
-        key = lists.flatten().to_numpy(zero_copy_only=False)
-        node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-        if not len(key):
-            continue
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        lead = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-        pairs = np.unique(np.stack([node[~first], lead[~first]], axis=1), axis=0)
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        own = w.mix(w.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([key[first], own, own])), pa.array(np.concatenate([node[first], pairs[:, 0], pairs[:, 1]]))],
-            ["key", "node"],
-        )
+
+    def run(batches):
+        for batch in batches:
+            keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            seen: set[int] = set()
+            for grams in _sets(batch.column("text"), width):
+                node = _node(grams) if len(grams) else None
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    keys.append(block_keys(grams, percent))
+                    nodes.append(np.full(len(keys[-1]), node))
+            key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
+            if not len(key):
+                continue
+            order = np.lexsort((node, key))
+            key, node = key[order], node[order]
+            first = np.concatenate([[True], key[1:] != key[:-1]])
+            lead = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            pairs = np.unique(np.stack([node[~first], lead[~first]], axis=1), axis=0)
+            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            own = w.mix(w.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([key[first], own, own])), pa.array(np.concatenate([node[first], pairs[:, 0], pairs[:, 1]]))],
+                ["key", "node"],
+            )
+
+    return run
 
 
 def _meetings(batches):
@@ -235,6 +239,7 @@ def _pointed(width: int):
     def run(batches):
         for batch in batches:
             nodes, sizes, points, sets = [], [], [], []
+            cluster = batch.column("cluster")
             for grams in _sets(batch.column("text"), width):
                 nodes.append(_node(grams))
                 sizes.append(len(grams))
@@ -243,8 +248,8 @@ def _pointed(width: int):
             flat = np.concatenate(points) if points else np.zeros(0, np.int32)
             offsets = pa.array(np.arange(len(points) + 1, dtype=np.int32) * GROUPS)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(sets, pa.binary())],
-                ["node", "n", "point", "grams"],
+                [cluster, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(sets, pa.binary())],
+                ["cluster", "node", "n", "point", "grams"],
             )
 
     return run
@@ -256,10 +261,11 @@ LEAF_SCHEMA = "cluster bigint, leaf bigint, node bigint, n bigint, point array<i
 def _leaves(percent: int, capacity: int):
     """Cuts rows sorted by cluster and size into leaves and joins each leaf with itself.
 
-    ``root`` is the smallest node that a node reaches inside its leaf.  The first row of a leaf has its box.
+    ``root`` is the smallest node that a node reaches inside its leaf.  The first row of a leaf has its box.  Sets are
+    handed on only where the cluster may have another leaf, here or in a neighbouring task.
     """
 
-    def leaf_of(rows):
+    def leaf_of(rows, more):
         cluster, nodes = rows[0][0], [r[1] for r in rows]
         sizes = np.array([r[2] for r in rows])
         points = np.array([r[3] for r in rows])
@@ -272,7 +278,7 @@ def _leaves(percent: int, capacity: int):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([cluster] * len(rows), pa.int64()), pa.array([min(nodes)] * len(rows), pa.int64()), pa.array(nodes, pa.int64()),
-                pa.array(sizes, pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.binary()),
+                pa.array(sizes, pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] if more else None for r in rows], pa.binary()),
                 pa.array([roots.find(x) for x in nodes], pa.int64()), pa.array(top, pa.list_(pa.int32())),
                 pa.array(low, pa.int64()), pa.array(high, pa.int64()),
             ],
@@ -281,16 +287,18 @@ def _leaves(percent: int, capacity: int):
 
     def run(batches):
         rows: list[tuple] = []
+        more = True
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "n", "point", "grams")), strict=True):
                 if rows and row[1] == rows[-1][1]:
                     continue
                 if rows and (row[0] != rows[-1][0] or len(rows) == capacity):
-                    yield leaf_of(rows)
-                    rows = []
+                    goes_on = row[0] == rows[-1][0]
+                    yield leaf_of(rows, more or goes_on)
+                    rows, more = [], goes_on
                 rows.append(row)
         if rows:
-            yield leaf_of(rows)
+            yield leaf_of(rows, True)
 
     return run
 
@@ -380,20 +388,15 @@ def near_copies(
     """
     rows = identified(docs, id_col, text_col)
     kind = dict(rows.dtypes)["id"]
-    info = cut(rows.mapInArrow(_described(width, percent), f"id {kind}, digest bigint, n bigint, node bigint, keys array<bigint>"))
-    nodes = info.where("node is not null").groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("best"), F.first("keys").alias("keys")
-    )
-    cells = nodes.select("node", "keys").mapInArrow(_cells, "key bigint, node bigint")
+    info = cut(rows.mapInArrow(_described(width), f"id {kind}, digest bigint, n bigint, node bigint"))
+    cells = rows.select("text").mapInArrow(_cells(width, percent), "key bigint, node bigint")
     meetings = cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "a bigint, b bigint")
     clusters = components(meetings)
     holders = info.select("id", "digest", "node").join(clusters, "node").groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("best"), F.first("component").alias("cluster")
     )
-    holders = cut(holders.select("node", "cluster", "best.id", "best.digest"))
-    texts = with_decisions(rows.select("id", "text"), holders.select("id", "digest"), "id", "text", "left_semi")
-    sets = texts.mapInArrow(_pointed(width), "node bigint, n bigint, point array<int>, grams binary")
-    members = sets.join(holders.select("node", "cluster"), "node")
+    texts = with_decisions(rows.select("id", "text"), holders.select("best.id", "best.digest", "cluster"), "id", "text", "inner")
+    members = texts.select("text", "cluster").mapInArrow(_pointed(width), "cluster bigint, node bigint, n bigint, point array<int>, grams binary")
     labels = _labelled(_packed(members, percent, leaf), percent, leaf)
     placed = info.select("id", "digest", "n", "node").join(labels, "node", "left").select(
         "id", "digest", "n", F.coalesce("label", "node").alias("label")
