@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.rows import col
+from talkweave.llm.rows import col, text_batches
 
 MAX_PAGES = 400
 MAX_NODES = 40_000
@@ -331,7 +331,7 @@ def _examples(batches):
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, max_nodes: int = MAX_NODES) -> Boosted:
     """Trees from the pages with the smallest hashes of their ids, at most ``max_pages`` pages and ``max_nodes`` elements."""
     place = F.xxhash64(col(id_col))
-    chosen = pages.select(col(html_col).alias("page"), place.alias("place"), F.xxhash64(col(html_col)).alias("tie"))
+    chosen = text_batches(pages).select(col(html_col).alias("page"), place.alias("place"), F.xxhash64(col(html_col)).alias("tie"))
     chosen = chosen.orderBy("place", "tie").limit(max_pages)
     rows = sorted(tuple(r["x"]) for r in chosen.select("page").mapInArrow(_examples, "x array<float>").limit(max_nodes).collect())
     table = np.array(rows, np.float64).reshape(len(rows), -1) if rows else np.zeros((0, len(TAGS) + 19))
@@ -349,4 +349,4 @@ def main_text(pages: DataFrame, model: Boosted | None = None, id_col: str = "pag
     def text(column: pa.Array) -> pa.Array:
         return pa.array([extract(p, model.log_odds) for p in column.to_pylist()], pa.string())
 
-    return pages.withColumn("text", text(col(html_col)))
+    return text_batches(pages).withColumn("text", text(col(html_col)))

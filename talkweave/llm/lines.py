@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkweave.llm.rows import col, cut, identified, unused, with_decisions
-from talkweave.llm.words import mix
+from talkweave.llm.words import mix, slices
 
 SPACE = b" \t\n\v\f\r"
 SEGMENT = 1 << 16
@@ -51,14 +51,21 @@ def _hash(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
+def _parts(batches):
+    """The rows of all batches, about a megabyte of text at a time."""
+    for batch in batches:
+        for low, high in slices(batch.column("text")):
+            yield batch.slice(low, high - low)
+
+
 def _filters(bits: int):
     """The parts of both filters of a task that have a bit set."""
 
     def run(batches):
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for batch in batches:
+        for part in _parts(batches):
             keys: list[bytes] = []
-            for text in batch.column("text").to_pylist():
+            for text in part.column("text").to_pylist():
                 keys += {k for k in line_keys(text) if k}
             hashes, times = np.unique(_hash(keys), return_counts=True)
             again = hashes[(times > 1) | _has(once, hashes, bits)]
@@ -99,7 +106,7 @@ def _merged(segment, twice):
 def _suspects(filter_, bits: int):
     def run(batches):
         held = np.frombuffer(filter_.value, np.uint8)
-        for batch in batches:
+        for batch in _parts(batches):
             source, keys, places = [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 lines: dict[bytes, list[int]] = {}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from talkweave.llm import words as w
-from talkweave.llm.rows import col, cut, digest, unused
+from talkweave.llm.rows import col, cut, digest, text_batches, unused
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -140,7 +140,7 @@ def mix(
     the mix that is taken together, each row with its own size.  A null source is a source, the last.  Empty documents
     come along where their block is drawn.  No rows give no rows.
     """
-    rows = docs.select(
+    rows = text_batches(docs).select(
         col(id_col).alias("id"), digest(col(text_col)).alias("digest"), col(source_col).alias("source"), _size(col(text_col)).alias("size")
     )
     rows = cut(rows)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import contamination, html, jaccard, lines, mixture, quotes, repetition, secrets, tokens, toxicity
+from talkweave.llm.rows import text_batches
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return text_batches(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def _hex(text):

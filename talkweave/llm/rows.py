@@ -22,7 +22,16 @@ def digest(text: Column) -> Column:
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, digest, text`` of every row, whatever else the table holds."""
-    return docs.select(col(id_col).alias("id"), digest(col(text_col)).alias("digest"), col(text_col).alias("text"))
+    return text_batches(docs).select(col(id_col).alias("id"), digest(col(text_col)).alias("digest"), col(text_col).alias("text"))
+
+
+def text_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``; its session hands at most ``rows`` rows at once to Python, since whole texts are long."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return df
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.rows import col, cut
+from talkweave.llm.rows import col, cut, text_batches
 
 MAX_ROWS = 8000
 MAX_ENTRIES = 4000
@@ -228,5 +228,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     score of a text without entries.  Without labels of both kinds every score is the learned share of toxic texts.
     """
     model = fit(docs, labels.where(~F.coalesce(held_out, F.lit(False))), id_col, text_col)
-    scored = docs.select(col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), scorer(model)(col(text_col)).alias("score"))
+    scored = text_batches(docs).select(col(id_col).alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), scorer(model)(col(text_col)).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
