@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import contamination, jaccard, lines, mixture, repetition
-from talkweave.llm.rows import cut, unused, with_decisions
+from talkweave.llm.rows import cut, text_batches, unused, with_decisions
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the limits on long repeats."""
     name = unused(docs, "repeats")
-    return docs.withColumn(name, repetition.repetition(F.col("text"))).where(repetition.kept(name)).drop(name)
+    return text_batches(docs).withColumn(name, repetition.repetition(F.col("text"))).where(repetition.kept(name)).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
