@@ -7,7 +7,7 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
    blocks, and the largest of them gives both sets the same key.  Exact copies are one node.
 2. Nodes that share a block key are in one cluster, so every link lies inside a cluster.
 3. The n-grams of a node are dealt into ``GROUPS`` groups; the group counts are its point.  The nodes of a
-   cluster, sorted by size and counts, are packed into leaves of at most ``LEAF`` points.  A leaf, and each pair
+   cluster, sorted by size and counts, are packed into leaves of at most ``LEAF`` points and about ``LEAF_BYTES`` of sets.  A leaf, and each pair
    of leaves of a cluster that the boxes allow, is searched with a small tree: the overlap of two sets is at
    most the sum of the coordinate-wise minima of their points, and of two boxes the sum of the minima of their
    upper corners.  Pairs that survive and are not connected yet are verified on the sets.
@@ -30,7 +30,8 @@ from talkweave.llm.rows import components, cut, identified, with_decisions
 
 GROUPS = 32
 FAN = 16
-LEAF = 512
+LEAF = 2048
+LEAF_BYTES = 32 << 20
 
 
 def _bands(limit: int = 1 << 40) -> list[int]:
@@ -287,16 +288,17 @@ def _leaves(percent: int, capacity: int):
 
     def run(batches):
         rows: list[tuple] = []
-        more = True
+        more, held = True, 0
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "n", "point", "grams")), strict=True):
                 if rows and row[1] == rows[-1][1]:
                     continue
-                if rows and (row[0] != rows[-1][0] or len(rows) == capacity):
+                if rows and (row[0] != rows[-1][0] or len(rows) == capacity or held > LEAF_BYTES):
                     goes_on = row[0] == rows[-1][0]
                     yield leaf_of(rows, more or goes_on)
-                    rows, more = [], goes_on
+                    rows, more, held = [], goes_on, 0
                 rows.append(row)
+                held += len(row[4])
         if rows:
             yield leaf_of(rows, True)
 
