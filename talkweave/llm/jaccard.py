@@ -13,11 +13,12 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
    upper corners.  Pairs that survive and are not connected yet are verified on the sets.
 
 A huge cluster is many leaves, thus many tasks.  Leaves that are already one component meet through their roots
-and ship nothing more.  Sets and their n-grams are compared through 64-bit hashes.
+and ship nothing more.  Rows carry deflated texts, which are a third as large as their sets; tasks make the sets anew.  Sets and their n-grams are compared through 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkweave.llm import words as w
-from talkweave.llm.rows import components, cut, identified, with_decisions
+from talkweave.llm.rows import components, cut, identified
 
 GROUPS = 32
 FAN = 16
@@ -235,34 +236,39 @@ def connect(labels: list[int], sets: list[np.ndarray], points: np.ndarray, sizes
 
 
 def _pointed(width: int):
-    """Sets and points of one text per node."""
+    """Size, point and deflated text of each row's set."""
 
     def run(batches):
         for batch in batches:
-            nodes, sizes, points, sets = [], [], [], []
-            cluster = batch.column("cluster")
+            sizes, points = [], []
             for grams in _sets(batch.column("text"), width):
-                nodes.append(_node(grams))
                 sizes.append(len(grams))
                 points.append(point_of(grams).astype(np.int32))
-                sets.append(grams.tobytes())
             flat = np.concatenate(points) if points else np.zeros(0, np.int32)
             offsets = pa.array(np.arange(len(points) + 1, dtype=np.int32) * GROUPS)
+            bodies = [zlib.compress((text.as_py() or "").encode(), 1) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [cluster, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(sets, pa.binary())],
-                ["cluster", "node", "n", "point", "grams"],
+                [batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(bodies, pa.binary())],
+                ["id", "digest", "n", "point", "body"],
             )
 
     return run
 
 
-LEAF_SCHEMA = "cluster bigint, leaf bigint, node bigint, n bigint, point array<int>, grams binary, root bigint, top array<int>, low bigint, high bigint"
+def _sets_of(bodies: list[bytes], width: int) -> list[np.ndarray]:
+    found: list[np.ndarray] = []
+    for body in bodies:
+        found.extend(_sets(pa.array([zlib.decompress(body)], pa.binary()).cast(pa.string()), width))
+    return found
 
 
-def _leaves(percent: int, capacity: int):
+LEAF_SCHEMA = "cluster bigint, leaf bigint, node bigint, n bigint, point array<int>, body binary, root bigint, top array<int>, low bigint, high bigint"
+
+
+def _leaves(percent: int, width: int, capacity: int):
     """Cuts rows sorted by cluster and size into leaves and joins each leaf with itself.
 
-    ``root`` is the smallest node that a node reaches inside its leaf.  The first row of a leaf has its box.  Sets are
+    ``root`` is the smallest node that a node reaches inside its leaf.  The first row of a leaf has its box.  Texts are
     handed on only where the cluster may have another leaf, here or in a neighbouring task.
     """
 
@@ -270,9 +276,9 @@ def _leaves(percent: int, capacity: int):
         cluster, nodes = rows[0][0], [r[1] for r in rows]
         sizes = np.array([r[2] for r in rows])
         points = np.array([r[3] for r in rows])
-        sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+        sets = _sets_of([r[4] for r in rows], width) if len(rows) > 1 else []
         roots = Roots()
-        for a, b in connect(nodes, sets, points, sizes, 0, percent):
+        for a, b in connect(nodes, sets, points, sizes, 0, percent) if sets else ():
             roots.join(a, b)
         top = [points.max(axis=0).tolist()] + [None] * (len(rows) - 1)
         low, high = ([int(x)] + [None] * (len(rows) - 1) for x in (sizes.min(), sizes.max()))
@@ -283,14 +289,14 @@ def _leaves(percent: int, capacity: int):
                 pa.array([roots.find(x) for x in nodes], pa.int64()), pa.array(top, pa.list_(pa.int32())),
                 pa.array(low, pa.int64()), pa.array(high, pa.int64()),
             ],
-            ["cluster", "leaf", "node", "n", "point", "grams", "root", "top", "low", "high"],
+            ["cluster", "leaf", "node", "n", "point", "body", "root", "top", "low", "high"],
         )
 
     def run(batches):
         rows: list[tuple] = []
         more, held = True, 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "n", "point", "grams")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("cluster", "node", "n", "point", "body")), strict=True):
                 if rows and row[1] == rows[-1][1]:
                     continue
                 if rows and (row[0] != rows[-1][0] or len(rows) == capacity or held > LEAF_BYTES):
@@ -298,26 +304,26 @@ def _leaves(percent: int, capacity: int):
                     yield leaf_of(rows, more or goes_on)
                     rows, more, held = [], goes_on, 0
                 rows.append(row)
-                held += len(row[4])
+                held += row[2] * 8
         if rows:
             yield leaf_of(rows, True)
 
     return run
 
 
-def _packed(members: DataFrame, percent: int, capacity: int) -> DataFrame:
+def _packed(members: DataFrame, percent: int, width: int, capacity: int) -> DataFrame:
     order = ["cluster", "n", F.col("point")[0], F.col("point")[1], F.col("point")[2], "node"]
     ranged = members.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ranged.mapInArrow(_leaves(percent, capacity), LEAF_SCHEMA))
+    return cut(ranged.mapInArrow(_leaves(percent, width, capacity), LEAF_SCHEMA))
 
 
-def _crossed(percent: int):
+def _crossed(percent: int, width: int):
     """Links between the two leaves of each unit, from rows sorted by unit and side."""
 
     def links(rows):
         split = sum(r[1] == 0 for r in rows)
         if 0 < split < len(rows):
-            sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+            sets = _sets_of([r[5] for r in rows], width)
             yield from connect([r[2] for r in rows], sets, np.array([r[4] for r in rows]), np.array([r[3] for r in rows]), split, percent)
 
     def run(batches):
@@ -328,7 +334,7 @@ def _crossed(percent: int):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "label", "n", "point", "grams")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("unit", "side", "label", "n", "point", "body")), strict=True):
                 if rows and row[0] != rows[-1][0]:
                     yield flush()
                     rows = []
@@ -350,7 +356,7 @@ def _boxes_fit(percent: int):
     return run
 
 
-def _labelled(leaves: DataFrame, percent: int, capacity: int) -> DataFrame:
+def _labelled(leaves: DataFrame, percent: int, width: int, capacity: int) -> DataFrame:
     """``(node, label)``: the smallest connected part that all leaves together give to each node."""
     shared = leaves.where("top is not null").groupBy("cluster").agg(F.count("*").alias("leaves")).where("leaves > 1").select("cluster")
     shared = cut(shared)
@@ -358,8 +364,8 @@ def _labelled(leaves: DataFrame, percent: int, capacity: int) -> DataFrame:
     if shared.isEmpty():
         return plain
     # Roots of the leaves of a cluster, joined among themselves as one level up.
-    roots = leaves.where("node = root").join(shared, "cluster").select("cluster", "node", "n", "point", "grams")
-    upper = _packed(roots, percent, capacity).select("node", F.col("root").alias("upper"))
+    roots = leaves.where("node = root").join(shared, "cluster").select("cluster", "node", "n", "point", "body")
+    upper = _packed(roots, percent, width, capacity).select("node", F.col("root").alias("upper"))
     many = leaves.join(shared, "cluster").join(upper.withColumnRenamed("node", "root"), "root").withColumn("label", F.col("upper"))
     boxes = many.groupBy("cluster", "leaf").agg(
         F.min("label").alias("one"), F.max("label").alias("two"), F.max("top").alias("top"), F.max("low").alias("low"), F.max("high").alias("high")
@@ -371,8 +377,8 @@ def _labelled(leaves: DataFrame, percent: int, capacity: int) -> DataFrame:
     sides = met.withColumn("unit", F.xxhash64("leaf", "leaf_b")).select(
         "unit", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("leaf")) for s, c in ((0, "leaf"), (1, "leaf_b"))])).alias("x")
     )
-    rows = sides.select("unit", "x.side", "x.leaf").join(many, "leaf").select("unit", "side", "label", "n", "point", "grams")
-    links = rows.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_crossed(percent), "a bigint, b bigint")
+    rows = sides.select("unit", "x.side", "x.leaf").join(many, "leaf").select("unit", "side", "label", "n", "point", "body")
+    links = rows.repartition("unit").sortWithinPartitions("unit", "side").mapInArrow(_crossed(percent, width), "a bigint, b bigint")
     upper_edges = upper.select(F.col("node").alias("a"), F.col("upper").alias("b"))
     joined = components(links.unionByName(upper_edges))
     return plain.join(joined, plain["label"] == joined["node"], "left").select(
@@ -397,9 +403,11 @@ def near_copies(
     holders = info.select("id", "digest", "node").join(clusters, "node").groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("best"), F.first("component").alias("cluster")
     )
-    texts = with_decisions(rows.select("id", "text"), holders.select("best.id", "best.digest", "cluster"), "id", "text", "inner")
-    members = texts.select("text", "cluster").mapInArrow(_pointed(width), "cluster bigint, node bigint, n bigint, point array<int>, grams binary")
-    labels = _labelled(_packed(members, percent, leaf), percent, leaf)
+    points = rows.mapInArrow(_pointed(width), f"id {kind}, digest bigint, n bigint, point array<int>, body binary").where("n > 0")
+    best = holders.select(F.col("best.id").alias("best_id"), F.col("best.digest").alias("best_digest"), "node", "cluster")
+    members = points.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest")))
+    members = members.select("cluster", "node", "n", "point", "body")
+    labels = _labelled(_packed(members, percent, width, leaf), percent, width, leaf)
     placed = info.select("id", "digest", "n", "node").join(labels, "node", "left").select(
         "id", "digest", "n", F.coalesce("label", "node").alias("label")
     )
