@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 # Characters removed from an export, and spaces normalised in it.
 INVISIBLE = "\ufeff\u200b\u200c\u200d\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2060"
 ODD_SPACES = "\u202f\u00a0"
-BLANKS = " \t\n\x0b\f\r"
+BLANKS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK_CLASS = r"\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Characters that end a line.
+LINE_END = r"\r\n|[\n\r\x{0b}\x{0c}\x{1c}-\x{1e}\x{85}\x{2028}\x{2029}]"
 
 # Bodies that carry nothing to read.
 NOISE = (
@@ -77,7 +83,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(r"\S+"))
+    return F.regexp_count(text, F.lit(f"[^{BLANK_CLASS}]+"))
 
 
 def tokens(text: Column) -> Column:
@@ -151,7 +157,7 @@ def topic_bucket(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS) ->
 
 def normalise(text: Column) -> Column:
     """Lower case, outer space dropped, inner space collapsed."""
-    return F.regexp_replace(strip(F.lower(text)), r"\s+", " ")
+    return F.regexp_replace(strip(F.lower(text)), f"[{BLANK_CLASS}]+", " ")
 
 
 def snippet(text: Column, chars: int = 500) -> Column:

@@ -109,7 +109,7 @@ def context_blocks(
             F.expr("listagg(_line, '\n') WITHIN GROUP (ORDER BY pos)").alias("text"),
         )
         .withColumn("text", strip(F.col("text")))
-        .filter((F.col("text") != "") & ((F.col("score") >= min_score) | F.col("about")))
+        .filter((F.col("text") != "") & ((score_or_zero(F.col("score")) >= min_score) | F.col("about")))
         .select("request_id", F.lit(0).alias("kind"), F.col("start").cast("double").alias("place"), F.lit("").alias("tie"), "text")
     )
     known = line.select(WS, "message_id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions.scores import adjusted, dual_gate, passes_gate, recency_delta
-from talkweave.functions.text import chunk_density, snippet
+from talkweave.functions.text import chunk_density, snippet, strip
 from talkweave.operators.search import bm25_topk, cosine_topk
 from talkweave.plans.ordered import top_rows
 
@@ -74,6 +74,11 @@ def weak_pass(
     return judged.groupBy("request_id").agg(F.bool_or(is_weak).alias("is_weak"))
 
 
+def phrasings(queries: DataFrame) -> DataFrame:
+    """Queries without outer white space; blank ones ask nothing and do not count."""
+    return queries.withColumn("text", strip(F.col("text"))).filter("text <> ''")
+
+
 def retrieval_legs(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """All hits of person-first retrieval: ``request_id, query_id, leg, message_id, score``.
 
@@ -81,12 +86,13 @@ def retrieval_legs(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, k:
     their queries.  One keyword search serves both scopes: the person leg keeps the hits
     spoken by the person.
     """
-    asked = queries.select("request_id", "query_id", "speaker")
+    queries = phrasings(queries)
+    asked = queries.select("request_id", "query_id", "workspace_id", "speaker")
     keyword = (
         bm25_topk(corpus, queries.withColumn("text", F.lower("text")), k)
         .drop("rank")
         .join(asked, "query_id")
-        .join(corpus.select("message_id", F.col("speaker").alias("_said_by")), "message_id")
+        .join(corpus.select("workspace_id", "message_id", F.col("speaker").alias("_said_by")), ["workspace_id", "message_id"])
     )
     own = cosine_topk(vectors, queries, k, ["workspace_id", "person_id"]).drop("rank").join(asked, "query_id")
     weak = weak_pass(own, queries).filter("is_weak").select("request_id")
@@ -118,14 +124,14 @@ def fast_retrieve(
     """Person-first retrieval with widening, recency and density adjustment and the gate.
 
     ``queries``: ``request_id, query_id, workspace_id, person_id, speaker, intent, text,
-    embedding``; one row per phrasing.
+    embedding``; one row per phrasing, blank ones left out.  A request lies in one workspace.
     """
     hits = merge_legs(retrieval_legs(corpus, vectors, queries, k), k).drop("rank")
-    per_request = queries.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("query_count"), F.first("intent").alias("intent")
+    per_request = phrasings(queries).groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("query_count"), F.min("intent").alias("intent"), F.min("workspace_id").alias("workspace_id")
     )
-    detail = corpus.select("message_id", "speaker", "ts", snippet(F.col("text")).alias("snippet"))
-    rows = hits.join(per_request, "request_id").join(detail, "message_id")
+    detail = corpus.select("workspace_id", "message_id", "speaker", "ts", snippet(F.col("text")).alias("snippet"))
+    rows = hits.join(per_request, "request_id").join(detail, ["workspace_id", "message_id"]).drop("workspace_id")
     recency = recency_delta(F.col("ts"), as_of, F.col("intent"))
     rows = rows.withColumn("score", adjusted(F.col("score"), recency))
     rows = rows.withColumn("score", adjusted(F.col("score"), chunk_density(F.col("snippet"))))

@@ -19,8 +19,8 @@ DELETED_BODY = r"(?i)^This message was deleted\.?$"
 DELETED_TAG = "[message deleted]"
 TIME = r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([APMapm]{2})?"
 DATE = r"(\d{1,2})/(\d{1,2})/(\d{2,4})"
-ANDROID = "^" + DATE + r",\s+" + TIME + r"\s+-\s+(.+)$"
-IOS = r"^\[" + DATE + r",\s+" + TIME + r"\]\s+(.+)$"
+ANDROID = "(?s)^" + DATE + r",\s+" + TIME + r"\s+-\s+(.+)$"
+IOS = r"(?s)^\[" + DATE + r",\s+" + TIME + r"\]\s+(.+)$"
 SEPARATOR = "\x1f"
 STARTS_LIKE_HEADER = r"^\[?\d{1,2}/\d{1,2}/\d{2,4},\s+\d{1,2}:\d{2}"
 

@@ -175,7 +175,7 @@ def _bm25_packed(token_table, corpus, wanted, stats, k, id_type) -> DataFrame:
                 yield part @ member_[:, asked], here[lo:hi], asked
 
     rows = token_table.select("message_id", "workspace_id", "terms")
-    return local_topk(rows, score, arrow_ids([r.query_id for r in wanted]), schema, k, minimum=0.0)
+    return local_topk(rows, score, arrow_ids([r.query_id for r in wanted], id_type), schema, k, minimum=0.0)
 
 
 def codes(values: pa.Array, known: list) -> np.ndarray:
@@ -213,38 +213,51 @@ def bm25_join(token_table: DataFrame, terms: DataFrame, k: int) -> DataFrame:
 # ---------------------------------------------------------------- vectors
 
 
+def scope_key(scope: Sequence[str]) -> Column:
+    """One text for all rows that agree on every ``scope`` column and on the length of their vector.
+
+    Null where a scope column is null or the vector is missing or empty: such a row meets nothing.
+    """
+    there = F.size("embedding") > 0
+    for name in scope:
+        there = there & F.col(name).isNotNull()
+    return F.when(there, F.to_json(F.struct(F.size("embedding").alias("dims"), *scope)))
+
+
 def cosine_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 8, scope: Sequence[str] = ("workspace_id",)
 ) -> DataFrame:
     """Exact cosine top-k: ``query_id, message_id, score, rank``.
 
-    A request sees the vectors that agree with it on every ``scope`` column.  The vectors
-    stay where they are; only ``k`` rows per request leave a task.
+    A request sees the vectors that agree with it on every ``scope`` column and have its length; null
+    agrees with nothing.  The vectors stay where they are; only ``k`` rows per request leave a task.
     """
-    scope = list(scope)
-    code = F.xxhash64(*scope) if scope else F.lit(0).cast("bigint")
-    rows = vectors.select("message_id", code.alias("_scope"), "embedding")
-    asked = queries.select("query_id", code.alias("_scope"), "embedding")
-    schema = f"query_id {ddl(queries.schema['query_id'])}, message_id {ddl(vectors.schema['message_id'])}, score double"
+    key = scope_key(list(scope))
+    rows = vectors.select("message_id", key.alias("_scope"), "embedding").filter("_scope is not null")
+    asked = queries.select("query_id", key.alias("_scope"), "embedding").filter("_scope is not null")
+    id_type = ddl(queries.schema["query_id"])
+    schema = f"query_id {id_type}, message_id {ddl(vectors.schema['message_id'])}, score double"
     small = packed(asked, PACKED_REQUESTS)
     if small is None:
         return _cosine_cells(rows, asked, schema, k)
     if not small:
         return vectors.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
-    matrix = _unit(np.array([r.embedding for r in small], dtype=np.float64))
-    scopes = np.array([r._scope for r in small])
-    shared = vectors.sparkSession.sparkContext.broadcast((matrix, scopes))
+    members: dict[str, list[int]] = {}
+    for at, r in enumerate(small):
+        members.setdefault(r._scope, []).append(at)
+    blocks = [(np.array(own), _unit(np.array([small[i].embedding for i in own], dtype=np.float64))) for own in members.values()]
+    shared = vectors.sparkSession.sparkContext.broadcast((list(members), blocks))
 
     def score(batch: pa.RecordBatch):
-        matrix_, scopes_ = shared.value
-        units = _units(batch.column("embedding"), matrix_.shape[1])
-        row_scope = batch.column("_scope").to_numpy()
-        for code in np.intersect1d(row_scope, scopes_):
-            here, wanted = np.flatnonzero(row_scope == code), np.flatnonzero(scopes_ == code)
-            yield units[here] @ matrix_[wanted].T, here, wanted
+        scopes_, blocks_ = shared.value
+        row_scope = codes(batch.column("_scope"), scopes_)
+        lists = batch.column("embedding")
+        for code in np.unique(row_scope[row_scope >= 0]):
+            here = np.flatnonzero(row_scope == code)
+            wanted, matrix_ = blocks_[code]
+            yield _units(lists.take(pa.array(here)), matrix_.shape[1]) @ matrix_.T, here, wanted
 
-    wide = rows.filter(F.size("embedding") == matrix.shape[1])
-    return local_topk(wide, score, arrow_ids([r.query_id for r in small]), schema, k)
+    return local_topk(rows, score, arrow_ids([r.query_id for r in small], id_type), schema, k)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -264,15 +277,12 @@ def _cosine_cells(rows: DataFrame, asked: DataFrame, schema: str, k: int) -> Dat
     requests into runs of ``CELL_REQUESTS``; a cell multiplies its two blocks and emits
     ``k`` rows per request, never its pairs.
     """
-    dims = asked.select(F.size("embedding")).first()[0]
-    rows, asked = (df.filter(F.size("embedding") == dims) for df in (rows, asked))
-    cell_rows = max(1, CELL_VALUES // dims)
     grid = (
-        rows.groupBy("_scope").agg(F.count(F.lit(1)).alias("_r"))
+        rows.groupBy("_scope").agg(F.sum(F.size("embedding")).alias("_r"))
         .join(asked.groupBy("_scope").agg(F.count(F.lit(1)).alias("_q")), "_scope")
         .select(
             "_scope",
-            F.ceil(F.col("_r") / cell_rows).alias("_rb"),
+            F.ceil(F.col("_r") / CELL_VALUES).alias("_rb"),
             F.ceil(F.col("_q") / CELL_REQUESTS).alias("_qb"),
         )
     )

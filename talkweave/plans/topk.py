@@ -106,5 +106,9 @@ def ddl(field) -> str:
     return field.dataType.simpleString()
 
 
-def arrow_ids(values: list) -> pa.Array:
-    return pa.array(values)
+ARROW_IDS = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
+
+def arrow_ids(values: list, kind: str) -> pa.Array:
+    """Request ids in the type that their column has."""
+    return pa.array(values, ARROW_IDS.get(kind))

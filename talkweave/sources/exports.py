@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkweave.functions.text import LINE_END
 from talkweave.plans.ordered import block_of, dense_position
 
 FILE_NAME = r"([^/]+)\.txt$"
@@ -26,9 +27,12 @@ def read_exports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_lines(exports: DataFrame) -> DataFrame:
-    """``workspace_id, seq, line``: one row per line, numbered from 0."""
+    """``workspace_id, seq, line``: one row per line, numbered from 0.
+
+    Line separators other than LF (vertical tab, form feed, U+0085, U+2028 and so on) end a line too.
+    """
     return exports.select(
-        "workspace_id", F.posexplode(F.split("text", "\n")).alias("seq", "line")
+        "workspace_id", F.posexplode(F.split("text", LINE_END)).alias("seq", "line")
     ).withColumn("seq", F.col("seq").cast("bigint"))
 
 
@@ -39,8 +43,10 @@ def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
     numbering needs no task that sees a whole file.
     """
     raw = spark.read.option("pathGlobFilter", "*.txt").text(path)
+    # Metadata gives the path as a URI; a plus sign there is a plus sign.
+    file_path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     lines = raw.select(
-        F.regexp_extract("_metadata.file_path", FILE_NAME, 1).alias("workspace_id"),
+        F.regexp_extract(file_path, FILE_NAME, 1).alias("workspace_id"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),
@@ -48,13 +54,12 @@ def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
     latin = lines.groupBy("workspace_id").agg(
         (~F.bool_and(F.is_valid_utf8("line"))).alias("_latin")
     )
-    numbered = dense_position(
-        lines, ["workspace_id"], [F.col("_row")], [F.col("_start"), block_of("_row")], out="seq"
+    decoded = lines.join(latin, "workspace_id").withColumn(
+        "line",
+        F.when(F.col("_latin"), F.decode(F.col("line").cast("binary"), "ISO-8859-1")).otherwise(F.col("line")),
     )
-    return numbered.join(latin, "workspace_id").select(
-        "workspace_id",
-        "seq",
-        F.when(F.col("_latin"), F.decode(F.col("line").cast("binary"), "ISO-8859-1"))
-        .otherwise(F.col("line"))
-        .alias("line"),
+    split = decoded.select("workspace_id", "_start", "_row", F.posexplode(F.split("line", LINE_END)).alias("_sub", "line"))
+    numbered = dense_position(
+        split, ["workspace_id"], [F.col("_row"), F.col("_sub")], [F.col("_start"), block_of("_row")], out="seq"
     )
+    return numbered.select("workspace_id", "seq", "line")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.plans.ordered import block_of
+from talkweave.plans.ordered import block_of, top_rows
 
 
 def write_messages(messages: DataFrame, path: str) -> None:
@@ -30,9 +30,11 @@ def read_messages(spark: SparkSession, path: str) -> DataFrame:
 def upsert(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """``current`` with the rows of ``changes`` put in or replaced, matched on ``keys``.
 
-    A small change set is broadcast and leaves ``current`` where it lies.
+    Of several changes with one key the one with the largest hash of all columns stays, so a rerun agrees.
     """
-    return current.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+    order = F.xxhash64(*changes.columns).desc()
+    once = top_rows(changes, keys, [order], 1).select(*changes.columns)
+    return current.join(once.select(*keys), keys, "left_anti").unionByName(once)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
