@@ -2,10 +2,12 @@
 
 Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of distinct word n-grams.
 
-1. A task turns each text into its set and the set into block keys.  The hash range is cut into more blocks than
-   the largest symmetric difference that a linked pair of that size band can have, so a linked pair has equal
-   blocks, and the largest of them gives both sets the same key.  Exact copies are one node.
-2. Nodes that share a block key are in one cluster, so every link lies inside a cluster.
+1. A task turns each text into its set, and counts for each n-gram the documents that have it, in a sketch of at most
+   ``2 ** MAX_BITS`` counters.  The n-grams of a set are put in one order for all sets, rare ones first by the sketch, and
+   the first ``n - ceil(n * percent / 100) + 1`` are its keys: two linked sets have a key in common whatever the order.  Rare
+   keys keep documents apart that only share a passage.  A counter never falls short, so a key that it saw in one document
+   needs no row.  Exact copies are one node.
+2. Nodes that share a key are, with all that they reach this way, in one cluster, so every link lies inside a cluster.
 3. The n-grams of a node are dealt into ``GROUPS`` groups; the group counts are its point.  The nodes of a
    cluster, sorted by size and counts, are packed into leaves of at most ``LEAF`` points and about ``LEAF_BYTES`` of sets.  A leaf, and each pair
    of leaves of a cluster that the boxes allow, is searched with a small tree: the overlap of two sets is at
@@ -33,41 +35,75 @@ GROUPS = 32
 FAN = 16
 LEAF = 2048
 LEAF_BYTES = 32 << 20
+SEGMENT = 1 << 16
+MIN_BITS, MAX_BITS = 16, 25
 
 
-def _bands(limit: int = 1 << 40) -> list[int]:
-    """First sizes of the size bands; each is half as large again as the one before."""
-    edges = [1]
-    while edges[-1] < limit:
-        edges.append(edges[-1] * 3 // 2 + 1)
-    return edges
+def _counters(grams: np.ndarray, bits: int) -> np.ndarray:
+    return (grams >> np.uint64(64 - bits)).astype(np.int64)
 
 
-BANDS = _bands()
+def _counted(width: int, bits: int):
+    """Counters of the texts of a task that are not zero, by segment: steps from one to the next and counts up to 255."""
 
+    def run(batches):
+        held = np.zeros(1 << bits, np.uint8)
+        for batch in batches:
+            for grams in _sets(batch.column("text"), width):
+                at = _counters(grams, bits)
+                held[at] += held[at] < 255
+        for segment in range(len(held) // SEGMENT):
+            part = held[segment * SEGMENT : (segment + 1) * SEGMENT]
+            places = np.flatnonzero(part)
+            if len(places):
+                steps = np.diff(places, prepend=0).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([segment], pa.int32()), pa.array([steps.tobytes()]), pa.array([part[places].tobytes()])], ["segment", "steps", "counts"]
+                )
+
+    return run
 
-def block_keys(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a sorted set; two linked sets have one in common.
 
-    A pair is looked for in the band of its smaller set.  With ``D`` the most n-grams that differ there and ``D + 1 + S``
-    blocks, ``S + 1`` blocks of a pair are equal at least, and the largest of them is among the ``D + 1`` largest of both
-    sets.  So the ``S`` smallest blocks, which say little or nothing, need no key.
+def _classes(batches):
+    """The bit length of each counter, one row per segment, from rows sorted by segment."""
+
+    def row(segment, held):
+        lengths = np.frexp(held.astype(np.float64))[1].astype(np.uint8)
+        return pa.RecordBatch.from_arrays([pa.array([segment], pa.int32()), pa.array([lengths.tobytes()])], ["segment", "classes"])
+
+    at, held = None, np.zeros(SEGMENT, np.int64)
+    for batch in batches:
+        for segment, steps, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if at is not None and segment != at:
+                yield row(at, held)
+                held = np.zeros(SEGMENT, np.int64)
+            at = segment
+            held[np.cumsum(np.frombuffer(steps, np.uint16), dtype=np.int64)] += np.frombuffer(counts, np.uint8)
+    if at is not None:
+        yield row(at, held)
+
+
+def frequency_classes(rows: DataFrame, width: int, grams: int) -> bytes:
+    """One byte per counter, at most ``2 ** MAX_BITS``: the bit length of the number of documents that it saw."""
+    bits = min(MAX_BITS, max(MIN_BITS, int(grams).bit_length()))
+    parts = rows.select("text").mapInArrow(_counted(width, bits), "segment int, steps binary, counts binary")
+    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_classes, "segment int, classes binary")
+    held = bytearray(1 << bits)
+    for segment, classes in merged.collect():  # never more than the sketch's own bytes
+        held[segment * SEGMENT : (segment + 1) * SEGMENT] = classes
+    return bytes(held)
+
+
+def rare_keys(grams: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set; two linked sets have one in common.
+
+    Linked sets have ``ceil(percent * n / 100)`` n-grams of the larger one in common.  In any order that both follow, the
+    first of these is preceded in each set only by n-grams outside the overlap, so it is among the keys of both.
     """
     n = len(grams)
-    if n == 0:
-        return grams
-    found, total = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.mix(grams))])
-    high = grams >> np.uint64(32)
-    band = int(np.searchsorted(BANDS, n, "right")) - 1
-    while band >= 0 and 100 * (BANDS[band + 1] - 1) >= percent * n:
-        differ = (BANDS[band + 1] - 1) * (100 - percent) // percent
-        blocks = differ + 2 + differ * 3 // 10
-        edge = np.searchsorted((high * np.uint64(blocks)) >> np.uint64(32), np.arange(blocks + 1, dtype=np.uint64))
-        place = (np.arange(1, blocks + 1, dtype=np.uint64) << np.uint64(8)) + np.uint64(band)
-        key = w.mix(w.mix(total[edge[1:]] - total[edge[:-1]]) + w.mix(place))
-        found.append(key[np.lexsort((key, edge[1:] - edge[:-1]))[-(differ + 1) :]])
-        band -= 1
-    return np.concatenate(found)
+    seen = classes[_counters(grams, len(classes).bit_length() - 1)]
+    first = np.lexsort((grams, seen))[: n - (percent * n + 99) // 100 + 1]
+    return grams[first[seen[first] > 1]]
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -98,11 +134,12 @@ def _described(width: int):
     return run
 
 
-def _cells(width: int, percent: int):
+def _cells(width: int, percent: int, classes):
     """``(key, node)`` rows.  A key that repeats in a batch leaves its smallest node, and each other node a row
     pair of their own that says the same; so a key of very many nodes shuffles one row per batch."""
 
     def run(batches):
+        held = np.frombuffer(classes.value, np.uint8)
         for batch in batches:
             keys, nodes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             seen: set[int] = set()
@@ -110,7 +147,7 @@ def _cells(width: int, percent: int):
                 node = _node(grams) if len(grams) else None
                 if node is not None and node not in seen:
                     seen.add(node)
-                    keys.append(block_keys(grams, percent))
+                    keys.append(rare_keys(grams, held, percent))
                     nodes.append(np.full(len(keys[-1]), node))
             key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
             if not len(key):
@@ -161,15 +198,18 @@ class CountTree:
         self.top = points[self.slots].max(axis=1)
         self.low, self.high = sizes[self.slots].min(axis=1), sizes[self.slots].max(axis=1)
 
-    def pairs(self, other: CountTree, percent: int) -> Iterator[tuple[int, int]]:
-        """Pairs of point numbers that may be linked; of one tree, each pair once."""
+    def pairs(self, other: CountTree, percent: int, part: np.ndarray, other_part: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Pairs of point numbers that may be linked and are of different parts; of one tree, each pair once."""
         same = other is self
         for i in range(len(self.slots)):
             start = i if same else 0
             fits = _may_link(self.top[i], self.low[i], self.high[i], other.top[start:], other.low[start:], other.high[start:], percent)
             for j in np.flatnonzero(fits) + start:
                 a, b = self.slots[i], other.slots[j]
-                ok = _may_link(
+                apart = part[a][:, None] != other_part[b][None]
+                if not apart.any():
+                    continue
+                ok = apart & _may_link(
                     self.points[a][:, None], self.sizes[a][:, None], self.sizes[a][:, None],
                     other.points[b][None], other.sizes[b][None], other.sizes[b][None], percent,
                 )
@@ -223,15 +263,15 @@ def connect(labels: list[int], sets: list[np.ndarray], points: np.ndarray, sizes
     """Links that join two labels, among all sets (``split`` 0) or between the first ``split`` and the others."""
     if split and len(set(labels)) == 1:
         return
-    roots = Roots()
+    part = np.unique(labels, return_inverse=True)[1]
     if split:
         trees = CountTree(points[:split], sizes[:split]), CountTree(points[split:], sizes[split:])
     else:
         trees = (CountTree(points, sizes),) * 2
-    for x, y in trees[0].pairs(trees[1], percent):
+    for x, y in trees[0].pairs(trees[1], percent, part[:split] if split else part, part[split:]):
         y += split
-        if roots.find(labels[x]) != roots.find(labels[y]) and linked(sets[x], sets[y], percent):
-            roots.join(labels[x], labels[y])
+        if part[x] != part[y] and linked(sets[x], sets[y], percent):
+            part[part == part[y]] = part[x]
             yield labels[x], labels[y]
 
 
@@ -397,7 +437,9 @@ def near_copies(
     rows = identified(docs, id_col, text_col)
     kind = dict(rows.dtypes)["id"]
     info = cut(rows.mapInArrow(_described(width), f"id {kind}, digest bigint, n bigint, node bigint"))
-    cells = rows.select("text").mapInArrow(_cells(width, percent), "key bigint, node bigint")
+    classes = frequency_classes(rows, width, info.select(F.sum("n")).first()[0] or 0)
+    sent = docs.sparkSession.sparkContext.broadcast(classes)
+    cells = rows.select("text").mapInArrow(_cells(width, percent, sent), "key bigint, node bigint")
     meetings = cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "a bigint, b bigint")
     clusters = components(meetings)
     holders = info.select("id", "digest", "node").join(clusters, "node").groupBy("node").agg(

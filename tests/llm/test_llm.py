@@ -277,8 +277,9 @@ def test_near_copies_of_awkward_rows(spark):
     assert got == [(False, 3, 1, 3), (False, 3, 1, 3), (False, 7, 4, 7), (True, 0, 0, None), (True, 0, 4, 7)]
 
 
-def test_block_keys_meet_for_every_linked_pair():
+def test_rare_keys_meet_for_every_linked_pair_whatever_the_sketch_says():
     rng = np.random.default_rng(5)
+    classes = rng.integers(2, 9, 1 << 16).astype(np.uint8)
     for percent in (50, 80, 90, 99):
         for _ in range(150):
             n = int(rng.integers(1, 300))
@@ -286,7 +287,27 @@ def test_block_keys_meet_for_every_linked_pair():
             b = a[rng.random(len(a)) > rng.choice([0, 0.02, 0.06, 0.1])]
             b = np.unique(np.concatenate([b, rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 10)), dtype=np.uint64)]))
             if len(b) and jaccard.linked(a, b, percent):
-                assert set(jaccard.block_keys(a, percent).tolist()) & set(jaccard.block_keys(b, percent).tolist())
+                assert set(jaccard.rare_keys(a, classes, percent).tolist()) & set(jaccard.rare_keys(b, classes, percent).tolist())
+
+
+def test_sketch_never_falls_short(spark):
+    texts = [f"a b c d{i % 7} e{i % 3} f" for i in range(300)] + ["once only here", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    classes = np.frombuffer(jaccard.frequency_classes(rows, 3, 1000), np.uint8)
+    sets = list(jaccard._sets(pa.array(texts, pa.string()), 3))
+    grams, times = np.unique(np.concatenate(sets), return_counts=True)
+    assert (classes[jaccard._counters(grams, 16)] >= [int(t).bit_length() for t in times]).all()
+    assert len(jaccard.rare_keys(sets[300], classes, 80)) == 0 < len(jaccard.rare_keys(sets[0], classes, 80))
+
+
+def test_passages_shared_by_many_texts_do_not_gather_them(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [passage + " " + " ".join(f"w{k}x{i}" for i in range(60)) for k in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    classes = np.frombuffer(jaccard.frequency_classes(rows, 5, 1 << 20), np.uint8)
+    keys = [jaccard.rare_keys(s, classes, 80) for s in jaccard._sets(pa.array(texts, pa.string()), 5)]
+    # One counter may hold two n-grams of different texts by chance; hardly any does.
+    assert sum(map(len, keys)) < 60
 
 
 def test_count_tree_loses_no_pair():
@@ -295,7 +316,7 @@ def test_count_tree_loses_no_pair():
     sets = [np.sort(base[rng.random(len(base)) > rng.choice([0.01, 0.05, 0.2])]) for _ in range(70)]
     points, sizes = np.array([jaccard.point_of(s) for s in sets]), np.array([len(s) for s in sets])
     tree = jaccard.CountTree(points, sizes)
-    found = {tuple(sorted(p)) for p in tree.pairs(tree, 90)}
+    found = {tuple(sorted(p)) for p in tree.pairs(tree, 90, np.arange(70), np.arange(70))}
     assert {(i, j) for i in range(70) for j in range(i + 1, 70) if jaccard.linked(sets[i], sets[j], 90)} <= found
 
 
