@@ -3,6 +3,8 @@
 Each source's words are cut into blocks of about ``block_words`` words by a seeded hash of the document, so a
 source of any size is spread over many blocks.  A source is taken whole as often as its target allows; for the
 rest, permuted blocks are drawn until the next would pass the target, and that one is filled document by document.
+The blocks after it go on with the words still left, without the documents that are longer, and so on until no
+document fits; one more is taken if that ends nearer.  What is not drawn by whole blocks is dealt as blocks of its own.
 A splitting tree then deals the exact block quotas of all sources among the output shards: each node draws the
 block counts of its left half from a multivariate hypergeometric law, so every shard gets equally many blocks and
 no block goes to two.  Blocks follow the permuted order; inside a shard documents are ordered by a seeded hash.
@@ -65,17 +67,60 @@ def _place(seed: int, *columns: Column) -> Column:
 
 
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one block, the larger ones first, as long as they fit; one more if that ends nearer."""
+    """Documents of one block, the larger ones first, as long as they fit."""
     group = group.sort_values(["size", "place", "digest"], ascending=[False, True, True], kind="stable")
     left = group["left"].iloc[0]
     taken = []
     for size in group["size"]:
-        taken.append(size <= left and size > 0)
+        taken.append(size <= left)
         left -= size if taken[-1] else 0
-    rest = [i for i, t in enumerate(taken) if not t and group["size"].iloc[i] > 0]
-    if rest and abs(left - group["size"].iloc[rest[-1]]) < left:
-        taken[rest[-1]] = True
-    return group.assign(extra=np.array(taken, bool))[["source", "block", "place", "digest", "extra"]]
+    return group[np.array(taken, bool)][["number", "block", "place", "digest", "size"]]
+
+
+def _upto(blocks: DataFrame) -> DataFrame:
+    """``upto, fits, edge`` of permuted blocks with ``words`` that draw on ``left``: ``edge`` is the first that does not fit."""
+    blocks = blocks.withColumn("upto", F.sum("words").over(Window.partitionBy("number").orderBy("turn")))
+    blocks = blocks.withColumn("fits", F.col("upto") <= F.col("left"))
+    return blocks.withColumn("edge", ~F.col("fits") & (F.col("upto") - F.col("words") <= F.col("left")))
+
+
+def _late(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``number, block, place, digest, size`` of the documents drawn one by one once ``blocks`` are drawn that fit.
+
+    ``docs`` holds one row per document with words, with ``turn`` and ``left`` of its block.  A round draws the documents that
+    fit in the words left: by whole blocks as far as they go, then out of the edge block.  No document up to that block
+    fits any more then, so the next round starts behind it.  A round uses at least half the words left, so rounds are few.
+    """
+    keys = ["number", "block", "place", "digest", "size"]
+    level, fit, first, late = blocks, docs.where("size <= left"), True, []
+    while first or not level.isEmpty():
+        edge = level.where("edge").select("number", "block", (F.col("left") - F.col("upto") + F.col("words")).alias("left"))
+        filled = fit.drop("left").join(edge, ["number", "block"]).groupBy("number", "block").applyInPandas(
+            _fill, "number bigint, block bigint, place bigint, digest bigint, size bigint"
+        )
+        if not first:
+            filled = filled.unionByName(fit.join(level.where("fits").select("number", "block"), ["number", "block"], "left_semi").select(keys))
+        late.append(cut(filled))
+        spent = late[-1].groupBy("number").agg(F.sum("size").alias("spent"))
+        of_blocks = F.max(F.when(F.col("fits"), F.col("upto"))) if first else F.lit(None)
+        state = level.groupBy("number").agg(
+            F.first("left").alias("left"), F.coalesce(of_blocks, F.lit(0)).alias("drawn"), F.max(F.when(F.col("edge"), F.col("turn"))).alias("after")
+        )
+        state = state.join(spent, "number", "left").select("number", (F.col("left") - F.col("drawn") - F.coalesce("spent", F.lit(0))).alias("left"), "after")
+        # A source without an edge has drawn all that fits.
+        now = cut(state)
+        lefts = now if first else cut(lefts.join(now, "number", "left_anti").unionByName(now))
+        fit = docs.drop("left").join(F.broadcast(now.where("after is not null and left > 0")), "number").where("turn > after and size <= left")
+        level = fit.groupBy("number", "block", "turn").agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        level, first = cut(_upto(level)), False
+    out = late[0]
+    for more in late[1:]:
+        out = out.unionByName(more)
+    drawn = blocks.where("fits").select("number", "block", F.col("left").alias("under"))
+    rest = docs.drop("left").join(F.broadcast(lefts.select("number", "left")), "number").where("size > left and size < 2 * left")
+    rest = rest.join(drawn, ["number", "block"], "left").where("under is null or size > under").join(out, keys, "left_anti")
+    nearer = rest.groupBy("number").agg(F.min(F.struct("size", "place", "digest", "block")).alias("x"))
+    return cut(out.unionByName(nearer.select("number", "x.block", "x.place", "x.digest", "x.size")))
 
 
 def _split(seed: int):
@@ -156,19 +201,25 @@ def mix(
     placed = rows.join(aims.withColumnRenamed("source", "its"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
     placed = placed.withColumn("place", _place(seed, F.col("id"), F.col("digest")))
     placed = placed.withColumn("block", F.pmod("place", "blocks"))
-    blocks = placed.groupBy("number", "block").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("whole").alias("whole"))
+    # A document is all rows equal in id, text and source; one longer than the rest does not count in its block.
+    units = cut(placed.groupBy("number", "block", "place", "digest").agg(F.sum("size").alias("size"), F.first("rest").alias("left"), F.first("whole").alias("whole")))
+    short = F.col("size") <= F.col("left")
+    blocks = units.groupBy("number", "block").agg(
+        F.sum(F.when(short, F.col("size")).otherwise(0)).alias("words"), F.count(F.when(~short, 1)).alias("long"),
+        F.first("left").alias("left"), F.first("whole").alias("whole"),
+    )
     drawn = Window.partitionBy("number").orderBy(_place(seed + 1, F.col("number"), F.col("block")), "block")
-    blocks = blocks.withColumn("turn", F.row_number().over(drawn)).withColumn("upto", F.sum("words").over(drawn))
-    # The rest takes permuted blocks while they fit; the first that does not is filled by documents.
-    blocks = blocks.withColumn("fits", F.col("upto") <= F.col("rest")).withColumn(
-        "edge", ~F.col("fits") & (F.col("upto") - F.col("words") <= F.col("rest")) & (F.col("rest") > 0)
-    )
-    blocks = blocks.withColumn("edge", F.col("edge") & (F.row_number().over(Window.partitionBy("number", "edge").orderBy("turn")) == 1))
-    blocks = blocks.withColumn("left", F.when(F.col("edge"), F.col("rest") - F.col("upto") + F.col("words")))
-    blocks = blocks.withColumn("draws", F.col("whole") + (F.col("fits") | F.col("edge")).cast("int"))
-    blocks = cut(blocks.select("number", "block", "turn", "fits", "edge", "left", "draws", "whole"))
+    blocks = _upto(blocks.withColumn("turn", F.row_number().over(drawn)))
+    blocks = blocks.withColumn("fits", F.col("fits") & ((F.col("words") > 0) | (F.col("long") == 0)))
+    blocks = cut(blocks.withColumn("draws", F.col("whole") + F.col("fits").cast("int")))
+    late = _late(units.drop("whole").where("size > 0 and left > 0").join(blocks.select("number", "block", "turn"), ["number", "block"]), blocks)
+    # Documents drawn one by one make blocks of their own, numbered below zero.
+    n_late = late.groupBy("number").agg(F.greatest(F.lit(1), F.round(F.sum("size") / F.lit(block_words))).cast("bigint").alias("n"))
+    late = late.join(F.broadcast(n_late), "number").withColumn("home", -1 - F.pmod(_place(seed + 3, F.col("place"), F.col("digest")), "n")).drop("n", "size")
     # Passes one after another: pass p has the blocks with more than p draws, in their permuted order.
     passes = blocks.where("draws > 0").select("number", "block", "turn", F.explode(F.sequence(F.lit(1), "draws")).alias("pass"))
+    own = late.select("number", F.col("home").alias("block")).distinct()
+    passes = passes.unionByName(own.select("number", "block", (-F.col("block")).alias("turn"), F.lit(most + 1).alias("pass")))
     order = Window.partitionBy("number").orderBy("pass", "turn")
     passes = passes.withColumn("turn", F.row_number().over(order).cast("bigint") - 1)
     quotas = aims.select("number").join(passes.groupBy("number").agg(F.count("*").alias("quota")), "number", "left").select(
@@ -180,15 +231,20 @@ def mix(
     homes = passes.join(dealt, ["number", "turn"]).groupBy("number", "block").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("homes")
     )
-    decided = blocks.where("draws > 0").join(homes, ["number", "block"])
-    edge = placed.join(blocks.where("edge").select("number", "block", "left"), ["number", "block"])
-    edge = edge.groupBy(F.col("number").alias("source"), "block", "place", "digest", "left").agg(F.sum("size").alias("size"))
-    extra = edge.groupBy("source", "block").applyInPandas(_fill, "source bigint, block bigint, place bigint, digest bigint, extra boolean")
-    extra = extra.where("extra").select(F.col("source").alias("number"), "block", "place", "digest", "extra")
-    out = placed.join(decided.select("number", "block", "whole", "edge", "homes").withColumnRenamed("whole", "times"), ["number", "block"], "left")
-    out = out.join(extra, ["number", "block", "place", "digest"], "left")
-    copies = F.when(F.col("edge") & F.col("extra").isNull(), F.col("times")).otherwise(F.size("homes"))
-    homes = F.coalesce(F.slice("homes", F.lit(1), copies), F.array().cast("array<bigint>"))
+    homes = cut(homes)
+    decided = blocks.where("draws > 0").select("number", "block", F.col("whole").alias("times"), "fits").join(homes, ["number", "block"])
+    late = late.join(homes.select("number", F.col("block").alias("home"), F.col("homes").alias("own")), ["number", "home"]).drop("home")
+    # Of a block drawn whole, documents longer than the rest stay behind.
+    long = units.where("size > left").join(blocks.where("fits and long > 0").select("number", "block"), ["number", "block"], "left_semi")
+    odd = late.select("number", "block", "place", "digest", "own", F.lit(False).alias("long")).unionByName(
+        long.select("number", "block", "place", "digest", F.array().cast("array<bigint>").alias("own"), F.lit(True).alias("long"))
+    )
+    odd = odd.groupBy("number", "block", "place", "digest").agg(F.max("own").alias("own"), F.max("long").alias("long"))
+    out = placed.join(decided, ["number", "block"], "left")
+    out = out.join(odd, ["number", "block", "place", "digest"], "left")
+    none = F.array().cast("array<bigint>")
+    homes = F.coalesce(F.when(F.col("long"), F.slice("homes", F.lit(1), F.col("times"))).otherwise(F.col("homes")), none)
+    homes = F.concat(homes, F.coalesce("own", none))
     return out.select("id", "digest", "source", "size", "source_size", "target", (F.size(homes) * F.col("size")).alias("taken"), homes.alias("shards"))
 
 

@@ -161,6 +161,24 @@ def test_mixture(spark, shards):
     assert out.count() == got["shards"].map(len).sum() and out.columns[: len(docs.columns)] == docs.columns
 
 
+@pytest.mark.parametrize("long,seed", [(20_000, 1), (20_000, 2), (9_000, 3), (60_000, 4)])
+def test_mixture_with_a_text_far_longer_than_a_block(spark, long, seed):
+    rng = random.Random(seed)
+    texts = ["w " * rng.randint(1, 60) + f"{i}" for i in range(1200)] + ["long " * long] + ["v " * 299 + f"{i}" for i in range(40)] * 2
+    sources = ["a"] * 1201 + ["b"] * 80
+    ids = list(range(1201)) + [*range(2000, 2040)] * 2
+    got = mixture.mix(table(spark, texts, ids, sources), shards=4, seed=seed, block_words=500).toPandas()
+    for source, mine in got.groupby("source"):
+        once = mine.groupby(["id", "digest"]).agg(size=("size", "sum"), n=("taken", "sum"), size_0=("size", "first"))
+        taken, target = int(mine["taken"].sum()), mine["target"].iloc[0]
+        whole = int(target // mine["source_size"].iloc[0])
+        free = [r.size for r in once.itertuples() if r.size_0 and r.n < (whole + 1) * r.size]
+        # The target is missed by less than half the shortest document still free: nothing fits, and one more would not end nearer.
+        assert not free or abs(taken - target) <= 0.5 * min(free) + 1, (source, taken, target)
+        assert not free or abs(taken - target) <= 300
+    assert (got["taken"] == got["shards"].map(len) * got["size"]).all() and got["shards"].map(len).max() <= 3
+
+
 def test_splitting_tree_deals_every_block_once(spark):
     quotas = {0: 17, 1: 0, 2: 100, 3: 1}
     cells = mixture.splitting_tree(spark.createDataFrame(list(quotas.items()), "number bigint, quota bigint"), 7, 3).collect()
