@@ -1,9 +1,10 @@
 """Conversations in reply order, without quoted text.
 
 A line's quote level is the number of ``>`` it starts with (spaces between them allowed).  Lines in a row of one level
-over zero are a passage; it is normalised (lower case, white space to single spaces) and hashed, and so are each
-message's own text and its own paragraphs.  A passage's original is the latest earlier message of its conversation
-that has it, or else the first message of any other conversation that has it.  The shallowest, then longest passage
+over zero are a passage; it is normalised (lower case, white space to single spaces).  A message has a passage if its
+own lines hold it from the start of one to the end of the same or a later one, whatever the line breaks between: its
+text, paragraphs, lines, or any run of lines, quotes between them left out.  A passage's original is the latest earlier
+message of its conversation that has it, or else the first message of any other conversation that has it.  The shallowest, then longest passage
 with an original decides what a message replies to; a reply goes under its original, and a conversation is read by the
 path of turns from its first message down.  An attribution line (``... wrote:``) just above a quote goes with it.
 """
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from talkweave.llm.rows import col, cut
 
 MARKS = r"^((?:\s?>)+)\s?"
+#: Characters by which a passage and the lines it may start at find each other.
+KEY = 32
 
 
 def levels(text: Column) -> Column:
@@ -55,6 +58,31 @@ def _passages(lines: Column) -> Column:
     return F.aggregate(F.filter(lines, lambda x: ~x["drop"]), empty, step)
 
 
+def _keys(lines: Column, at: Column) -> Column:
+    """What a passage starting at line ``at`` (from 1) may begin with: ``KEY`` characters, or all of a shorter run of lines."""
+    line = F.element_at(lines, at)
+    runs = F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(KEY), F.size(lines) - at + 1)), lambda n: F.substring(F.concat_ws(" ", F.slice(lines, at, n)), 1, KEY)
+    )
+    return F.when(F.length(line) >= KEY, F.array(F.substring(line, 1, KEY))).otherwise(F.array_distinct(runs))
+
+
+def _offered(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """``conv_id, turn, hash`` of the runs of own lines that have the key and the length of a passage in ``asked``."""
+    lines = F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != "")
+    said = messages.select("conv_id", "turn", F.xxhash64("text").alias("of"), lines.alias("lines")).where(F.size("lines") > 0)
+    starts = said.select("conv_id", "turn", "of", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at"))
+    starts = starts.select("conv_id", "turn", "of", "at", F.explode(_keys(F.col("lines"), F.col("at"))).alias("key"))
+    found = starts.join(asked.select("key", "size").distinct(), "key")
+    found = found.groupBy("conv_id", "turn", "of").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
+    runs = said.join(found, ["conv_id", "turn", "of"]).select("conv_id", "turn", "lines", F.explode("runs").alias("run"))
+    # Lines have at least one character, so these hold ``size`` characters and the break behind them, or end the text.
+    run = F.concat_ws("\n", F.slice("lines", F.col("run.at"), F.col("run.size")))
+    runs = runs.select("conv_id", "turn", "run.size", run.alias("run"))
+    ends = (F.length("run") == F.col("size")) | (F.substring("run", F.col("size") + 1, F.lit(1)) == "\n")
+    return runs.where(ends).select("conv_id", "turn", F.sha2(F.translate(F.substring("run", F.lit(1), F.col("size")), "\n", " "), 256).alias("hash"))
+
+
 def link_quotes(
     messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text"
 ) -> DataFrame:
@@ -76,10 +104,13 @@ def link_quotes(
     asked = parsed.where("conv_id is not null and turn is not null and passages is not null").select(
         "conv_id", "turn", F.posexplode("passages").alias("place", "p")
     )
-    asked = asked.select("conv_id", "turn", "p.level", F.length("p.text").alias("chars"), "place", F.sha2(normal(F.col("p.text")), 256).alias("hash")).distinct()
-    parts = F.array_distinct(F.concat(F.array("text"), F.split("text", r"\n\s*\n"), F.split("text", "\n")))
-    said = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(parts).alias("part"))
-    said = said.where(F.length(F.trim("part")) > 0).select("conv_id", "turn", F.sha2(normal(F.col("part")), 256).alias("hash"))
+    said_text = normal(F.col("p.text"))
+    asked = cut(asked.select(
+        "conv_id", "turn", "p.level", F.length("p.text").alias("chars"), "place", F.sha2(said_text, 256).alias("hash"),
+        F.substring(said_text, 1, KEY).alias("key"), F.length(said_text).alias("size"),
+    ).where("size > 0").distinct())
+    said = _offered(parsed.where("conv_id is not null and turn is not null"), asked)
+    asked = asked.drop("key", "size")
     wanted = asked.select("hash").distinct()
     said = cut(said.join(wanted, "hash", "left_semi").distinct())
     here = asked.join(said.withColumnRenamed("turn", "found"), ["conv_id", "hash"]).where("found < turn")

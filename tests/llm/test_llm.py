@@ -243,6 +243,26 @@ def test_quotes(spark):
     assert [t for _, t in order] == [0, 2, 3, 1, 4]
 
 
+def test_quotes_of_parts(spark):
+    first = "Alpha one is a line of more than thirty-two characters.\nalpha two\nalpha three\n\nBeta one\nbeta two\n\nGamma, all that is left to say."
+    talk = [
+        (1, 0, first),
+        (1, 1, "> Alpha one is a line of more than thirty-two characters.\n> alpha two\n> alpha three\n>\n> beta one\n> beta two\nTwo paragraphs."),
+        (1, 2, "> alpha two\n> alpha three\nLines of one."),
+        (1, 3, "> beta one beta\n> two\n>\n> Gamma, all that\n> is left to say.\nOther breaks."),
+        (1, 4, "> alpha two\nInline one\ninline two\n> gamma, all that is left to say.\ninline three\ninline four"),
+        (1, 5, "> inline one\n> inline two\nOf the upper piece."),
+        (1, 6, "> inline three\n> inline four\nOf the lower piece."),
+        (1, 7, "> alpha two\n> beta one\nNot in a row."), (1, 8, "> alpha\nNot a line."), (1, 9, "> Alpha one is a line of more than thirty-two char\nNor this."),
+        (2, 0, "> alpha three\n> beta one\nFrom elsewhere."), (2, 1, "é" * 40 + "\nü ß"), (2, 2, "> " + "É" * 40 + "\n> ü ß\nx"),
+    ]
+    rows = spark.createDataFrame([(c, t, "r", x) for c, t, x in talk], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): (r.source_conv, r.source_turn) for r in quotes.link_quotes(rows).collect()}
+    assert [got[1, t] for t in range(1, 7)] == [(1, 0)] * 4 + [(1, 4)] * 2
+    assert [got[1, t] for t in (7, 8, 9)] == [(None, None)] * 3
+    assert got[2, 0] == (1, 0) and got[2, 2] == (2, 1)
+
+
 def sets_by_hand(texts, width):
     out = []
     for t in texts:
