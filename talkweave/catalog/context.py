@@ -268,7 +268,7 @@ ENTRIES = {
  s as (select *, sum(length(text)) over (partition by workspace_id) as chars from t where back <= 6) select workspace_id, seq from s where chars <= 1500 or back <= 3""",
     ),
     "flatten_dialogue": (
-        lambda s, d: cx.flatten_dialogue(fx.messages_conv(s, d), fx.BLOCK).select(WS, "dialogue"),
+        lambda s, d: cx.flatten_dialogue(fx.messages_conv(s, d)).select(WS, "dialogue"),
         C + " select workspace_id, string_agg(concat(case when sender = 'user' then 'User' else sender end, ': ', text), chr(10) order by seq) as dialogue from messages_conv group by 1",
     ),
     "summary_split": (

@@ -225,12 +225,12 @@ def history_budget(turns: DataFrame, turns_kept: int = 30, fewer: int = 20, char
     return tail.withColumn("_chars", total).filter((F.col("_chars") <= chars) | (F.col("back") <= fewer)).drop("_chars")
 
 
-def flatten_dialogue(turns: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """``User: ...`` / ``Name: ...`` lines of a dialogue, one text per block of turns."""
+def flatten_dialogue(turns: DataFrame) -> DataFrame:
+    """``User: ...`` / ``Name: ...`` lines of a dialogue as one text, however many turns it has."""
     label = F.when(F.col("sender") == "user", "User").otherwise(F.col("sender"))
     return (
-        turns.select(WS, "seq", block_of("seq", block).alias("part_no"), F.concat(label, F.lit(": "), "text").alias("_line"))
-        .groupBy(WS, "part_no")
+        turns.select(WS, "seq", F.concat(label, F.lit(": "), "text").alias("_line"))
+        .groupBy(WS)
         .agg(F.expr("listagg(_line, '\n') WITHIN GROUP (ORDER BY seq)").alias("dialogue"))
     )
 

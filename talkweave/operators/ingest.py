@@ -200,7 +200,8 @@ def parse_exports(lines: DataFrame, block: int = BLOCK_ROWS) -> tuple[DataFrame,
 def stitch_lines(lines: DataFrame, part: str, block: int = BLOCK_ROWS) -> DataFrame:
     """Join each line to the last header line before it; lines before the first go.
 
-    ``lines`` has ``part``, ``seq``, ``line`` and a boolean ``is_header``.
+    ``lines`` has ``part``, ``seq``, ``line`` and a boolean ``is_header``.  A message is one row, however many lines it has;
+    ``block`` only bounds the scan for headers.
     """
     located = running_before(
         lines.withColumn("_blk", block_of("seq", block)),
@@ -213,8 +214,7 @@ def stitch_lines(lines: DataFrame, part: str, block: int = BLOCK_ROWS) -> DataFr
         "header_seq", F.when(F.col("is_header"), F.col("seq")).otherwise(F.col("_open"))
     ).filter(F.col("header_seq").isNotNull())
     return (
-        located.withColumn("part_no", F.floor((F.col("seq") - F.col("header_seq")) / block))
-        .groupBy(part, "header_seq", "part_no")
+        located.groupBy(part, "header_seq")
         .agg(
             F.count(F.lit(1)).alias("line_count"),
             F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY seq)").alias("text"),

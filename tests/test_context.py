@@ -243,3 +243,9 @@ def test_packing(spark, block, heavy, monkeypatch):
                 chunk, items, used = chunk + 1, 0, 0
             items, used = items + 1, used + tokens
             assert got[(p, pos)] == chunk
+
+
+def test_a_dialogue_is_one_text_on_both_sides_of_a_block(spark):
+    rows = [("w", 65535, "user", "a"), ("w", 65536, "Mia", "b"), ("v", 1, "Mia", "c")]
+    got = cx.flatten_dialogue(spark.createDataFrame(rows, "workspace_id string, seq bigint, sender string, text string")).collect()
+    assert sorted((r.workspace_id, r.dialogue) for r in got) == [("v", "Mia: c"), ("w", "User: a\nMia: b")]

@@ -1,6 +1,7 @@
 import os
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators import ingest as ig
@@ -59,6 +60,14 @@ def test_message_longer_than_a_block_comes_in_parts(spark):
     assert len(parts) == 3 and {(r.ts, r.sender) for r in parts} == {(datetime(2024, 2, 1, 10, 0), "A")}
 
 
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_stitched_messages_do_not_follow_the_block(spark, block):
+    rows = [("d", i, f"l{i}", i in (2, 6, 7, 30)) for i in range(5000)]
+    got = ig.stitch_lines(spark.createDataFrame(rows, "doc string, seq bigint, line string, is_header boolean"), "doc", block).collect()
+    ends = {2: 6, 6: 7, 7: 30, 30: 5000}
+    assert sorted((r.header_seq, r.line_count, r.text) for r in got) == [(a, b - a, "\n".join(f"l{i}" for i in range(a, b))) for a, b in ends.items()]
+
+
 def test_folder_reading_both_ways(spark, scratch):
     folder = os.path.join(scratch, "in")
     os.makedirs(folder)
