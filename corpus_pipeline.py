@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.llm import contamination, jaccard, lines, mixture, repetition
-from talkweave.llm.rows import cut, text_batches, unused, with_decisions
+from talkweave.llm.rows import col, cut, text_batches, unused, with_decisions
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,12 +29,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id, and of rows equal in id and text one."""
+    """One document of each group of near copies: the one of the smallest id, null last, then of the smallest digest.
+
+    Of rows equal in id and text, the one whose other columns are smallest stays.
+    """
     found = jaccard.near_copies(docs, percent=80, width=5)
-    chosen = found.where(F.col("id").eqNullSafe(F.col("component"))).select("id", "digest").distinct()
+    chosen = found.where("first").select("id", "digest").distinct()
     kept = with_decisions(docs, chosen, "doc_id", "text", "left_semi")
     digest = unused(kept, "digest")
-    return kept.withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest]).drop(digest)
+    row = F.min(F.struct(*map(col, docs.columns))).alias("row")
+    return kept.groupBy("doc_id", F.xxhash64("text").alias(digest)).agg(row).select("row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -429,10 +429,11 @@ def _labelled(leaves: DataFrame, percent: int, width: int, capacity: int) -> Dat
 def near_copies(
     docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF
 ) -> DataFrame:
-    """``id, digest, n_shingles, component`` per row of ``docs``; ``component`` is the smallest id reachable by links.
+    """``id, digest, n_shingles, component, first`` per row of ``docs``; ``component`` is the smallest id reachable by links.
 
     A row of no words links with nothing and is its own component.  Ids must be orderable; null ids count last, so a
-    component of null ids only has a null component.  Repeated rows give equal rows.  Other columns are not read.
+    component of null ids only has a null component.  Repeated rows give equal rows.  ``first`` marks the
+    rows of one id and digest in each component, the smallest, and rows of no words.  Other columns are not read.
     """
     rows = identified(docs, id_col, text_col)
     kind = dict(rows.dtypes)["id"]
@@ -454,7 +455,11 @@ def near_copies(
         "id", "digest", "n", F.coalesce("label", "node").alias("label")
     )
     placed = cut(placed)
-    smallest = placed.where("label is not null").groupBy("label").agg(F.min("id").alias("component"))
+    smallest = placed.where("label is not null").groupBy("label").agg(
+        F.min("id").alias("component"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least")
+    )
+    first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
     return placed.join(smallest, "label", "left").select(
-        "id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component")
+        "id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
+        (F.col("label").isNull() | first).alias("first"),
     )

@@ -310,6 +310,19 @@ def test_near_copies(spark, percent, width, leaf, seed):
     assert [(r.id, r.n_shingles, r.component) for r in got] == components_by_hand(texts, list(range(len(texts))), percent, width)
 
 
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    base = [" ".join(f"{k}{i}" for i in range(60)) for k in "xyz"]
+    rows = [(None, base[0]), (None, base[0] + " more"), (None, base[0] + " other"), (5, base[1]), (5, base[1] + " more"), (None, base[2]), (9, base[2] + " more")]
+    texts, ids = [t for _, t in rows], [i for i, _ in rows]
+    docs = table(spark, texts + texts[3:4] * 2, ids + [5, 5], ["s"] * len(rows) + ["a", "t"])
+    kept = corpus_pipeline.near_copies(spark, docs, "").collect()
+    assert sorted(r.text[0] for r in kept) == ["x", "y", "z"]
+    assert [r.doc_id for r in sorted(kept, key=lambda r: r.text[0])] == [None, 5, 9]
+    assert all(r.source == ("a" if r.text == base[1] else "s") for r in kept)
+
+
 def test_near_copies_of_awkward_rows(spark):
     got = sorted((r.id is None, r.id or 0, r.n_shingles, r.component) for r in jaccard.near_copies(awkward(spark), 90, 3).collect())
     assert got == [(False, 3, 1, 3), (False, 3, 1, 3), (False, 7, 4, 7), (True, 0, 0, None), (True, 0, 4, 7)]
