@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import contamination, html, jaccard, lines, mixture, quotes, repetition, secrets, tokens, toxicity
+from talkweave.llm import contamination, copies, divergence, html, jaccard, lines, mixture, phrases, quotes, repetition, secrets, tokens, toxicity
 from talkweave.llm.rows import text_batches
 
 
@@ -92,6 +92,19 @@ def op10_html(spark: SparkSession, folder: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(_table(spark, folder, "documents").select("text", "lang"))
+
+
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+def op13_copies(spark: SparkSession, folder: str) -> DataFrame:
+    found = copies.exact_copies(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"))
+    return found.drop("carried").withColumnRenamed("id", "doc_id")
+
+
 _ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _STRIP = r"regexp_replace({}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')"
 
@@ -186,6 +199,56 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
        sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (r) left join items using (r)"""
 
+SQL_PHRASES = rf"""
+with d as (select coalesce(lang, 'und') as lang, {_ASCII_LOWER.format("coalesce(text, '')")} as text from documents),
+p as (select row_number() over () as r, lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+      from (select lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) as piece from d)),
+g as (select lang, list_slice(w, i, i + k - 1) as g, count(*) as f
+      from p, (values (1), (2), (3), (4), (5)) as s(k), unnest(range(1, len(w) - k + 2)) as u(i) group by all),
+n as (select lang, cast(sum(f) as hugeint) as n from g where len(g) = 1 group by lang),
+c as (select lang, g, f as a from g where len(g) > 1 and f >= 100),
+gone as (select distinct x.lang, list_slice(x.g, i, i + k - 1) as g, x.a
+         from c x, (values (2), (3), (4)) as s(k), unnest(range(1, len(x.g) - k + 2)) as u(i) where k < len(x.g)),
+kept as (select c.* from c where not exists (select 1 from gone where gone.lang = c.lang and gone.g = c.g and 100 * gone.a >= 100 * c.a)),
+cuts as (select kept.lang, kept.g, a, x.f as l, y.f as r, n, k, (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score
+         from kept join n using (lang), unnest(range(1, len(kept.g))) as u(k)
+              join g x on x.lang = kept.lang and x.g = list_slice(kept.g, 1, k)
+              join g y on y.lang = kept.lang and y.g = list_slice(kept.g, k + 1, len(kept.g))),
+best as (select *, row_number() over (partition by lang, g order by score, k) as b from cuts),
+ranked as (select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score from best where b = 1),
+last as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from ranked)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from last where rank <= 2000"""
+
+SQL_DIVERGENCE = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as n from t group by lang, term having count(distinct r) >= 30),
+sizes as (select lang, count(*) as v, sum(n) as total from kept group by lang),
+groups as (select distinct lang, source from d),
+held as (select lang, source, term, count(*) as n from t join kept using (lang, term) group by all),
+sums as (select lang, source, sum(n) as n from held group by all),
+whole as (select g.lang, g.source, coalesce(s.n, 0)::hugeint + 5 * coalesce(z.v, 0) as base, coalesce(z.v, 0) as v
+          from groups g left join sums s using (lang, source) left join sizes z using (lang)),
+cells as (select w.lang, w.source, k.term, coalesce(h.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(h.n, 0) + 5)) // w.base as p,
+                 1 + (1000000000::hugeint * (k.n + 5)) // (z.total + 5 * z.v)::hugeint as q
+          from whole w join kept k using (lang) join sizes z using (lang) left join held h on h.lang = w.lang and h.source = w.source and h.term = k.term),
+pairs as (select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+          from cells x join cells y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all),
+found as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+          from groups a join groups b on a.lang = b.lang and a.source <> b.source
+               left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+          union all select lang, source, 'term', term, p - q from cells where n > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from found)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank from ranked where part = 'pair' or rank <= 50"""
+
+SQL_COPIES = r"""
+with d as (select doc_id, length(coalesce(text, '')) as size, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) as text_sha256
+           from documents)
+select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
+       row_number() over w = 1 as kept, text_sha256
+from d window w as (partition by text_sha256 order by size desc, doc_id)"""
+
 ENTRIES = {
     "op1_line_dedup": (op1_line_dedup, SQL_LINES),
     "op2_repetition": (op2_repetition, SQL_REPETITION),
@@ -197,4 +260,7 @@ ENTRIES = {
     "op8_tokens": (op8_tokens, None),
     "op9_contamination": (op9_contamination, SQL_CONTAMINATION),
     "op10_html": (op10_html, None),
+    "op11_phrases": (op11_phrases, SQL_PHRASES),
+    "op12_divergence": (op12_divergence, SQL_DIVERGENCE),
+    "op13_copies": (op13_copies, SQL_COPIES),
 }

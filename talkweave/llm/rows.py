@@ -66,6 +66,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 50_000) -> DataFrame:
+    """``rows`` and their ``groups`` (one row per ``key``, with the number of its rows in ``size``), inner.
+
+    Groups of more than ``total / most`` rows are fewer than ``most``, so these are broadcast and their rows stay
+    where they are; only rows of smaller groups are shuffled by ``key``, and no task gets more of one.
+    """
+    least = max(10_000, -(-total // most))
+    large = F.broadcast(groups.where(F.col(size) > least))
+    small = rows.join(large.select(key), key, "left_anti").join(groups.where(F.col(size) <= least), key)
+    return rows.join(large, key).unionByName(small)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``edges(a, b)``, the component being one of its nodes.
 
