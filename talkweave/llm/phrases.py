@@ -212,6 +212,12 @@ def _tails(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "tails"])
 
 
+def _by_lang(df: DataFrame, per_lang: DataFrame, how: str = "left") -> DataFrame:
+    """``df`` and a table of one row per language, which is sent to all tasks while it is small, as one language may hold most rows."""
+    few = per_lang.limit(100_001).count() <= 100_000
+    return df.join(F.broadcast(per_lang) if few else per_lang, "lang", how)
+
+
 _NODE = "id bigint, lang string, phrase string, words array<bigint>, lefts array<bigint>, f bigint, first bigint, covered boolean, n bigint"
 
 
@@ -248,7 +254,7 @@ def collocations(
     )
     words = cut(words.select("*", F.when(F.col("f") >= min_count, F.col("word")).alias("often")).drop("word"))
     sizes = cut(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    words = cut(words.where("often is not null").join(sizes, "lang"))
+    words = cut(_by_lang(words.where("often is not null"), sizes, "inner"))
     frequent = Bitmap(words.select("id"))
     none = F.array().cast("array<bigint>")
     frontier = words.select(
@@ -259,13 +265,13 @@ def collocations(
     pool = spark.createDataFrame([], _NODE + ", tails array<bigint>, rights array<bigint>, best struct<value:bigint,cut:int>, exact boolean")
     bar = spark.createDataFrame([], "lang string, bar bigint")
     while True:
-        reach = frontier.join(bar, "lang", "left").where(F.floor(F.col("n") * times / F.col("first")) + 1 >= F.coalesce("bar", F.lit(0))).drop("bar")
+        reach = _by_lang(frontier, bar).where(F.floor(F.col("n") * times / F.col("first")) + 1 >= F.coalesce("bar", F.lit(0))).drop("bar")
         frontier = cut(reach)
         step = F.floor(F.log2("first"))
         mass = frontier.groupBy("lang", step.alias("step")).agg(F.sum("f").alias("mass"), F.first("n").alias("n"))
         so_far = F.coalesce(F.sum("mass").over(Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         edge = mass.withColumn("so_far", so_far).where(F.col("so_far") * SHARE < F.col("n")).groupBy("lang").agg(F.max("step").alias("edge"))
-        marked = cut(frontier.join(edge, "lang").withColumn("now", step <= F.col("edge")).drop("edge"))
+        marked = cut(_by_lang(frontier, cut(edge), "inner").withColumn("now", step <= F.col("edge")).drop("edge"))
         chosen, frontier = marked.where("now").drop("now"), marked.where("not now").drop("now")
         wanted = cut(
             pool.where("not exact").select(F.explode(F.arrays_zip("tails", "rights")).alias("t")).where("t.rights is null").select(F.col("t.tails").alias("id")).distinct()
@@ -293,7 +299,7 @@ def collocations(
         order = Window.partitionBy("lang").orderBy(F.desc("best.value"))
         nth = pool.where("exact").withColumn("at", F.row_number().over(order)).where(F.col("at") <= top)
         bar = cut(nth.groupBy("lang").agg(F.count("*").alias("k"), F.min("best.value").alias("bar")).where(F.col("k") == top).select("lang", "bar"))
-        pool = cut(pool.join(bar, "lang", "left").where(F.col("best.value") >= F.coalesce("bar", F.lit(0))).drop("bar"))
+        pool = cut(_by_lang(pool, bar).where(F.col("best.value") >= F.coalesce("bar", F.lit(0))).drop("bar"))
         frontier = frontier.unionByName(made.where(F.size("words") < max_words).drop("tails"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     at = F.col("best.cut") - 1
