@@ -4,10 +4,11 @@ Two documents link when ``100 * |A & B| >= percent * |A | B|`` for their sets of
 
 1. A task turns each text into its set, and counts for each n-gram the documents that have it, in a sketch of at most
    ``2 ** MAX_BITS`` counters.  The n-grams of a set are put in one order for all sets, rare ones first by the sketch, and
-   the first ``n - ceil(n * percent / 100) + 1`` are its keys: two linked sets have a key in common whatever the order.  Rare
-   keys keep documents apart that only share a passage.  A counter never falls short, so a key that it saw in one document
-   needs no row.  Exact copies are one node.
-2. Nodes that share a key are, with all that they reach this way, in one cluster, so every link lies inside a cluster.
+   the first ``n - ceil(n * percent / 100) + 1`` are its keys: two linked sets have a key in common whatever the order.  The
+   sketch only puts heavy n-grams last; every key is a row of 16 bytes whatever it says.  Exact copies are one node.
+2. Keys of one node are dropped.  The others lead to the sizes and count points of their nodes, and only mates of a key that
+   the bound of step 3 and their sizes allow to link are united; a cluster is what can be reached by such steps, so every link
+   lies inside a cluster.  A key of more than ``HOT_KEY`` nodes unites them all, so that no task holds such a group.
 3. The n-grams of a node are dealt into ``GROUPS`` groups; the group counts are its point.  The nodes of a
    cluster, sorted by size and counts, are packed into leaves of at most ``LEAF`` points and about ``LEAF_BYTES`` of sets.  A leaf, and each pair
    of leaves of a cluster that the boxes allow, is searched with a small tree: the overlap of two sets is at
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.llm import words as w
-from talkweave.llm.rows import components, cut, identified
+from talkweave.llm.rows import by_size, components, cut, identified
 
-GROUPS = 32
+GROUPS = 128
 FAN = 16
+SMALL_KEY, HOT_KEY = 24, 1 << 16
 LEAF = 2048
 LEAF_BYTES = 32 << 20
 SEGMENT = 1 << 16
@@ -102,8 +104,7 @@ def rare_keys(grams: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarra
     """
     n = len(grams)
     seen = classes[_counters(grams, len(classes).bit_length() - 1)]
-    first = np.lexsort((grams, seen))[: n - (percent * n + 99) // 100 + 1]
-    return grams[first[seen[first] > 1]]
+    return grams[np.lexsort((grams, seen))[: n - (percent * n + 99) // 100 + 1]]
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -120,23 +121,33 @@ def _node(grams: np.ndarray) -> int:
 
 
 def _described(width: int):
+    """Size, node and packed point of each row's set."""
+
     def run(batches):
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, points = [], [], []
             for grams in _sets(batch.column("text"), width):
                 sizes.append(len(grams))
                 nodes.append(_node(grams) if len(grams) else None)
+                points.append(_packed_point(point_of(grams)) if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())],
-                ["id", "digest", "n", "node"],
+                [batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(points, pa.binary())],
+                ["id", "digest", "n", "node", "point"],
             )
 
     return run
 
 
+def _packed_point(point: np.ndarray) -> bytes:
+    return point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _point(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, "<u2" if len(packed) == 2 * GROUPS else "<u4").astype(np.int32)
+
+
 def _cells(width: int, percent: int, classes):
-    """``(key, node)`` rows.  A key that repeats in a batch leaves its smallest node, and each other node a row
-    pair of their own that says the same; so a key of very many nodes shuffles one row per batch."""
+    """``(key, node)`` rows of the different sets of a batch."""
 
     def run(batches):
         held = np.frombuffer(classes.value, np.uint8)
@@ -149,41 +160,77 @@ def _cells(width: int, percent: int, classes):
                     seen.add(node)
                     keys.append(rare_keys(grams, held, percent))
                     nodes.append(np.full(len(keys[-1]), node))
-            key, node = np.concatenate(keys).view(np.int64), np.concatenate(nodes)
-            if not len(key):
-                continue
-            order = np.lexsort((node, key))
-            key, node = key[order], node[order]
-            first = np.concatenate([[True], key[1:] != key[:-1]])
-            lead = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            pairs = np.unique(np.stack([node[~first], lead[~first]], axis=1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-            own = w.mix(w.mix(pairs[:, 0].astype(np.uint64)) + pairs[:, 1].astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[first], own, own])), pa.array(np.concatenate([node[first], pairs[:, 0], pairs[:, 1]]))],
-                ["key", "node"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
 
     return run
 
 
-def _meetings(batches):
-    """``(a, b)`` for each node and the smallest node of its key, from rows sorted by key and node."""
-    last_key = last_lead = None
-    for batch in batches:
-        key = batch.column("key").to_numpy(zero_copy_only=False)
-        node = batch.column("node").to_numpy(zero_copy_only=False)
-        if not len(key):
-            continue
-        first = np.concatenate([[key[0] != last_key], key[1:] != key[:-1]])
-        begins = np.flatnonzero(first)
-        lead = np.empty(len(key), np.int64)
-        head = begins[0] if len(begins) else len(key)
-        lead[:head] = last_lead if last_lead is not None else 0
-        lead[head:] = node[begins[np.cumsum(first)[head:] - 1]] if len(begins) else lead[head:]
-        last_key, last_lead = key[-1], lead[-1]
-        pairs = np.unique(np.stack([node, lead], axis=1)[node != lead], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+def allowed_mates(keys: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that unite all nodes which share a key and may be linked; rows come sorted by key and size."""
+    found = []
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(begins[1:], len(keys))
+    small = np.repeat(ends - begins <= SMALL_KEY, ends - begins)
+    for step in range(1, SMALL_KEY):
+        at = np.flatnonzero(small[:-step] & (keys[:-step] == keys[step:])) if step < len(keys) else []
+        for low in range(0, len(at), 4096):
+            i = at[low : low + 4096]
+            j = i + step
+            ok = _may_link(points[i], sizes[i], sizes[i], points[j], sizes[j], sizes[j], percent)
+            found += zip(nodes[i[ok]].tolist(), nodes[j[ok]].tolist(), strict=True)
+    for low, high in zip(begins.tolist(), ends.tolist(), strict=True):
+        if high - low > SMALL_KEY:
+            found += _united(nodes[low:high], sizes[low:high], points[low:high], percent)
+    return sorted({(min(p), max(p)) for p in found})
+
+
+def _united(nodes: np.ndarray, sizes: np.ndarray, points: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that may be linked and join two parts: first those of the middle node, then what a tree of the points allows."""
+    mid = len(nodes) // 2
+    near = _may_link(points[mid], sizes[mid], sizes[mid], points, sizes, sizes, percent)
+    part = np.where(near, mid, np.arange(len(nodes)))
+    for x in np.flatnonzero(near):
+        if x != mid:
+            yield int(nodes[mid]), int(nodes[x])
+    tree = CountTree(points, sizes)
+    for x, y in tree.pairs(tree, percent, part, part):
+        if part[x] != part[y]:
+            part[part == part[y]] = part[x]
+            yield int(nodes[x]), int(nodes[y])
+
+
+def _meetings(percent: int):
+    """``(a, b)`` of mates that may be linked, from rows sorted by key, size and node."""
+
+    def told(rows):
+        keys, nodes, sizes = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        pairs = allowed_mates(keys, nodes, sizes, np.stack([_point(r[3]) for r in rows]), percent)
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        rows: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n", "point")), strict=True):
+                if len(rows) >= 8192 and row[0] != rows[-1][0]:
+                    yield told(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield told(rows)
+
+    return run
+
+
+def united_mates(cells: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)`` pairs that lead from every node to all that share a key with it and may be linked to it."""
+    key = Window.partitionBy("key")
+    shared = cells.withColumns({"lead": F.min("node").over(key), "last": F.max("node").over(key), "held": F.count("*").over(key)})
+    shared = cut(shared.where("lead <> last").dropDuplicates(["key", "node"]))
+    all_of_it = shared.where(F.col("held") > HOT_KEY).select(F.col("node").alias("a"), F.col("lead").alias("b")).where("a <> b").distinct()
+    points = info.where("node is not null").select("node", "n", "point").dropDuplicates(["node"])
+    mates = shared.where(F.col("held") <= HOT_KEY).select("key", "node").join(points, "node").select("key", "node", "n", "point")
+    met = mates.repartition("key").sortWithinPartitions("key", "n", "node").mapInArrow(_meetings(percent), "a bigint, b bigint")
+    return all_of_it.unionByName(met)
 
 
 class CountTree:
@@ -204,6 +251,9 @@ class CountTree:
         for i in range(len(self.slots)):
             start = i if same else 0
             fits = _may_link(self.top[i], self.low[i], self.high[i], other.top[start:], other.low[start:], other.high[start:], percent)
+            mine = part[self.slots[i]]
+            if fits.any() and (mine == mine[0]).all():
+                fits &= (other_part[other.slots[start:]] != mine[0]).any(axis=1)
             for j in np.flatnonzero(fits) + start:
                 a, b = self.slots[i], other.slots[j]
                 apart = part[a][:, None] != other_part[b][None]
@@ -437,12 +487,11 @@ def near_copies(
     """
     rows = identified(docs, id_col, text_col)
     kind = dict(rows.dtypes)["id"]
-    info = cut(rows.mapInArrow(_described(width), f"id {kind}, digest bigint, n bigint, node bigint"))
+    info = cut(rows.mapInArrow(_described(width), f"id {kind}, digest bigint, n bigint, node bigint, point binary"))
     classes = frequency_classes(rows, width, info.select(F.sum("n")).first()[0] or 0)
     sent = docs.sparkSession.sparkContext.broadcast(classes)
     cells = rows.select("text").mapInArrow(_cells(width, percent, sent), "key bigint, node bigint")
-    meetings = cells.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meetings, "a bigint, b bigint")
-    clusters = components(meetings)
+    clusters = components(united_mates(cells, info, percent))
     holders = info.select("id", "digest", "node").join(clusters, "node").groupBy("node").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("best"), F.first("component").alias("cluster")
     )
@@ -455,11 +504,12 @@ def near_copies(
         "id", "digest", "n", F.coalesce("label", "node").alias("label")
     )
     placed = cut(placed)
-    smallest = placed.where("label is not null").groupBy("label").agg(
-        F.min("id").alias("component"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least")
+    smallest = cut(
+        placed.where("label is not null").groupBy("label").agg(
+            F.min("id").alias("component"), F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("least"), F.count("*").alias("size")
+        )
     )
     first = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
-    return placed.join(smallest, "label", "left").select(
-        "id", "digest", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"),
-        (F.col("label").isNull() | first).alias("first"),
-    )
+    told = by_size(placed.where("label is not null"), smallest, "label", "size", placed.count())
+    alone = placed.where("label is null").select("id", "digest", F.col("n").alias("n_shingles"), F.col("id").alias("component"), F.lit(True).alias("first"))
+    return alone.unionByName(told.select("id", "digest", F.col("n").alias("n_shingles"), "component", first.alias("first")))

@@ -303,8 +303,9 @@ def near(seed, families=12, size=14):
     return out + [None, "", "a", "A", "a b", "A  B"]
 
 
-@pytest.mark.parametrize("percent,width,leaf,seed", [(90, 3, 512, 1), (80, 5, 3, 2), (90, 3, 4, 3), (80, 1, 512, 4), (50, 2, 5, 5)])
-def test_near_copies(spark, percent, width, leaf, seed):
+@pytest.mark.parametrize("percent,width,leaf,seed,hot", [(90, 3, 512, 1, 1 << 16), (80, 5, 3, 2, 1 << 16), (90, 3, 4, 3, 2), (80, 1, 512, 4, 1 << 16), (50, 2, 5, 5, 30)])
+def test_near_copies(spark, monkeypatch, percent, width, leaf, seed, hot):
+    monkeypatch.setattr(jaccard, "HOT_KEY", hot)
     texts = near(seed)
     got = jaccard.near_copies(table(spark, texts), percent, width, leaf=leaf).orderBy("id").collect()
     assert [(r.id, r.n_shingles, r.component) for r in got] == components_by_hand(texts, list(range(len(texts))), percent, width)
@@ -348,7 +349,8 @@ def test_sketch_never_falls_short(spark):
     sets = list(jaccard._sets(pa.array(texts, pa.string()), 3))
     grams, times = np.unique(np.concatenate(sets), return_counts=True)
     assert (classes[jaccard._counters(grams, 16)] >= [int(t).bit_length() for t in times]).all()
-    assert len(jaccard.rare_keys(sets[300], classes, 80)) == 0 < len(jaccard.rare_keys(sets[0], classes, 80))
+    # Rare n-grams come first, and no counter drops a key.
+    assert all(len(jaccard.rare_keys(s, classes, 80)) == len(s) - -(-len(s) * 80 // 100) + 1 for s in sets if len(s))
 
 
 def test_passages_shared_by_many_texts_do_not_gather_them(spark):
@@ -357,8 +359,29 @@ def test_passages_shared_by_many_texts_do_not_gather_them(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "text string")
     classes = np.frombuffer(jaccard.frequency_classes(rows, 5, 1 << 20), np.uint8)
     keys = [jaccard.rare_keys(s, classes, 80) for s in jaccard._sets(pa.array(texts, pa.string()), 5)]
-    # One counter may hold two n-grams of different texts by chance; hardly any does.
-    assert sum(map(len, keys)) < 60
+    # The passage is heavy, so keys come from what is a text's own; one counter may hold two n-grams by chance.
+    keys, times = np.unique(np.concatenate(keys), return_counts=True)
+    assert (times > 1).sum() < 60
+
+
+def test_mates_are_united_only_where_counts_allow_a_link():
+    rng = np.random.default_rng(8)
+    shared = rng.integers(0, 2**63, 30, dtype=np.uint64)
+    apart = [np.unique(np.concatenate([shared, rng.integers(0, 2**63, 300, dtype=np.uint64)])) for _ in range(60)]
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    family = [np.unique(np.concatenate([base[rng.random(300) > 0.03], rng.integers(0, 2**63, 3, dtype=np.uint64)])) for _ in range(60)]
+    for sets in (apart[:20] + family[:3], apart + family):
+        order = np.argsort([len(s) for s in sets], kind="stable")
+        sets = [sets[i] for i in order]
+        points, sizes = np.stack([jaccard.point_of(s) for s in sets]), np.array([len(s) for s in sets])
+        nodes = np.arange(len(sets))
+        pairs = jaccard.allowed_mates(np.full(len(sets), 7), nodes, sizes, points, 80)
+        roots = jaccard.Roots()
+        for a, b in pairs:
+            roots.join(a, b)
+        linked = [(i, j) for i in nodes for j in nodes[:i] if jaccard.linked(sets[i], sets[j], 80)]
+        assert linked and all(roots.find(i) == roots.find(j) for i, j in linked)
+        assert len({roots.find(i) for i in nodes}) > len(sets) // 3
 
 
 def test_count_tree_loses_no_pair():
