@@ -19,30 +19,36 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkweave.llm.rows import col, cut, identified
+from talkweave.llm.rows import col, cut, identified, written
 
 WIDTH = 10
 BROADCAST_BYTES = 16 << 20
 TERM = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
-# The same terms before A-Z are lower-cased.
-ANY_CASE_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+EXTRA_ANCHORS = 3
 
 
 def terms(text: Column) -> Column:
-    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    # On ASCII alone ``lower`` does the same as the slower ``translate``.
+    plain = F.octet_length(text) == F.length(text)
+    lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
     return F.coalesce(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(1)), F.array().cast("array<string>"))
 
 
+def is_small(small: DataFrame, text: str) -> bool:
+    """The bytes of column ``text``, and 64 for each row, are within the bound of a broadcast."""
+    return (small.select(F.sum(F.octet_length(text) + F.lit(64))).first()[0] or 0) <= BROADCAST_BYTES
+
+
 def bounded(small: DataFrame, text: str) -> DataFrame:
-    """``small``, marked for broadcast if the bytes of its column ``text`` and 64 for each row are within the bound."""
-    total = small.select(F.sum(F.octet_length(text) + F.lit(64))).first()[0] or 0
-    return F.broadcast(small) if total <= BROADCAST_BYTES else small
+    """``small``, marked for broadcast if it is small."""
+    return F.broadcast(small) if is_small(small, text) else small
 
 
 def anchors(items: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     """``term, item, offset, left, right, whole`` of the rarest term of each window that can occur at all.
 
-    ``left`` and ``right`` are the item's terms beside the anchor, nearest first; ``whole`` is set for an item that is
+    Windows of an item shorter than two of them may all have the same anchor, so it gets its ``EXTRA_ANCHORS`` rarest terms
+    as well: a proximity match takes two.  ``left`` and ``right`` are the item's terms beside the anchor, nearest first; ``whole`` is set for an item that is
     one short window.
     """
     vocabulary = cut(items.select(F.explode("terms").alias("term")).distinct())
@@ -58,7 +64,11 @@ def anchors(items: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     rarest = known.groupBy("item", "start").agg(
         F.min(F.struct("seen", "term", (F.col("start") + F.col("step")).alias("offset"))).alias("best"), F.first("terms").alias("terms")
     )
-    chosen = rarest.where("best.seen > 0").select("item", "terms", "best.term", "best.offset").distinct()
+    chosen = rarest.where("best.seen > 0").select("item", "terms", "best.term", "best.offset")
+    short = known.where(F.size("terms") < 2 * width).select("item", "terms", "seen", "term", (F.col("start") + F.col("step")).alias("offset")).distinct()
+    order = Window.partitionBy("item").orderBy("seen", "term", "offset")
+    extra = short.where("seen > 0").withColumn("at", F.row_number().over(order)).where(F.col("at") <= EXTRA_ANCHORS)
+    chosen = chosen.unionByName(extra.select("item", "terms", "term", "offset")).distinct()
     return chosen.select("term", "item", "offset", *_beside("terms", "offset", width), (F.size("terms") < width).alias("whole"))
 
 
@@ -74,9 +84,14 @@ def _beside(words: str, at: str, width: int) -> list[Column]:
 
 def postings(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """The stored index: ``id, digest, term, position, left, right`` of the wanted terms in all documents."""
-    placed = documents.select("id", "digest", "terms", F.posexplode("terms").alias("position", "term"))
-    kept = placed.join(bounded(wanted, "term"), "term")
-    return kept.select("id", "digest", "term", "position", *_beside("terms", "position", width))
+    if is_small(wanted, "term"):
+        placed = documents.select("id", "digest", "terms", F.posexplode("terms").alias("position", "term"))
+        return placed.join(F.broadcast(wanted), "term").select("id", "digest", "term", "position", *_beside("terms", "position", width))
+    # Postings are shuffled without the documents, which only those with a posting join again.
+    placed = documents.select("id", "digest", F.posexplode("terms").alias("position", "term")).join(wanted, "term").alias("p")
+    once = documents.dropDuplicates(["id", "digest"]).alias("d")
+    same = F.col("p.id").eqNullSafe(F.col("d.id")) & (F.col("p.digest") == F.col("d.digest"))
+    return placed.join(once, same).select("p.id", "p.digest", "term", "position", *_beside("terms", "position", width))
 
 
 def _run(ours: str, theirs: str) -> Column:
@@ -86,9 +101,8 @@ def _run(ours: str, theirs: str) -> Column:
     return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int, slop: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+def matches(documents: DataFrame, benchmark: DataFrame, width: int, slop: int, item_col: str, item_text_col: str) -> DataFrame:
     """``id, digest, item, first, last`` of each exact run, and rows of null ``first`` for items in proximity."""
-    documents = identified(docs, id_col, text_col).select("id", "digest", terms(F.col("text")).alias("terms"))
     items = benchmark.select(col(item_col).alias("item_id"), terms(col(item_text_col)).alias("terms"))
     items = cut(items.select(F.struct("item_id", F.xxhash64("terms").alias("digest")).alias("item"), "terms").distinct())
     hooks = cut(anchors(items, documents, width))
@@ -127,7 +141,9 @@ def contamination(
     Null texts have no terms.  Items equal in id and terms count once; a null item id is the empty string.  Repeated
     rows of ``docs`` give equal rows.  No documents give no rows, no items give rows without hits.
     """
-    found = matches(docs, benchmark, width, slop, id_col, text_col, item_col, item_text_col)
+    # The texts are cut into terms once; counts, postings and sizes read this table.
+    documents = written(identified(docs, id_col, text_col).select("id", "digest", terms(F.col("text")).alias("terms")))
+    found = matches(documents, benchmark, width, slop, item_col, item_text_col)
     name = F.coalesce(F.col("item.item_id").cast("string"), F.lit(""))
     hit = found.groupBy("id", "digest").agg(
         F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "last"))).alias("spans"),
@@ -139,8 +155,7 @@ def contamination(
         "id", "digest", F.size(F.array_distinct(words)).cast("bigint").alias("n_hit"),
         F.array_sort(F.transform("held", lambda x: x["name"])).alias("items"), F.array_sort("spans").alias("spans"), "any",
     ).withColumn("near_items", F.array_sort(F.array_except("any", "items"))).drop("any")
-    count = F.regexp_count("text", F.lit(ANY_CASE_TERM))
-    sized = identified(docs, id_col, text_col).select("id", "digest", F.coalesce(count, F.lit(0)).cast("bigint").alias("n_words"))
+    sized = documents.select("id", "digest", F.size("terms").cast("bigint").alias("n_words"))
     none = F.array().cast("array<string>")
     left, right = sized.alias("l"), hit.alias("r")
     on = F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.digest") == F.col("r.digest"))

@@ -6,6 +6,8 @@ rows that agree in both get the same decisions.  Column names of the caller are
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: packed and read by column, where ``cut`` keeps whole rows."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def by_size(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, most: int = 50_000) -> DataFrame:
     """``rows`` and their ``groups`` (one row per ``key``, with the number of its rows in ``size``), inner.
 
