@@ -5,9 +5,13 @@ Each adapter is written once for Spark and once for the SQL side; both read whol
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkweave.session import checkpoint_folder
+
 BLOCK = 4096
 # Tables whose rows are expensive to work on.
 HEAVY = ("documents", "events", "conversations")
@@ -20,6 +24,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
 
 
+def stored(spark: SparkSession, name: str) -> str:
+    """A new path for a table that a query writes and reads back, in the shared folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid4().hex}"
+
+
 # One text for both engines: ten workspaces, five senders each, minute precision.
 _MESSAGES_EV = """
 select concat('w', right(cast(user_id as string), 1)) as workspace_id,

@@ -5,6 +5,7 @@ Hit lists are small: at most ``k`` rows per query and leg.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -79,17 +80,25 @@ def phrasings(queries: DataFrame) -> DataFrame:
     return queries.withColumn("text", strip(F.col("text"))).filter("text <> ''")
 
 
-def retrieval_legs(corpus: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
+def retrieval_legs(
+    corpus: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    k: int = 8,
+    keyword_search: Callable[[DataFrame, int], DataFrame] | None = None,
+) -> DataFrame:
     """All hits of person-first retrieval: ``request_id, query_id, leg, message_id, score``.
 
     The person legs come first; requests with a weak query also get the group legs of all
     their queries.  One keyword search serves both scopes: the person leg keeps the hits
-    spoken by the person.
+    spoken by the person.  ``keyword_search`` takes queries and ``k``, as the search of a
+    stored index does; without it the texts of ``corpus`` are searched.
     """
+    search = keyword_search or (lambda asked_, k_: bm25_topk(corpus, asked_, k_))
     queries = phrasings(queries)
     asked = queries.select("request_id", "query_id", "workspace_id", "speaker")
     keyword = (
-        bm25_topk(corpus, queries.withColumn("text", F.lower("text")), k)
+        search(queries.select("query_id", "workspace_id", F.lower("text").alias("text")), k)
         .drop("rank")
         .join(asked, "query_id")
         .join(corpus.select("workspace_id", "message_id", F.col("speaker").alias("_said_by")), ["workspace_id", "message_id"])
@@ -119,14 +128,19 @@ def merge_legs(legs: DataFrame, k: int = 8) -> DataFrame:
 
 
 def fast_retrieve(
-    corpus: DataFrame, vectors: DataFrame, queries: DataFrame, as_of: Column, k: int = 8
+    corpus: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    as_of: Column,
+    k: int = 8,
+    keyword_search: Callable[[DataFrame, int], DataFrame] | None = None,
 ) -> DataFrame:
     """Person-first retrieval with widening, recency and density adjustment and the gate.
 
     ``queries``: ``request_id, query_id, workspace_id, person_id, speaker, intent, text,
     embedding``; one row per phrasing, blank ones left out.  A request lies in one workspace.
     """
-    hits = merge_legs(retrieval_legs(corpus, vectors, queries, k), k).drop("rank")
+    hits = merge_legs(retrieval_legs(corpus, vectors, queries, k, keyword_search), k).drop("rank")
     per_request = phrasings(queries).groupBy("request_id").agg(
         F.count(F.lit(1)).alias("query_count"), F.min("intent").alias("intent"), F.min("workspace_id").alias("workspace_id")
     )

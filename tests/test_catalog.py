@@ -5,23 +5,24 @@ import re
 import pytest
 
 import __spark_entry__ as contract
+from talkweave import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def test_contract_shape():
-    queries, oracle = contract.queries(), contract.oracle_sql()
-    assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"ann_topk", "hash_embed", "voice_samples"}
+    queries, oracle, own = contract.queries(), contract.oracle_sql(), catalog.entries()
+    assert set(oracle) <= set(queries) and set(own) <= set(queries)
+    assert {name for name, (_, sql) in own.items() if sql is None} == set(own) - set(oracle) == {"ann_topk", "hash_embed", "voice_samples"}
 
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("key", sorted(contract.queries()))
+@pytest.mark.parametrize("key", sorted(catalog.entries()))
 def test_plan(spark, key):
-    df = contract.queries()[key](spark, FOLDER)
+    df = catalog.entries()[key][0](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan
