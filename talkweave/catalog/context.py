@@ -314,5 +314,26 @@ ENTRIES = {
   + (case when bool_or(p.sender = w.sender and not {ack_sql('b')}) then 2 else 0 end) as bigint) as score
  from who w join p on p.workspace_id = w.workspace_id and p.part = w.part group by 1, 2, 3""",
     ),
-    "voice_samples": (_samples, None),
+    "voice_samples": (
+        _samples,
+        VOICE.replace("with ", "with recursive ", 1)
+        + f""", lists as (select workspace_id, person as sender, anchor as pos, list_sort(list_distinct(list(b))) as texts from win group by 1, 2, 3),
+ cand as (select ex.workspace_id, ex.sender, ex.pos, exchange, texts, {_topic_case('all_text')} as topic,
+   cast((case when own >= 2 then 2 else 0 end) + long_own + 1 + (case when content then 2 else 0 end) as bigint) as score
+  from ex join lists l on l.workspace_id = ex.workspace_id and l.sender = ex.sender and l.pos = ex.pos where own > 0 and own < m and least_words > 1 and says),
+ tops as (select *, row_number() over (partition by workspace_id, sender, topic order by score desc, pos) as r,
+   min(pos) over (partition by workspace_id, sender, topic) as first_pos from cand),
+ both_phases as (select workspace_id, sender, exchange, texts, score, 1 as phase, first_pos as place from tops where r = 1
+  union all select workspace_id, sender, exchange, texts, score, 2, pos from cand),
+ seq as (select *, row_number() over (partition by workspace_id, sender order by phase, score desc, place) as i from both_phases),
+ scan as (select distinct workspace_id, sender, cast(0 as bigint) as i, cast([] as varchar[][]) as kept, false as took from cand
+  union all select s.workspace_id, s.sender, s.i,
+   case when (s.phase = 1 or len(kept) < 5) and len(list_filter(kept, lambda k: len(list_intersect(k, s.texts)) > 0.6 * (len(k) + len(s.texts) - len(list_intersect(k, s.texts))))) = 0
+    then list_append(kept, s.texts) else kept end,
+   (s.phase = 1 or len(kept) < 5) and len(list_filter(kept, lambda k: len(list_intersect(k, s.texts)) > 0.6 * (len(k) + len(s.texts) - len(list_intersect(k, s.texts))))) = 0
+  from scan join seq s on s.workspace_id = scan.workspace_id and s.sender = scan.sender and s.i = scan.i + 1 where s.phase = 1 or len(kept) < 5)
+ select s.workspace_id, s.sender, cast(len(kept) - 1 as bigint) as sample_no, case when phase = 1 then score else 0 end as score,
+  concat(trim(split_part(s.sender, ',', 1)), ' speaking') as context, exchange
+ from scan join seq s on s.workspace_id = scan.workspace_id and s.sender = scan.sender and s.i = scan.i where took and len(kept) <= 8""",
+    ),
 }

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkweave.functions.text import bind, is_noise, is_pure_ack, strip, topic_bucket, word_count
-from talkweave.plans.ordered import with_neighbours
+from talkweave.plans.ordered import top_rows, with_neighbours
 from talkweave.schema import BLOCK_ROWS
 from talkweave.session import checkpoint_folder
 
@@ -94,19 +94,39 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: later rounds read it, not the whole lineage."""
+    """Reliable checkpoint in the shared folder: what follows reads it, not the whole lineage."""
     spark = df.sparkSession
     spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint()
 
 
+def shortlist(pool: DataFrame, at_least: int) -> DataFrame:
+    """Those rows of ``pool`` (one per person and set of ``texts``) from which the scan of ``voice_samples`` may add.
+
+    An exchange has at most four texts, so one that is kept shuts out itself, sets with one text less, and the sets
+    that hold it and one text more, which may be any number.  Of the sets with a common subset of that kind (a key)
+    at most four are shut out unless the subset itself is kept, and then all are.  Fewer than ``at_least`` are kept
+    before each addition.  So where ``5 * at_least`` better sets have a key in common with a candidate, one of them
+    is added before it; and of what is left, ``at_least`` kept ones shut out fewer than ``at_least * (cap + 6)``.
+    Both are ranks that Spark cuts in the map tasks, and only they are shuffled, without the exchanges.
+    """
+    cap = 5 * at_least
+    subsets = F.transform("texts", lambda t: F.xxhash64(F.array_remove("texts", t)))
+    slim = pool.select(*PERSON, "pos", "score", F.when(F.size("texts") > 2, subsets).alias("keys"))
+    order = [F.col("score").desc(), F.col("pos")]
+    keyed = slim.filter("keys is not null").select(*PERSON, "pos", "score", F.size("keys").alias("held"), F.explode("keys").alias("key"))
+    near = top_rows(keyed, [*PERSON, "key"], order, cap).groupBy(*PERSON, "pos", "score", "held").agg(F.count(F.lit(1)).alias("n"))
+    left = near.filter("n = held").select(*PERSON, "pos", "score").unionByName(slim.filter("keys is null").drop("keys"))
+    return pool.join(top_rows(left, PERSON, order, at_least * (cap + 6)).drop("rank", "score"), [*PERSON, "pos"])
+
+
 def voice_samples(candidates: DataFrame, at_least: int = 5, at_most: int = 8) -> DataFrame:
     """``workspace_id, sender, samples``: the best exchange per topic, near copies dropped.
 
-    People with fewer than ``at_least`` get more in rounds: each round adds the best
-    candidate unlike all kept ones, which is what a scan in score order would pick next.
-    A round is one aggregation with one row per person and task, so a person with most of
-    the candidates is no bottleneck.
+    People with fewer than ``at_least`` get more by a scan in score order that adds what is
+    unlike all kept ones; it runs over a short list per person that holds all it can add,
+    so a person with most of the candidates is no bottleneck.  Exchanges have at most four
+    messages, as ``voice_candidates`` makes them.
     """
     # Exchanges of equal texts shut each other out, so only the best of them can be picked.
     pool = (
@@ -134,19 +154,20 @@ def voice_samples(candidates: DataFrame, at_least: int = 5, at_most: int = 8) ->
         return F.when(copy, acc).otherwise(F.array_append(acc, entry))
 
     kept = best.groupBy(*PERSON).agg(F.aggregate(ordered, empty, keep).alias("samples"))
-    for _ in range(at_least - 1):
-        short = kept.filter(F.size("samples") < at_least)
-        fresh = pool.join(short, PERSON).filter(~F.exists("samples", lambda k: _alike(k["texts"], F.col("texts"))))
-        added = fresh.groupBy(*PERSON).agg(
-            F.max_by(F.struct("exchange", "texts"), F.struct(F.col("score"), -F.col("pos"))).alias("_next")
-        )
-        extra = F.struct("_next.exchange", "_next.texts", F.lit(0).cast("bigint").alias("score"))
-        kept = kept.join(added, PERSON, "left").select(
-            *PERSON,
-            F.when(F.col("_next").isNull(), F.col("samples"))
-            .otherwise(F.array_append("samples", extra))
-            .alias("samples"),
-        )
+
+    def add(acc: Column, item: Column) -> Column:
+        there = F.exists(acc, lambda k: _alike(k["texts"], item["texts"]))
+        entry = F.struct(item["exchange"].alias("exchange"), item["texts"].alias("texts"), F.lit(0).cast("bigint").alias("score"))
+        return F.when((F.size(acc) >= at_least) | there, acc).otherwise(F.array_append(acc, entry))
+
+    by_texts = (
+        pool.groupBy(*PERSON, "texts")
+        .agg(F.max_by(F.struct("exchange", "score", "pos"), F.struct(F.col("score"), -F.col("pos"))).alias("_b"))
+        .select(*PERSON, "texts", "_b.exchange", "_b.score", "_b.pos")
+    )
+    item = F.struct((-F.col("score")).alias("down"), "pos", "exchange", "texts")
+    more = shortlist(by_texts, at_least).groupBy(*PERSON).agg(F.array_sort(F.collect_list(item)).alias("_more"))
+    kept = kept.join(more, PERSON).select(*PERSON, F.aggregate("_more", F.col("samples"), add).alias("samples"))
     return kept.withColumn("samples", F.slice("samples", 1, at_most))
 
 

@@ -13,7 +13,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_contract_shape():
     queries, oracle, own = contract.queries(), contract.oracle_sql(), catalog.entries()
     assert set(oracle) <= set(queries) and set(own) <= set(queries)
-    assert {name for name, (_, sql) in own.items() if sql is None} == set(own) - set(oracle) == {"ann_topk", "hash_embed", "voice_samples"}
+    assert {name for name, (_, sql) in own.items() if sql is None} == set(own) - set(oracle) == {"ann_topk", "hash_embed"}
 
 
 def test_entry_has_rows(spark):

@@ -225,6 +225,40 @@ def test_voice_candidates_and_samples(talk):
     assert "[A speaking]\n" in voice.dialogue_text(labelled).filter("sender = 'A'").first().dialogue
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_short_list_holds_all_that_a_scan_adds(spark, seed):
+    """Few different texts, so that kept exchanges shut out very many others."""
+    rng = random.Random(seed)
+    cands = []
+    for pos in range(1500):
+        texts = [f"t{min(int(rng.expovariate(0.4)), 30)} words" for _ in range(rng.randint(1, 4))]
+        cands.append((pos, [("A", texts[0]), *[(rng.choice("AB"), t) for t in texts[1:]]], rng.choice(["x", "x", "y"]), rng.randint(1, 9) if seed else 5))
+    kind = "workspace_id string, sender string, pos bigint, exchange array<struct<sender:string,text:string>>, topic string, score bigint"
+    df = spark.createDataFrame([("w", "A", *c) for c in cands], kind)
+    sets = lambda w: {t for _, t in w}
+    alike = lambda a, b: len(sets(a) & sets(b)) > 0.6 * len(sets(a) | sets(b))
+    tops = {}
+    for _, w, topic, score in cands:
+        tops[topic] = max(tops.get(topic, (w, -1)), (w, score), key=lambda x: x[1])
+    first = {topic: min(p for p, _, t, _ in cands if t == topic) for topic in tops}
+    kept = []
+    for topic in sorted(tops, key=lambda t: (-tops[t][1], first[t])):
+        if not any(alike(tops[topic][0], k) for k, _ in kept):
+            kept.append(tops[topic])
+    for _, w, _, score in sorted(cands, key=lambda c: (-c[3], c[0])):
+        if len(kept) < 5 and not any(alike(w, k) for k, _ in kept):
+            kept.append((w, 0))
+    got = voice.voice_samples(df).first()["samples"]
+    assert [([(m["sender"], m["text"]) for m in s["exchange"]], s["score"]) for s in got] == kept
+
+
+def test_plan_of_samples_does_not_grow_with_their_number(spark):
+    kind = "workspace_id string, sender string, pos bigint, exchange array<struct<sender:string,text:string>>, topic string, score bigint"
+    df = spark.createDataFrame([], kind)
+    size = lambda n: voice.voice_samples(df, n, 40)._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert size(2) == size(12)
+
+
 @pytest.mark.parametrize("block", [11, 64, 1000])
 @pytest.mark.parametrize("heavy", [False, True])
 def test_packing(spark, block, heavy, monkeypatch):
