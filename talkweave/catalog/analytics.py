@@ -9,6 +9,7 @@ from talkweave.catalog import fixtures as fx
 from talkweave.operators import analytics as an
 from talkweave.operators import turns as tn
 from talkweave.plans.ordered import dense_position, time_levels
+from talkweave.session import materialise
 
 WS = an.WS
 
@@ -25,14 +26,34 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return tn.turn_events(turn_table(spark, folder), fx.BLOCK)
 
 
+def numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages with their turns, numbered once for all that is told from them."""
+    rows = usable(spark, folder).select(WS, "seq", "sender", "ts", "text")
+    return materialise(tn.number_turns(rows, fx.BLOCK))
+
+
+def attributed_to(rows: DataFrame, turn_rows: DataFrame) -> DataFrame:
+    people = tn.people_of(rows)
+    return tn.attributed_events(tn.turn_events(turn_rows, fx.BLOCK), tn.mentions(rows, people, fx.BLOCK, rows))
+
+
 def attributed(spark: SparkSession, folder: str) -> DataFrame:
-    messages = usable(spark, folder)
-    found = tn.mentions(messages, tn.people_of(messages), fx.BLOCK)
-    return tn.attributed_events(events(spark, folder), found)
+    rows = numbered(spark, folder)
+    return attributed_to(rows, tn.turns_of(rows))
+
+
+def pairs_of(rows: DataFrame, turn_rows: DataFrame) -> DataFrame:
+    return an.connection_scores(an.pair_stats(attributed_to(rows, turn_rows)), turn_rows)
 
 
 def scored_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return an.connection_scores(an.pair_stats(attributed(spark, folder)), turn_table(spark, folder))
+    rows = numbered(spark, folder)
+    return pairs_of(rows, tn.turns_of(rows))
+
+
+def spelled(cells, key):
+    """``key:count`` pairs of a list, joined."""
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c[key].cast("string"), c["message_count"].cast("string"))), ",")
 
 
 def _sender_counts(spark, folder):
@@ -113,12 +134,21 @@ def _scorecard(spark, folder):
     return an.person_scorecard(usable(spark, folder), events(spark, folder)).select(
         WS, "sender", "message_count", F.round("share_percent", 6).alias("share_percent"), "median_length",
         "peak_hour", "replies_given", "replies_received", "initiations", "pickup_median", "burst_median",
+        spelled("active_hours", "bucket").alias("active_hours"), spelled("active_days", "bucket").alias("active_days"),
+        F.array_join("response_bins", ",").alias("response_bins"),
     )
 
 
 def _group_scorecard(spark, folder):
-    card = an.group_scorecard(usable(spark, folder), events(spark, folder), scored_pairs(spark, folder))
-    return card.withColumn("messages_per_day", F.round("messages_per_day", 6))
+    rows = numbered(spark, folder)
+    turn_rows = tn.turns_of(rows)
+    card = an.group_scorecard(rows, tn.turn_events(turn_rows, fx.BLOCK), pairs_of(rows, turn_rows))
+    return card.withColumns(
+        {
+            "messages_per_day": F.round("messages_per_day", 6), "active_hours": spelled("active_hours", "bucket"),
+            "active_days": spelled("active_days", "bucket"), "top_weeks": spelled("top_weeks", "week"),
+        }
+    )
 
 
 W = f"with {fx.SQL_USABLE} "
@@ -141,14 +171,27 @@ WEEKS = (
 )
 CELLS = W[:-1] + f""", cells as (select workspace_id, {DAY} as weekday, {HOUR} as hour, count(*) as message_count
  from usable group by 1, 2, 3) """
+BINS = " || ',' || ".join(
+    f"count(*) filter (kind = 'burst' and gap_seconds > 0 and gap_seconds >= {low}" + (f" and gap_seconds < {high})" if high else ")")
+    for low, high, _ in an.RESPONSE_BINS
+)
+
+
+def _best_sql(name: str, keys: str, bucket: str, n: int) -> str:
+    return f"""{name} as (select {keys}, string_agg(b || ':' || n, ',' order by n desc, b) as cells from (
+  select *, row_number() over (partition by {keys} order by n desc, b) as rn from (
+   select {keys}, {bucket} as b, count(*) as n from usable group by {keys}, b) x) y where rn <= {n} group by {keys})"""
+
+
 CARD = f"""
  base as (select workspace_id, sender, count(*) as message_count,
    coalesce(median(length(text)) filter (length(text) >= 2), 0) as median_length from usable group by 1, 2),
  hours as (select workspace_id, sender, hour, row_number() over (partition by workspace_id, sender order by n desc, hour) as rn
    from (select workspace_id, sender, {HOUR} as hour, count(*) as n from usable group by 1, 2, 3) h),
  sent as (select workspace_id, sender, cast(sum({GIVEN}) as bigint) as replies_given,
-   cast(sum({OPENED}) as bigint) as initiations, {PICKUP} as pickup_median, {BURST} as burst_median
+   cast(sum({OPENED}) as bigint) as initiations, {PICKUP} as pickup_median, {BURST} as burst_median, {BINS} as bins
    from turn_events group by 1, 2),
+ {_best_sql("ah", "workspace_id, sender", HOUR, 3)}, {_best_sql("ad", "workspace_id, sender", DAY, 3)},
  got as (select workspace_id, previous_sender as sender, count(*) as replies_received from turn_events
    where kind in ('pickup','burst') group by 1, 2)
 """
@@ -361,15 +404,21 @@ ENTRIES = {
         + """select b.workspace_id, b.sender, b.message_count,
  round(b.message_count * 100.0 / sum(b.message_count) over (partition by b.workspace_id), 6) as share_percent,
  b.median_length, h.hour as peak_hour, coalesce(s.replies_given, 0) as replies_given,
- coalesce(g.replies_received, 0) as replies_received, coalesce(s.initiations, 0) as initiations, s.pickup_median, s.burst_median
- from base b join hours h on h.workspace_id = b.workspace_id and h.sender = b.sender and h.rn = 1
+ coalesce(g.replies_received, 0) as replies_received, coalesce(s.initiations, 0) as initiations, s.pickup_median, s.burst_median,
+ ah.cells as active_hours, ad.cells as active_days, coalesce(s.bins, '0,0,0,0') as response_bins
+ from base b join ah on ah.workspace_id = b.workspace_id and ah.sender = b.sender join ad on ad.workspace_id = b.workspace_id and ad.sender = b.sender
+ join hours h on h.workspace_id = b.workspace_id and h.sender = b.sender and h.rn = 1
  left join sent s on s.workspace_id = b.workspace_id and s.sender = b.sender
  left join got g on g.workspace_id = b.workspace_id and g.sender = b.sender""",
     ),
     "group_scorecard": (
         _group_scorecard,
         E[:-1]
-        + f""", cells as (select workspace_id, {DAY} as weekday, {HOUR} as hour, count(*) as message_count from usable group by 1, 2, 3),
+        + f""", {_best_sql("ah", "workspace_id", HOUR, 5)}, {_best_sql("ad", "workspace_id", DAY, 7)},
+ aw as (select workspace_id, string_agg(strftime(monday, '%G-W%V') || ':' || n, ',' order by n desc, monday) as cells from (
+  select *, row_number() over (partition by workspace_id order by n desc, monday) as rn from (
+   select workspace_id, date_trunc('week', ts) as monday, count(*) as n from usable group by 1, 2) x) y where rn <= 5 group by 1),
+ cells as (select workspace_id, {DAY} as weekday, {HOUR} as hour, count(*) as message_count from usable group by 1, 2, 3),
  pace as (select workspace_id, count(*) as message_count,
  cast(greatest(1, date_diff('day', cast(arg_min(ts, seq) as date), cast(arg_max(ts, seq) as date)) + 1) as bigint) as span_days from usable group by 1),
  h as (select workspace_id, hour, row_number() over (partition by workspace_id order by sum(message_count) desc, hour) as rn from cells group by 1, 2),
@@ -377,8 +426,10 @@ ENTRIES = {
  m as (select workspace_id, {PICKUP} as pickup_median from turn_events group by 1),
  s as (select *, row_number() over (partition by workspace_id order by connection_score desc, person_a, person_b) as rn from scored)
  select p.workspace_id, p.message_count, p.span_days, round(p.message_count / cast(p.span_days as double), 6) as messages_per_day,
- h.hour as busiest_hour, d.weekday as busiest_weekday, m.pickup_median, s.person_a, s.person_b, s.connection_score
- from pace p join h on h.workspace_id = p.workspace_id and h.rn = 1 join d on d.workspace_id = p.workspace_id and d.rn = 1
+ h.hour as busiest_hour, d.weekday as busiest_weekday, m.pickup_median, s.person_a, s.person_b, s.connection_score,
+ ah.cells as active_hours, ad.cells as active_days, aw.cells as top_weeks
+ from pace p join ah on ah.workspace_id = p.workspace_id join ad on ad.workspace_id = p.workspace_id join aw on aw.workspace_id = p.workspace_id
+ join h on h.workspace_id = p.workspace_id and h.rn = 1 join d on d.workspace_id = p.workspace_id and d.rn = 1
  left join m on m.workspace_id = p.workspace_id left join s on s.workspace_id = p.workspace_id and s.rn = 1""",
     ),
 }

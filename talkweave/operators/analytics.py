@@ -161,14 +161,15 @@ def group_pickup_median(events: DataFrame) -> DataFrame:
 RESPONSE_BINS = ((0, 60, "<1m"), (60, 300, "1-5m"), (300, 1800, "5-30m"), (1800, None, "30m+"))
 
 
-def response_histogram(events: DataFrame) -> DataFrame:
-    """In-session reply times in four bins per sender, empty bins included."""
+def in_bin(low: int, high: int | None) -> Column:
+    """An in-session reply whose time lies in a bin."""
     gap = burst_gap()
+    hit = gap >= low
+    return F.coalesce(hit & (gap < high) if high is not None else hit, F.lit(False))
 
-    def inside(low: int, high: int | None) -> Column:
-        hit = gap >= low
-        return F.coalesce(hit & (gap < high) if high is not None else hit, F.lit(False))
 
+def response_histogram(events: DataFrame) -> DataFrame:
+    """In-session reply times in four bins per sender, empty bins included."""
     cells = F.array(
         *[
             F.struct(F.lit(i).cast("bigint").alias("bin"), F.lit(label).alias("label"), F.col(f"_b{i}").alias("replies"))
@@ -179,7 +180,7 @@ def response_histogram(events: DataFrame) -> DataFrame:
         events.groupBy(WS, "sender")
         .agg(
             *[
-                F.sum(inside(lo, hi).cast("bigint")).alias(f"_b{i}")
+                F.sum(in_bin(lo, hi).cast("bigint")).alias(f"_b{i}")
                 for i, (lo, hi, _) in enumerate(RESPONSE_BINS)
             ]
         )
@@ -262,24 +263,39 @@ def workspace_summary(messages: DataFrame) -> DataFrame:
     )
 
 
+HOURS, DAYS = range(24), range(7)
+
+
+def counted_in(value: Column, buckets: range) -> Column:
+    """Aggregate: how many rows lie in each bucket, as an array."""
+    return F.array(*[F.count_if(value == b) for b in buckets])
+
+
+def ranked_buckets(counts: Column, n: int) -> Column:
+    """``[{bucket, message_count}]`` of the ``n`` busiest buckets with any; ties go to the smaller one."""
+    cells = F.transform(counts, lambda c, i: F.struct((-c).alias("down"), i.cast("bigint").alias("bucket")))
+    best = F.slice(F.array_sort(F.filter(cells, lambda c: c["down"] < 0)), 1, n)
+    return F.transform(best, lambda c: F.struct(c["bucket"].alias("bucket"), (-c["down"]).alias("message_count")))
+
+
 def person_scorecard(messages: DataFrame, events: DataFrame) -> DataFrame:
     """One wide row per person.
 
     All message metrics come from one aggregation and all reply metrics from another, so
-    the two big inputs are each aggregated once.
+    the two big inputs are each aggregated once.  ``response_bins`` holds the counts of
+    ``RESPONSE_BINS``, zeros for people without replies.
     """
     size = F.length("text")
-    by_hour = F.transform(
-        F.sequence(F.lit(0), F.lit(23)), lambda h: F.element_at(F.col("_hours"), (h + 1).cast("int"))
-    )
     base = messages.groupBy(WS, "sender").agg(
         F.count(F.lit(1)).alias("message_count"),
         F.coalesce(F.median(F.when(size >= 2, size)), F.lit(0.0)).alias("median_length"),
-        F.array(*[F.count_if(F.hour("ts") == h) for h in range(24)]).alias("_hours"),
+        counted_in(F.hour("ts"), HOURS).alias("_hours"),
+        counted_in(F.weekday("ts"), DAYS).alias("_days"),
     )
-    base = sender_share(base).withColumn(
-        "peak_hour", (F.array_position(by_hour, F.array_max(by_hour)) - 1).cast("bigint")
+    base = sender_share(base).withColumns(
+        {"active_hours": ranked_buckets(F.col("_hours"), 3), "active_days": ranked_buckets(F.col("_days"), 3)}
     )
+    base = base.withColumn("peak_hour", F.col("active_hours")[0]["bucket"])
     opened = F.col("kind").isin("first", "initiation", "pickup")
     replied = F.col("kind").isin("pickup", "burst")
     replies = events.groupBy(WS, "sender").agg(
@@ -287,6 +303,7 @@ def person_scorecard(messages: DataFrame, events: DataFrame) -> DataFrame:
         F.count_if(opened).alias("initiations"),
         guarded_median(pickup_gap()).alias("pickup_median"),
         guarded_median(burst_gap()).alias("burst_median"),
+        F.array(*[F.count_if(in_bin(lo, hi)) for lo, hi, _ in RESPONSE_BINS]).alias("response_bins"),
     )
     received = (
         events.filter(replied)
@@ -294,23 +311,34 @@ def person_scorecard(messages: DataFrame, events: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("replies_received"))
     )
     zero = ("replies_given", "replies_received", "initiations")
+    none = F.array(*[F.lit(0).cast("bigint")] * len(RESPONSE_BINS))
     return (
-        base.drop("_hours")
+        base.drop("_hours", "_days")
         .join(replies, [WS, "sender"], "left")
         .join(received, [WS, "sender"], "left")
         .fillna(0, list(zero))
+        .withColumn("response_bins", F.coalesce("response_bins", none))
     )
 
 
 def group_scorecard(messages: DataFrame, events: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One row per workspace: busiest hour and day, pace, pickup median, strongest pair."""
-    cube = activity_counts(messages, WS)
-    hours = busiest(roll_up(cube, WS, "hour"), [WS], "hour", "busiest_hour")
-    days = busiest(roll_up(cube, WS, "weekday"), [WS], "weekday", "busiest_weekday")
+    """One row per workspace: pace, active hours, days and weeks, pickup median, strongest pair.
+
+    Everything about messages but the weeks is one aggregation.
+    """
+    weeks = top_weeks(weekly_series(messages)).groupBy(WS).agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("rank", "week", "message_count"))), lambda w: F.struct(w["week"].alias("week"), w["message_count"].alias("message_count"))
+        ).alias("top_weeks")
+    )
+    days = F.greatest(F.lit(1), F.datediff(F.max_by("ts", "seq").cast("date"), F.min_by("ts", "seq").cast("date")) + 1)
+    base = messages.groupBy(WS).agg(
+        F.count(F.lit(1)).alias("message_count"), days.cast("bigint").alias("span_days"), (F.count(F.lit(1)) / days).alias("messages_per_day"),
+        ranked_buckets(counted_in(F.hour("ts"), HOURS), 5).alias("active_hours"), ranked_buckets(counted_in(F.weekday("ts"), DAYS), 7).alias("active_days"),
+    )
     return (
-        messages_per_day(messages)
-        .join(hours, WS)
-        .join(days, WS)
+        base.withColumns({"busiest_hour": F.col("active_hours")[0]["bucket"], "busiest_weekday": F.col("active_days")[0]["bucket"]})
+        .join(weeks, WS)
         .join(group_pickup_median(events), WS, "left")
         .join(
             strongest_pair(pairs).select(WS, "person_a", "person_b", "connection_score"), WS, "left"

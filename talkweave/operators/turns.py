@@ -91,9 +91,14 @@ def number_turns(
 
 def turns(messages: DataFrame, block: int = BLOCK_ROWS, **kwargs) -> DataFrame:
     """One row per turn: sender, first time, message and character counts."""
-    numbered = number_turns(
-        messages.select("workspace_id", "seq", "sender", "ts", F.length("text").alias("_len")), block, **kwargs
-    )
+    rows = messages.select("workspace_id", "seq", "sender", "ts", F.length("text").alias("_len"))
+    return turns_of(number_turns(rows, block, **kwargs))
+
+
+def turns_of(numbered: DataFrame) -> DataFrame:
+    """The turns of messages that ``number_turns`` has numbered; they carry ``text`` or its length ``_len``."""
+    if "_len" not in numbered.columns:
+        numbered = numbered.withColumn("_len", F.length("text"))
     return (
         numbered.groupBy("workspace_id", "turn_no")
         .agg(
@@ -125,61 +130,51 @@ def people_of(messages: DataFrame) -> DataFrame:
     return messages.select("workspace_id", "sender").distinct()
 
 
-def mentions(
-    messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS, ahead: int = 12
-) -> DataFrame:
+def mentions(messages: DataFrame, people: DataFrame, block: int = BLOCK_ROWS, numbered: DataFrame | None = None) -> DataFrame:
     """Per turn, the first name (alphabetically) that some ``@`` in it spells.
 
-    The match ignores case and needs no right word boundary, so every ``@`` is expanded to
-    one candidate per *length* of name in the workspace and joined on equality; names are
-    never compared with all messages.  A name may run on into the following messages of
-    the turn, one message further per space in it; a name with more than ``ahead`` spaces
-    raises an error that asks for a larger ``ahead``.
+    The match ignores case, needs no right word boundary and may run over any number of messages of the turn.
+    ``numbered`` are the messages as ``number_turns`` gives them, where the caller has them already.
     """
-    numbered = number_turns(messages.select("workspace_id", "seq", "sender", "ts", "text"), block)
-    rows = with_neighbours(numbered, "pos", 0, ahead, block)
-    w = Window.partitionBy("workspace_id", "_blk").orderBy("pos").rowsBetween(1, ahead)
-    same_turn = F.collect_list(F.struct("turn_no", "text")).over(w)
-    rows = (
-        rows.withColumn("_next", same_turn)
-        .filter(F.col("_own") & F.contains("text", F.lit("@")))
-        .withColumn(
-            "_tail",
-            F.transform(
-                F.filter("_next", lambda x: x["turn_no"] == F.col("turn_no")), lambda x: x["text"]
-            ),
-        )
-        .withColumn("_joined", F.lower(F.concat_ws(" ", F.col("text"), F.array_join("_tail", " "))))
-    )
-    spaces = F.length("sender") - F.length(F.replace("sender", F.lit(" "), F.lit("")))
-    lengths = (
-        people.groupBy("workspace_id")
-        .agg(
-            F.collect_set(F.length(F.lower("sender"))).alias("_lengths"),
-            F.max(spaces).alias("_spaces"),
-            F.count(F.lit(1)).alias("speakers"),
-        )
-        .withColumn(
-            "name_lengths",
-            F.when(F.col("_spaces") <= ahead, F.col("_lengths")).otherwise(
-                F.raise_error(F.lit("a name has more spaces than `ahead`")).cast("array<int>")
-            ),
-        )
-    )
-    starts = F.filter(
-        F.sequence(F.lit(1), F.length(F.lower("text"))),
-        lambda i: F.substr(F.lower(F.col("text")), i, F.lit(1)) == "@",
+    if numbered is None:
+        numbered = number_turns(messages.select("workspace_id", "seq", "sender", "ts", "text"), block)
+    return named_in(at_tails(numbered, people, block), people)
+
+
+def at_tails(numbered: DataFrame, people: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
+    """``workspace_id, turn_no, sender, tail``: what follows each ``@`` of a turn, as far as a name can reach.
+
+    A turn is read in pieces of ``block`` messages, or of more than the longest name has characters.  Such a piece is
+    longer than a name, so what runs over its end lies in the next one, whose first characters are carried over.  Of a
+    message without ``@`` only as much is kept as a name that runs into it could cover.  One pass over each text.
+    """
+    longest = people.select(F.max(F.length(F.lower("sender")))).first()[0] or 0
+    body = F.lower("text")
+    kept = F.when(F.contains("text", F.lit("@")), body).otherwise(F.substr(body, F.lit(1), F.lit(longest)))
+    pieces = (
+        numbered.select("workspace_id", "turn_no", "sender", "pos", kept.alias("_text"))
+        .groupBy("workspace_id", "turn_no", block_of("pos", max(block, longest + 1)).alias("_piece"))
+        .agg(F.first("sender").alias("sender"), F.expr("listagg(_text, ' ') WITHIN GROUP (ORDER BY pos)").alias("_text"))
+    )
+    onward = Window.partitionBy("workspace_id", "turn_no").orderBy("_piece")
+    pieces = pieces.withColumn("_next", F.lead(F.substr("_text", F.lit(1), F.lit(longest))).over(onward))
+    reach = F.lit(f"(?s)@(?=(.{{0,{longest}}}))")
+    tails = F.regexp_extract_all(F.concat_ws(" ", "_text", "_next"), reach, F.lit(1))
+    at = pieces.filter(F.contains("_text", F.lit("@"))).select("workspace_id", "turn_no", "sender", F.explode_outer(F.array_distinct(tails)).alias("tail"))
+    return at.filter("tail is not null")
+
+
+def named_in(tails: DataFrame, people: DataFrame) -> DataFrame:
+    """The person each turn mentions: an equality join of one candidate per length of name, so no tail meets all names."""
+    lengths = people.groupBy("workspace_id").agg(
+        F.collect_set(F.length(F.lower("sender"))).alias("_lengths"), F.count(F.lit(1)).alias("speakers")
     )
     candidates = (
-        rows.join(lengths.filter("speakers > 2"), "workspace_id")
-        .withColumn("_at", F.explode(starts))
-        .withColumn("_len", F.explode("name_lengths"))
-        .select(
-            "workspace_id",
-            "turn_no",
-            F.col("sender").alias("_turn_sender"),
-            F.substr(F.col("_joined"), F.col("_at") + 1, F.col("_len")).alias("_name"),
-        )
+        tails.withColumnRenamed("sender", "_turn_sender")
+        .join(lengths.filter("speakers > 2"), "workspace_id")
+        .withColumn("_len", F.explode("_lengths"))
+        .filter(F.length("tail") >= F.col("_len"))
+        .select("workspace_id", "turn_no", "_turn_sender", F.substr(F.col("tail"), F.lit(1), F.col("_len")).alias("_name"))
         .distinct()
     )
     names = people.select("workspace_id", F.lower("sender").alias("_name"), F.col("sender").alias("_person"))

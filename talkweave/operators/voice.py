@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from talkweave.functions.text import bind, is_noise, is_pure_ack, strip, topic_bucket, word_count
 from talkweave.plans.ordered import top_rows, with_neighbours
 from talkweave.schema import BLOCK_ROWS
-from talkweave.session import checkpoint_folder
+from talkweave.session import materialise
 
 WS = "workspace_id"
 PERSON = [WS, "sender"]
 SAME = 0.6
 
+__all__ = ["dialogue_text", "exchange_score", "labelled_samples", "materialise", "shortlist", "voice_candidates", "voice_samples"]
+
 
 def voice_candidates(line: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """Exchanges of at most four messages around every own message.
@@ -93,13 +95,6 @@ def _alike(a: Column, b: Column) -> Column:
     )
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder: what follows reads it, not the whole lineage."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    return df.checkpoint()
-
-
 def shortlist(pool: DataFrame, at_least: int) -> DataFrame:
     """Those rows of ``pool`` (one per person and set of ``texts``) from which the scan of ``voice_samples`` may add.
 

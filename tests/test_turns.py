@@ -88,12 +88,25 @@ def test_mentions_run_over_messages_and_blocks(random_chat):
     assert any(v == "Ann Lee" for v in want.values())
 
 
-def test_name_longer_than_look_ahead_is_an_error(chat):
-    df = chat([("w", "A", 0, "hi @a"), ("w", "B c d", 1, "yo @a"), ("w", "C", 2, "hm @b c d")])
+@pytest.mark.parametrize("block", [2, 4, 4096])
+def test_names_may_run_over_any_number_of_messages(chat, block):
+    long = " ".join("abcdefghij"[i % 10] for i in range(41))
+    rows = [("w", "A", 0, "hi @a"), ("w", "B c d", 1, "yo @A"), ("w", "C", 2, "hm @b c d"), ("w", long, 3, "x@"), ("w", long, 4, "b c d @B"), ("w", long, 5, "C D, no")]
+    rows += [("w", "A", 6 + i, ("@@" if i == 0 else "") + x) for i, x in enumerate(long.split())]
+    rows += [("v", "P", 0, "@q"), ("v", "Q", 1, "@p")]  # two speakers mention nobody
+    df = chat(rows)
+    got = {(r.workspace_id, r.turn_no): r.mentioned for r in tn.mentions(df, tn.people_of(df), block).collect()}
+    assert got == {("w", 1): "A", ("w", 2): "B c d", ("w", 3): "B c d", ("w", 4): long}
+
+
+def test_tails_of_a_long_text_hold_no_more_than_a_name(chat):
+    """The work grows with the text: one bounded tail per ``@``."""
+    df = chat([("w", n, i, "x") for i, n in enumerate(("Ann", "Bo", "Cy"))] + [("w", "Cy", 9, "@ann " * 20_000 + "@b"), ("w", "Cy", 10, "o")])
     people = tn.people_of(df)
-    assert {r.turn_no: r.mentioned for r in tn.mentions(df, people, 4, ahead=2).collect()} == {1: "A", 2: "B c d"}
-    with pytest.raises(Exception, match="more spaces"):
-        tn.mentions(df, people, 4, ahead=1).collect()
+    numbered = tn.number_turns(df.select("workspace_id", "seq", "sender", "ts", "text"), 16)
+    tails = [r["tail"] for r in tn.at_tails(numbered, people, 16).collect()]
+    assert set(tails) == {"ann", "b o"}
+    assert [r["mentioned"] for r in tn.mentions(df, people, 16, numbered).collect()] == ["Ann"]
 
 
 def test_pause_can_split_turns(chat):
