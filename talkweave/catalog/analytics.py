@@ -286,7 +286,9 @@ ENTRIES = {
     ),
     "turn_texts": (
         _turn_texts,
-        T + f"select workspace_id, turn_no, seq // {fx.BLOCK} as part_no, string_agg(text, ' ' order by seq) as text from numbered group by 1, 2, 3",
+        T[:-1]
+        + f""", parts as (select *, (row_number() over (partition by workspace_id, turn_no order by seq) - 1) // {tn.TURN_PART} as part_no from numbered)
+ select workspace_id, turn_no, part_no, string_agg(text, ' ' order by seq) as text from parts group by 1, 2, 3""",
     ),
     "turn_events": (
         lambda s, d: events(s, d).select(WS, "turn_no", "sender", "previous_sender", F.col("gap_seconds").cast("double").alias("gap_seconds"), "kind"),

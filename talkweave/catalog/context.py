@@ -29,8 +29,12 @@ def raw_hits(spark, folder):
     )
 
 
-def hits(spark, folder):
-    ranked = cx.top_rows(raw_hits(spark, folder), ["request_id"], [F.col("score").desc(), F.col("message_id")], 3)
+# Hits of a chat turn and of a question.
+CHAT_HITS, QA_HITS = 8, 20
+
+
+def hits(spark, folder, k):
+    ranked = cx.top_rows(raw_hits(spark, folder), ["request_id"], [F.col("score").desc(), F.col("message_id")], k)
     return ranked.drop("rank")
 
 
@@ -60,11 +64,11 @@ def _merged(spark, folder):
 
 
 def _blocks(spark, folder):
-    return cx.context_blocks(hits(spark, folder), line(spark, folder), 0.6, 5, fx.BLOCK)
+    return cx.context_blocks(hits(spark, folder, CHAT_HITS), line(spark, folder), 0.6, 5, fx.BLOCK)
 
 
 def _blocks_qa(spark, folder):
-    return cx.context_blocks_qa(hits(spark, folder), line(spark, folder), 5, fx.BLOCK)
+    return cx.context_blocks_qa(hits(spark, folder, QA_HITS), line(spark, folder), 5, fx.BLOCK)
 
 
 def _snippets(spark, folder):
@@ -134,7 +138,10 @@ C = f"with {fx.SQL_MESSAGES_CONV}, line as (select *, row_number() over (partiti
 RAW = C + rf""", raw as (select workspace_id as request_id, workspace_id, message_id,
  length(text) / (length(text) + 200.0) as score, sender as speaker, ts, left(text, 500) as snippet from messages_conv
  where is_system or (sender = 'user' and regexp_matches({fx.strip_sql('text')}, '[.,]\s')))"""
-HITS = RAW + """, hits as (select * from (select *, row_number() over (partition by request_id order by score desc, message_id) as rank from raw) z where rank <= 3),
+
+
+def hits_sql(k: int) -> str:
+    return RAW + f""", hits as (select * from (select *, row_number() over (partition by request_id order by score desc, message_id) as rank from raw) z where rank <= {k}),
  win as (select h.request_id, h.score, l.pos, greatest(0, l.pos - 3) as s, least(l.n, l.pos + 5) as e from hits h join line l on l.workspace_id = h.workspace_id and l.message_id = h.message_id)"""
 
 
@@ -205,7 +212,7 @@ ENTRIES = {
     ),
     "context_blocks": (
         _blocks,
-        HITS
+        hits_sql(CHAT_HITS)
         + f""", {merge_sql('win')}, blk as (select r.request_id, r.range_no, r.s, r.score, bool_or(lower(l.sender) = 'assistant' or contains(lower(l.text), 'assistant')) as about,
    {fx.strip_sql("string_agg(concat(l.sender, ': ', l.text), chr(10) order by l.pos)")} as text
   from ranges r join line l on l.workspace_id = r.request_id and l.pos >= r.s and l.pos < r.e group by 1, 2, 3, 4),
@@ -218,7 +225,7 @@ ENTRIES = {
     ),
     "context_blocks_qa": (
         _blocks_qa,
-        HITS
+        hits_sql(QA_HITS)
         + f""", {merge_sql('win')}, first5 as (select *, row_number() over (partition by request_id order by s) as block_no from ranges)
  select f.request_id, f.block_no, l.pos, l.sender as speaker, strftime(l.ts, '%Y-%m-%d %H:%M') as ts, l.text,
   exists (select 1 from win w where w.request_id = f.request_id and w.pos = l.pos) as is_hit
@@ -226,7 +233,7 @@ ENTRIES = {
     ),
     "rendered_blocks": (
         lambda s, d: cx.render_blocks(_blocks_qa(s, d)),
-        HITS
+        hits_sql(QA_HITS)
         + f""", {merge_sql('win')}, first5 as (select *, row_number() over (partition by request_id order by s) as block_no from ranges),
  r as (select f.request_id, f.block_no, l.pos, l.sender as speaker, strftime(l.ts, '%Y-%m-%d %H:%M') as ts, l.text,
   exists (select 1 from win w where w.request_id = f.request_id and w.pos = l.pos) as is_hit

@@ -37,7 +37,7 @@ def _context_query(spark, folder):
 
 def _sanity(spark, folder):
     rows = _recent(spark, folder).filter("recent is not null")
-    rewrites = F.slice(F.split("text", r"\. "), 1, 3)
+    rewrites = F.split("text", r"\. ")
     kept = mo.sane_rewrites(F.col("text"), F.col("recent"), rewrites, 12)
     return rows.select("message_id", F.size(kept).cast("bigint").alias("kept"))
 
@@ -59,9 +59,10 @@ SECTIONS = ("listening", "analysis", "writing", "personality")
 
 
 def _cap(spark, folder):
+    """The turns of a dialogue are dealt to the sections and the voice samples in order, all of them."""
     m = fx.messages_conv(spark, folder)
-    named = [F.max(F.when(F.col("seq") == i, F.col("text"))).alias(c) for i, c in enumerate(SECTIONS)]
-    s = m.groupBy(WS).agg(*named, F.max(F.when(F.col("seq") == 4, F.col("text"))).alias("voice"))
+    own = "listagg(CASE WHEN seq % 5 = {} THEN text END, '\n') WITHIN GROUP (ORDER BY seq)"
+    s = m.groupBy(WS).agg(*[F.expr(own.format(i)).alias(c) for i, c in enumerate((*SECTIONS, "voice"))])
     out = prompts.cap_sections(s, ["voice"], 1200)
     return out.select(WS, "size", "capped_size", *[(F.col(c) != "").alias(c) for c in SECTIONS])
 
@@ -103,7 +104,7 @@ ENTRIES = {
         C
         + rf""", r as (select *, case when pos = 1 then lag(text) over w else concat(lag(text, 2) over w, ' ', lag(text) over w) end as recent
   from line window w as (partition by workspace_id order by pos)),
- q as (select message_id, text, string_split(text, '. ')[1:3] as rw, [x for x in regexp_split_to_array(lower(recent), '[^\p{{L}}\p{{N}}_]+') if length(x) > 2] as ws from r where pos > 0)
+ q as (select message_id, text, string_split(text, '. ') as rw, [x for x in regexp_split_to_array(lower(recent), '[^\p{{L}}\p{{N}}_]+') if length(x) > 2] as ws from r where pos > 0)
  select message_id, case when len(regexp_extract_all(text, '\S+')) <= 12 and len(ws) > 0 and len([x for x in ws if contains(lower(array_to_string(rw, ' ')), x)]) = 0
   then 0 else len(rw) end as kept from q""",
     ),
@@ -123,8 +124,9 @@ ENTRIES = {
     "prompt_cap": (
         _cap,
         C
-        + """, s as (select workspace_id, coalesce(max(case when seq = 0 then length(text) end), 0) as l, coalesce(max(case when seq = 1 then length(text) end), 0) as a,
-  coalesce(max(case when seq = 2 then length(text) end), 0) as w, coalesce(max(case when seq = 3 then length(text) end), 0) as p, coalesce(max(case when seq = 4 then length(text) end), 0) as v from messages_conv group by 1),
+        + """, s as (select workspace_id, """
+        + ", ".join(f"coalesce(length(string_agg(text, chr(10) order by seq) filter (seq % 5 = {i})), 0) as {c}" for i, c in enumerate("lawpv"))
+        + """ from messages_conv group by 1),
  t as (select *, l + a + w + p + v as s0 from s), t1 as (select *, case when s0 > 1200 then s0 - l else s0 end as s1 from t),
  t2 as (select *, case when s1 > 1200 then s1 - a else s1 end as s2 from t1), t3 as (select *, case when s2 > 1200 then s2 - w else s2 end as s3 from t2),
  t4 as (select *, case when s3 > 1200 then s3 - p else s3 end as s4 from t3)

@@ -147,10 +147,9 @@ def judged(spark, folder, c):
 
 
 def graded(spark, folder):
-    # Messages without a judgement keep their keyword score, so the grade is on that scale.
     c = fusion.ranked(candidates(spark, folder))
     top = fusion.apply_rerank(c, judged(spark, folder, c))
-    return fusion.passing(top, requests(spark, folder), multi=120.0)
+    return fusion.passing(top, requests(spark, folder))
 
 
 def _rerank_apply(spark, folder):
@@ -278,7 +277,7 @@ GRADED = CAND + """, lab as (select doc_id, max(quality) as q, max(toxic) as t f
   from ordc o left join lab l on l.doc_id = o.message_id),
  top8 as (select * from (select *, row_number() over (partition by request_id order by score desc, ordinal) as rank from rr) z where rank <= 8),
  nq as (select request_id, count(*) as n from req group by 1),
- graded as (select t.*, t.score >= case when n > 1 then 120.0 else 0.6 end as passes from top8 t join nq using (request_id)),
+ graded as (select t.*, t.score >= case when n > 1 then 0.45 else 0.6 end as passes from top8 t join nq using (request_id)),
  verdict as (select request_id, count(*) filter (passes) as passing, case when count(*) filter (passes) >= 2 then 'answered' else 'not_found' end as status,
   string_agg(case when rank <= 3 then cast(message_id as varchar) end, ',' order by rank) as near from graded group by 1)"""
 

@@ -113,8 +113,7 @@ def _normalized(spark, folder):
 
 def _jaccard(spark, folder):
     m = fx.messages_conv(spark, folder)
-    words = m.select("workspace_id", "sender", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    return style.set_overlap(words, "workspace_id", "sender", "user", "assistant", "token").withColumn(
+    return style.set_overlap(m, "workspace_id", "sender", "user", "assistant", "text").withColumn(
         "jaccard", F.round("jaccard", 6)
     )
 
@@ -313,9 +312,11 @@ ENTRIES = {
     "topic_bucket": (lambda s, d: docs(s, d).select("doc_id", tx.topic_bucket(F.col("text")).alias("topic")), topic_sql()),
     "exchange_jaccard": (
         _jaccard,
-        f"""with {fx.SQL_MESSAGES_CONV}, w as (select workspace_id, sender, unnest({TOK}) as token from messages_conv where sender in ('user', 'assistant')),
- s as (select workspace_id, token, max(case when sender = 'user' then 1 else 0 end) as a, max(case when sender = 'assistant' then 1 else 0 end) as b from w group by 1, 2)
- select workspace_id, cast(sum(a * b) as bigint) as shared, count(*) as all_elements, round(sum(a * b) / count(*), 6) as jaccard from s group by 1""",
+        f"""with {fx.SQL_MESSAGES_CONV}, s as (select workspace_id, text, max(case when sender = 'user' then 1 else 0 end) as a, max(case when sender = 'assistant' then 1 else 0 end) as b
+  from messages_conv where sender in ('user', 'assistant') group by 1, 2)
+ select p.workspace_id, cast(coalesce(sum(a * b), 0) as bigint) as shared, count(s.workspace_id) as all_elements,
+  case when count(s.workspace_id) = 0 then 1 else round(sum(a * b) / count(s.workspace_id), 6) end as jaccard
+ from (select distinct workspace_id from messages_conv) p left join s using (workspace_id) group by 1""",
     ),
     "solo_examples": (
         _solo,

@@ -124,8 +124,8 @@ def parse_timestamp(d1: Column, d2: Column, year: Column, h: Column, m: Column,
 def parse_lines(raw_lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """Messages of raw lines, header problems included (their ``ts`` is null).
 
-    ``seq`` is the number of the header line.  A message of more than ``block`` lines comes
-    as several rows, each with its own ``seq``.
+    ``seq`` is the number of the header line.  A message is one row, however many lines it
+    has; ``block`` only bounds the scan for headers.
     """
     marked = clean_lines(raw_lines).join(detect_format(raw_lines), "workspace_id")
     pattern_hit = F.when(F.col("export_format") == "ios", F.col("line").rlike(IOS)).otherwise(
@@ -137,17 +137,15 @@ def parse_lines(raw_lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
         ["workspace_id"],
         "_blk",
         [F.col("seq")],
-        {"_open": ("max", F.when(F.col("is_header"), F.struct("seq", "line")))},
+        {"_open": ("max", F.when(F.col("is_header"), F.col("seq")))},
     )
-    head = F.when(F.col("is_header"), F.struct("seq", "line")).otherwise(F.col("_open"))
-    located = located.withColumn("_head", head).filter(F.col("_head").isNotNull())
+    header = F.when(F.col("is_header"), F.col("seq")).otherwise(F.col("_open"))
     grouped = (
-        located.withColumn("header_seq", F.col("_head.seq"))
-        .withColumn("_part", F.floor((F.col("seq") - F.col("_head.seq")) / block))
-        .groupBy("workspace_id", "header_seq", "_part")
+        located.withColumn("header_seq", header)
+        .filter(F.col("header_seq").isNotNull())
+        .groupBy("workspace_id", "header_seq")
         .agg(
-            F.min("seq").alias("seq"),
-            F.max("_head.line").alias("raw"),
+            F.max(F.when(F.col("is_header"), F.col("line"))).alias("raw"),
             F.max("export_format").alias("export_format"),
             F.expr("listagg(CASE WHEN NOT is_header THEN nullif(line, '') END, '\n') WITHIN GROUP (ORDER BY seq)").alias("_more"),
         )
@@ -163,10 +161,10 @@ def parse_lines(raw_lines: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     grouped = grouped.withColumn("_rest", F.col("_f")[7])
     named = F.contains("_rest", F.lit(": "))
     body = F.when(named, F.expr("substring(_rest, instr(_rest, ': ') + 2)")).otherwise(strip(F.col("_rest")))
-    first_line = F.when((F.col("_part") == 0) & (body != ""), body)
+    first_line = F.when(body != "", body)
     return grouped.select(
         "workspace_id",
-        "seq",
+        F.col("header_seq").alias("seq"),
         "header_seq",
         "export_format",
         "ts",

@@ -42,13 +42,16 @@ def solo_examples(samples: DataFrame, part: Sequence[str], order: str, limit: in
 def set_overlap(elements: DataFrame, part: str, side: str, a: str, b: str, element: str) -> DataFrame:
     """Jaccard overlap of the element sets of two sides, without building either set.
 
-    Elements are reduced to one row each before they meet, so repeats cost nothing.
+    Elements are reduced to one row each before they meet, so repeats cost nothing.  A part
+    whose rows are all of other sides has two empty sets, which are equal (1).
     """
+    parts = elements.select(part).distinct()
     seen = elements.filter(F.col(side).isin(a, b)).groupBy(part, element).agg(
         F.max((F.col(side) == a).cast("int")).alias("in_a"), F.max((F.col(side) == b).cast("int")).alias("in_b")
     )
-    return seen.groupBy(part).agg(
+    met = seen.groupBy(part).agg(
         F.sum(F.col("in_a") * F.col("in_b")).alias("shared"),
         F.count(F.lit(1)).alias("all_elements"),
         (F.sum(F.col("in_a") * F.col("in_b")) / F.count(F.lit(1))).alias("jaccard"),
     )
+    return parts.join(met, part, "left").fillna({"shared": 0, "all_elements": 0, "jaccard": 1.0})

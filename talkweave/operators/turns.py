@@ -17,6 +17,10 @@ SESSION_GAP_SECONDS = 30 * 60
 PICKUP_CAP_SECONDS = 4 * 60 * 60
 
 
+# Messages in a part of the text of a turn.
+TURN_PART = 4096
+
+
 def usable_messages(messages: DataFrame) -> DataFrame:
     """Messages people wrote: no system lines, no media or deletion placeholders."""
     return messages.filter(~F.col("is_system") & ~is_noise(F.col("text")))
@@ -111,15 +115,18 @@ def turns_of(numbered: DataFrame) -> DataFrame:
     )
 
 
-def turn_texts(messages: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """Text of each turn, joined by spaces, in parts of bounded size.
+def turn_texts(messages: DataFrame, block: int = BLOCK_ROWS, part: int = TURN_PART) -> DataFrame:
+    """Text of each turn, joined by spaces, in parts of ``part`` messages counted from its first.
 
     A turn of ordinary length has one part.  A sender alone in a workspace for millions of
-    messages makes one turn, whose text comes as one part per block.
+    messages makes one turn, whose text comes in many.  ``block`` only bounds the scan.
     """
     numbered = number_turns(messages.select("workspace_id", "seq", "sender", "ts", "text"), block)
+    sized = numbered.groupBy("workspace_id", "turn_no").agg(F.min("pos").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    long = sized.filter(F.col("_n") > part).drop("_n")
     return (
-        numbered.withColumn("part_no", block_of("seq", block))
+        numbered.join(long, ["workspace_id", "turn_no"], "left")
+        .withColumn("part_no", F.coalesce(F.floor((F.col("pos") - F.col("_from")) / part), F.lit(0)).cast("bigint"))
         .groupBy("workspace_id", "turn_no", "part_no")
         .agg(F.expr("listagg(text, ' ') WITHIN GROUP (ORDER BY seq)").alias("text"))
     )

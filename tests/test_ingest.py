@@ -52,12 +52,14 @@ def test_ios_and_day_first(spark):
     ]
 
 
-def test_message_longer_than_a_block_comes_in_parts(spark):
-    text = "01/02/2024, 10:00 - A: l0\n" + "\n".join(f"l{i}" for i in range(1, 10)) + "\n01/02/2024, 10:01 - B: end"
-    got, _ = parse(spark, text, block=4)
-    parts = [r for r in got if "end" not in r.text]
-    assert "\n".join(r.text for r in parts) == "\n".join(f"l{i}" for i in range(10))
-    assert len(parts) == 3 and {(r.ts, r.sender) for r in parts} == {(datetime(2024, 2, 1, 10, 0), "A")}
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_messages_do_not_follow_the_block(spark, block):
+    text = "01/02/2024, 10:00 - A: l0\n" + "\n".join(f"l{i}" for i in range(1, 40)) + "\n01/02/2024, 10:01 - B: end\n\nmore"
+    got, _ = parse(spark, text, block=block)
+    assert [(r.seq, r.ts, r.sender, r.text) for r in sorted(got, key=lambda r: r.seq)] == [
+        (0, datetime(2024, 2, 1, 10, 0), "A", "\n".join(f"l{i}" for i in range(40))), (40, datetime(2024, 2, 1, 10, 1), "B", "end\nmore"),
+    ]
+    assert len({r.message_id for r in got}) == 2
 
 
 @pytest.mark.parametrize("block", [1, 7, 4096])

@@ -75,6 +75,14 @@ def test_events_across_blocks(random_chat):
         assert [got[(ws, i)] for i in range(len(model_turns(rows)))] == model_events(model_turns(rows))
 
 
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_parts_of_a_turn_are_counted_from_its_first_message(chat, block):
+    df = chat([("w", "A", 0, "x")] + [("w", "B", i, f"b{i}") for i in range(1, 24)] + [("w", "A", 30, "y"), ("v", "A", 0, "z")])
+    got = {(r.workspace_id, r.turn_no, r.part_no): r.text for r in tn.turn_texts(df, block, part=10).collect()}
+    parts = [" ".join(f"b{i}" for i in range(1 + k, min(11 + k, 24))) for k in (0, 10, 20)]
+    assert got == {("w", 0, 0): "x", ("w", 1, 0): parts[0], ("w", 1, 1): parts[1], ("w", 1, 2): parts[2], ("w", 2, 0): "y", ("v", 0, 0): "z"}
+
+
 def test_mentions_run_over_messages_and_blocks(random_chat):
     per_ws, df = random_chat
     people = tn.people_of(df)
