@@ -6,12 +6,13 @@ vector per phrasing, one request per vector label.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from talkweave.catalog import fixtures as fx
 from talkweave.catalog.text import DENSITY, TOK, delta_sql
 from talkweave.functions import scores as sc
-from talkweave.operators import embed, fusion, search
+from talkweave.operators import cells, embed, fusion, search
 from talkweave.operators.index import Index, write_index
 
 AS_OF = "2024-02-10"
@@ -228,6 +229,17 @@ def _ann(spark, folder):
     return rounded(found, "query_id", "message_id", F.col("rank").cast("bigint").alias("rank"))
 
 
+def _stored_ann(spark, folder):
+    """Cells around the mean of each label; the six nearest to a request are opened and scored exactly."""
+    v = vectors(spark, folder).select("workspace_id", "message_id", "person_id", "embedding")
+    at = v.select("person_id", F.posexplode(search.unit_vector(F.col("embedding"))).alias("i", "x"))
+    means = at.groupBy("person_id", "i").agg(F.avg("x").alias("x")).groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c"))
+    book = cells.Codebook(np.array([r["c"] for r in means.orderBy("person_id").select(F.col("c.x").alias("c")).collect()]))
+    path = fx.stored(spark, "cells")
+    cells.write_cells(v, book, path)
+    return ranked_hits(cells.cell_topk(spark.read.parquet(path), requests(spark, folder), book, 8, probes=6))
+
+
 def _hash_embed(spark, folder):
     e = embed.hash_embed(fx.corpus(spark, folder).select("message_id", "text"))
     return e.select("message_id", F.posexplode("embedding").alias("i", "x")).filter("x <> 0").select(
@@ -371,3 +383,15 @@ ENTRIES |= {
     "stored_multi_query_boost": (_stored_boost, ENTRIES["multi_query_boost"][1]),
     "stored_fast_retrieve": (_stored_fast, ENTRIES["fast_retrieve"][1]),
 }
+
+ENTRIES["stored_ann_topk"] = (
+    _stored_ann,
+    f"""with {SIM},
+ unit as (select vec_id, label, [cast(x as double) / sqrt(list_sum([cast(y as double) * cast(y as double) for y in embedding])) for x in embedding] as u from embeddings),
+ spread as (select label, unnest(range(1, len(u) + 1)) as i, unnest(u) as x from unit),
+ means as (select label, list(x order by i) as c from (select label, i, avg(x) as x from spread group by 1, 2) m group by 1),
+ near as (select vec_id, label, row_number() over (partition by vec_id order by round(list_dot_product(u, c), 9) desc, label) as place
+  from (select unit.vec_id, unit.u, means.label, means.c from unit, means) z),
+ opened as (select s.* from sim s join near own on own.vec_id = s.message_id and own.place = 1 join near q on q.vec_id = s.query_id and q.label = own.label and q.place <= 6),
+ {topk('best', 'opened', 'query_id', 8)} select query_id, message_id, rank, {R6} from best""",
+)
