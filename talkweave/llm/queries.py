@@ -163,8 +163,9 @@ found as ({" union all ".join((
     _sql_spans("'endpoint'", _P["endpoint"], "true"),
 ))}),
 ranked as (select *, list_position(['assign', 'access', 'hex', 'id', 'key', 'endpoint'], kind) as k, kind in ('assign', 'hex', 'key') as secret from found),
-told as (select * from ranked a where k <= 3 or exists
-           (select 1 from ranked b where b.r = a.r and b.secret <> a.secret and abs(a.b - b.b) <= {secrets.REACH})),
+apart as (select * from ranked a where k <= 3 or not exists (select 1 from ranked b where b.r = a.r and b.k <= 3 and b.b <= a.b and a.e <= b.e)),
+told as (select * from apart a where k <= 3 or exists
+           (select 1 from apart b where b.r = a.r and b.secret <> a.secret and abs(a.b - b.b) <= {secrets.REACH} and (b.b >= a.e or b.e <= a.b))),
 per as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access, count(*) filter (kind = 'hex') as n_hex,
                string_agg(kind || ':' || b || ':' || e, ',' order by b, k) filter (k <= 3) as base,
                string_agg(kind || ':' || b || ':' || e, ',' order by b, k) as spans from told group by r)

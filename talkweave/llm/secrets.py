@@ -5,7 +5,8 @@ and digits with both), ``key`` (a token of 24 or more characters with capitals,
 ``id``) and ``endpoint`` (an http address).  An identifier (``access``, ``id``), a secret (``assign``, ``hex``, ``key``)
 and an endpoint are the parts of a credential.  A weak part is reported if a complementary part starts in its scope, at
 most ``REACH`` code points away: an identifier or endpoint needs a secret, a secret an identifier or endpoint.  The scopes
-are joined as intervals: parts meet by buckets of ``REACH`` code points, then by distance, in a semi join.
+are joined as intervals: parts meet by buckets of ``REACH`` code points, then by distance, in a semi join.  Parts that
+overlap do not vouch for each other, and what lies inside a base span is no weak part of its own.
 
 Positions come from the pieces between matches, so all of it is SQL functions.
 """
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.rows import identified
+from talkweave.functions.text import bind
+from talkweave.llm.rows import cut, identified
 
 REACH = 200
 
@@ -38,6 +40,22 @@ ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "id": "ide
 _SPANS = "array<struct<begin:int,rank:int,end:int,kind:string>>"
 
 
+def _running(numbers: Column, block: int = 64) -> Column:
+    """Running sums.  Appending copies a list, so sums run inside blocks and over the sums of blocks."""
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
+
+    def from_(first: Column, x: Column) -> Column:
+        start = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["out"], a["at"] + n).alias("out"))
+        return F.aggregate(x, start, step, lambda a: a["out"])
+
+    first = F.sequence(F.lit(1), F.greatest(F.size(numbers), F.lit(1)), F.lit(block))
+    blocks = F.transform(first, lambda i: F.slice(numbers, i, F.lit(block)))
+    return bind(
+        blocks, lambda held: bind(from_(F.lit(0), F.transform(held, total)), lambda ends: F.flatten(F.transform(held, lambda x, i: from_(ends[i] - total(x), x))))
+    )
+
+
 def _matches(text: Column, pattern: str, kind: Column, keep: Column) -> Column:
     """Spans of the leftmost matches for which ``keep`` of ``x.all`` and ``x.part`` holds; ``part`` is the last group.
 
@@ -46,16 +64,10 @@ def _matches(text: Column, pattern: str, kind: Column, keep: Column) -> Column:
     group = 2 if "|" in pattern else 1
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    parts = F.zip_with(F.arrays_zip(whole.alias("all"), part.alias("part")), gaps, lambda m, g: F.struct(m["all"].alias("all"), m["part"].alias("part"), F.length(g).alias("gap")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int,all:string,part:string>>").alias("out"))
-
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["all"])
-        span = F.struct(begin.alias("begin"), end.alias("end"), x["all"].alias("all"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    found = F.filter(F.aggregate(parts, zero, step, lambda acc: acc["out"]), keep)
+    steps = F.zip_with(gaps, whole, lambda g, m: F.length(g) + F.length(m))
+    parts = F.arrays_zip(whole.alias("all"), part.alias("part"), _running(steps).alias("end"))
+    spans = F.transform(parts, lambda x: F.struct((x["end"] - F.length(x["all"])).alias("begin"), x["end"].alias("end"), x["all"].alias("all"), x["part"].alias("part")))
+    found = F.filter(spans, keep)
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k).cast("int")
     spans = F.transform(found, lambda x: F.struct(x["begin"], rank(kind(x)).alias("rank"), x["end"], kind(x).alias("kind")))
     return F.when(text.rlike(pattern), spans).otherwise(F.array()).cast(_SPANS)
@@ -68,15 +80,19 @@ def _weak_kind(x: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All spans of base kinds and all weak ones, unlinked."""
+    """All spans of base kinds and the weak ones that lie in none of them, unlinked."""
     name = lambda k: lambda x: F.lit(k)
-    return F.concat(
+    base = F.concat(
         _matches(text, PATTERNS["assign"], name("assign"), lambda x: F.length(x["part"]) >= 12),
         _matches(text, PATTERNS["access"], name("access"), lambda x: F.length(x["all"]) >= 18),
         _matches(text, PATTERNS["hex"], name("hex"), lambda x: F.lit(True)),
+    )
+    weak = F.concat(
         _matches(text, PATTERNS["token"], _weak_kind, lambda x: _weak_kind(x) != ""),
         _matches(text, PATTERNS["endpoint"], name("endpoint"), lambda x: F.lit(True)),
     )
+    inside = lambda s, b: (b["begin"] <= s["begin"]) & (s["end"] <= b["end"])
+    return bind(base, lambda held: F.concat(held, F.filter(weak, lambda s: ~F.exists(held, lambda b: inside(s, b)))))
 
 
 def linked_parts(spans: DataFrame, reach: int = REACH) -> DataFrame:
@@ -86,13 +102,14 @@ def linked_parts(spans: DataFrame, reach: int = REACH) -> DataFrame:
     weak = rows.where(F.col("span.rank") > len(BASE)).withColumn("secret", F.col("role") == "secret")
     # Each part is in the buckets whose members may be that near; one row per place and side is enough.
     others = rows.select(
-        "id", "digest", (F.col("role") == "secret").alias("secret"), F.col("span.begin").alias("begin"),
+        "id", "digest", (F.col("role") == "secret").alias("secret"), F.col("span.begin").alias("begin"), F.col("span.end").alias("end"),
         F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"),
     ).distinct()
     left, right = weak.alias("l"), others.alias("r")
     on = (
         F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.digest") == F.col("r.digest")) & (F.col("l.bucket") == F.col("r.bucket"))
         & (F.col("l.secret") != F.col("r.secret")) & (F.abs(F.col("l.span.begin") - F.col("r.begin")) <= reach)
+        & ((F.col("r.begin") >= F.col("l.span.end")) | (F.col("r.end") <= F.col("l.span.begin")))
     )
     return left.join(right, on, "left_semi").select("id", "digest", "span")
 
@@ -104,7 +121,8 @@ def find_secrets(docs: DataFrame, reach: int = REACH, id_col: str = "doc_id", te
     text with its complement, never in two; repeated rows give equal rows.  No rows give no rows.
     """
     rows = identified(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    found = rows.select("id", "digest", candidates(F.col("text")).alias("all"))
+    # Kept, as three branches read it and each would match all texts again.
+    found = cut(rows.select("id", "digest", candidates(F.col("text")).alias("all")))
     weak = linked_parts(found.where(F.size("all") > 1).select("id", "digest", F.explode("all").alias("span")), reach)
     weak = weak.groupBy("id", "digest").agg(F.collect_set("span").alias("weak"))
     base = found.select("id", "digest", F.filter("all", lambda s: s["rank"] <= len(BASE)).alias("base"))

@@ -207,13 +207,17 @@ def secrets_by_hand(text):
             out.append((m.start(), 5, m.end(), "key"))
     out += [(m.start(), 6, m.end(), "endpoint") for m in re.finditer(r"https?://[A-Za-z0-9./:_-]+", text)]
     secret = lambda x: secrets.ROLES[x[3]] == "secret"
-    return sorted(x for x in out if x[1] <= 3 or any(secret(x) != secret(y) and abs(x[0] - y[0]) <= secrets.REACH for y in out))
+    out = [x for x in out if x[1] <= 3 or not any(y[1] <= 3 and y[0] <= x[0] and x[2] <= y[2] for y in out)]
+    beside = lambda x, y: secret(x) != secret(y) and abs(x[0] - y[0]) <= secrets.REACH and (y[0] >= x[2] or y[2] <= x[0])
+    return sorted(x for x in out if x[1] <= 3 or any(beside(x, y) for y in out))
 
 
 SECRET_TEXTS = [
     "é password = 'abcdefghijkl' tail", "secret: token: abcdefghijklmnop", "API_KEY:'" + "Ab1" * 9 + "'", "x AKIAABCDEFGHIJKLMN y AKIAshort",
     "id QWERTYUIOP123456 near " + "aB3" * 10 + " and https://h.example/x", "QWERTYUIOP123456 " + "w " * 200 + "aB3" * 10,
     "https://lonely.example/path", "deadbeefdeadbeef0 " * 3, "ſecret=abcdefghijklmnop", "token==aaaaaaaaaaaa", None, "", "passwd=" + "z" * 5000,
+    "see https://cdn.example.com/Assets/AbCdEf0123456789GhIjKl.png today", "AKIAABCDEFGHIJKLMN1 password=abcdefghijklmnop",
+    "https://h.example/x key " + "aB3" * 10, "deadbeefdeadbeef01 " * 9000,
 ]
 
 
@@ -222,6 +226,9 @@ def test_secrets(spark):
     got = secrets.find_secrets(docs).orderBy("id").collect()
     assert [[(s.begin, s.rank, s.end, s.kind) for s in r.spans] for r in got] == [secrets_by_hand(t) for t in SECRET_TEXTS]
     assert any(s.kind == "id" for r in got for s in r.spans) and not got[5].spans and not got[6].spans
+    by_text = dict(zip(SECRET_TEXTS, got, strict=True))
+    assert not by_text[SECRET_TEXTS[13]].spans and [s.kind for s in by_text[SECRET_TEXTS[14]].spans] == ["access", "assign"]
+    assert {s.kind for s in by_text[SECRET_TEXTS[15]].spans} == {"endpoint", "key"}
     plan = secrets.find_secrets(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
