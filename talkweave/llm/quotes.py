@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkweave.functions.text import bind
 from talkweave.llm.rows import col, cut
 
 MARKS = r"^((?:\s?>)+)\s?"
@@ -46,16 +47,20 @@ def _attribution(lines: Column) -> Column:
 
 def _passages(lines: Column) -> Column:
     """Runs of equal level as ``level, text``."""
-    empty = F.array().cast("array<struct<level:int,text:string>>")
+    def cut_at(held: Column, starts: Column) -> Column:
+        def passage(at, i):
+            after = F.coalesce(F.get(starts, i + 1), F.size(held) + 1)
+            own = F.transform(F.slice(held, at, after - at), lambda x: x["line"])
+            return F.struct(F.element_at(held, at)["level"].alias("level"), F.array_join(own, "\n").alias("text"))
 
-    def step(acc, x):
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["level"].alias("level"), F.concat_ws("\n", last["text"], x["line"]).alias("text"))
-        new = F.struct(x["level"].alias("level"), x["line"].alias("text"))
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["level"] == x["level"])
-        return F.when(same, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
+        return F.transform(starts, passage)
 
-    return F.aggregate(F.filter(lines, lambda x: ~x["drop"]), empty, step)
+    def starts(held: Column) -> Column:
+        level = lambda i: F.get(held, i - 1)["level"]
+        places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1))), lambda i: (i == 1) | (level(i) != level(i - 1)))
+        return F.when(F.size(held) > 0, places).otherwise(F.array().cast("array<int>"))
+
+    return bind(F.filter(lines, lambda x: ~x["drop"]), lambda held: bind(starts(held), lambda found: cut_at(held, found)))
 
 
 def _keys(lines: Column, at: Column) -> Column:
@@ -71,16 +76,22 @@ def _offered(messages: DataFrame, asked: DataFrame) -> DataFrame:
     """``conv_id, turn, hash`` of the runs of own lines that have the key and the length of a passage in ``asked``."""
     lines = F.filter(F.transform(F.split("text", "\n"), normal), lambda x: x != "")
     said = messages.select("conv_id", "turn", F.xxhash64("text").alias("of"), lines.alias("lines")).where(F.size("lines") > 0)
-    starts = said.select("conv_id", "turn", "of", "lines", F.explode(F.sequence(F.lit(1), F.size("lines"))).alias("at"))
-    starts = starts.select("conv_id", "turn", "of", "at", F.explode(_keys(F.col("lines"), F.col("at"))).alias("key"))
+    # Keys are made before the rows multiply, so that none of these carries the whole message.
+    heads = F.transform("lines", lambda x: F.substring(x, 1, KEY))
+    keys = bind(heads, lambda h: F.transform(F.sequence(F.lit(1), F.size(h)), lambda i: F.struct(i.alias("at"), _keys(F.slice(h, i, F.lit(KEY)), F.lit(1)).alias("keys"))))
+    starts = said.select("conv_id", "turn", "of", F.explode(keys).alias("s")).select("conv_id", "turn", "of", "s.at", F.explode("s.keys").alias("key"))
     found = starts.join(asked.select("key", "size").distinct(), "key")
     found = found.groupBy("conv_id", "turn", "of").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
-    runs = said.join(found, ["conv_id", "turn", "of"]).select("conv_id", "turn", "lines", F.explode("runs").alias("run"))
     # Lines have at least one character, so these hold ``size`` characters and the break behind them, or end the text.
-    run = F.concat_ws("\n", F.slice("lines", F.col("run.at"), F.col("run.size")))
-    runs = runs.select("conv_id", "turn", "run.size", run.alias("run"))
-    ends = (F.length("run") == F.col("size")) | (F.substring("run", F.col("size") + 1, F.lit(1)) == "\n")
-    return runs.where(ends).select("conv_id", "turn", F.sha2(F.translate(F.substring("run", F.lit(1), F.col("size")), "\n", " "), 256).alias("hash"))
+    ends = lambda text, size: (F.length(text) == size) | (F.substring(text, size + 1, F.lit(1)) == "\n")
+    hashed = lambda text, size: F.sha2(F.translate(F.substring(text, F.lit(1), size), "\n", " "), 256)
+
+    def run_hash(run: Column) -> Column:
+        text = F.concat_ws("\n", F.slice("lines", run["at"], run["size"]))
+        return bind(text, lambda t: F.when(ends(t, run["size"]), hashed(t, run["size"])))
+
+    runs = said.join(found, ["conv_id", "turn", "of"]).select("conv_id", "turn", F.explode_outer(F.array_distinct(F.transform("runs", run_hash))).alias("hash"))
+    return runs.where("hash is not null")
 
 
 def link_quotes(
