@@ -14,13 +14,19 @@ from talkweave.llm.rows import col, cut, text_batches, unused, with_decisions
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the limits on long repeats."""
+    """Documents that pass the base rules and the limits on long repeats.
+
+    Null and empty texts have too few words and go.  Repeated rows each get the same verdict; no rows give no rows.
+    """
     name = unused(docs, "repeats")
     return text_batches(docs).withColumn(name, repetition.repetition(F.col("text"))).where(repetition.kept(name)).drop(name)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten documents or more have; ``n_chars``, where there, follows the new text."""
+    """Texts without the lines that ten documents or more have; ``n_chars``, where there, follows the new text.
+
+    A null or empty text is one empty line, which always stays, so it becomes empty.  Repeated rows count each; no rows give no rows.
+    """
     found, parts = lines.drop_shared_lines(docs)
     out = found.withColumn("text", parts["text"])
     if "n_chars" in docs.columns:
@@ -42,14 +48,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item.
+
+    Null and empty texts hold none and stay, as all do where the benchmark is empty.  Repeated rows share their verdict; no
+    rows give no rows.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = contamination.contamination(docs, items)
     return with_decisions(docs, found.where("n_hit > 0").select("id", "digest").distinct(), "doc_id", "text", "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per copy that the mix takes, with its shard and its place there."""
+    """One row per copy that the mix takes, with its shard and its place there.
+
+    Null and empty texts have no words, so none of them is taken.  A null source is a source of its own; no rows give no rows.
+    """
     plan = cut(mixture.mix(docs))
     return mixture.mixed_rows(docs, plan)
 
