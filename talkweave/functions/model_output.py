@@ -40,11 +40,13 @@ def _number(v: Column) -> Column:
     return F.when(is_number, clamp01(_field(v, "$", "double"))).when(kind == "STRING", clamp01(percent))
 
 
-def coerce_score(v: Column, depth: int = 4) -> Column:
-    """Score in [0, 1] from a number, ``"85%"``, a list or an object nested to ``depth``."""
-    if depth == 0:
-        return bind(v, _number)
-    return bind(v, lambda x: coerce_score(_unwrap(x), depth - 1))
+def coerce_score(v: Column) -> Column:
+    """Score in [0, 1] from a number, ``"85%"``, a list or an object, nested to any depth.
+
+    A value is no deeper than it has brackets, so it is unwrapped once for each.
+    """
+    brackets = bind(F.coalesce(F.to_json(v), F.lit("")), lambda s: F.length(s) - F.length(F.translate(s, "[{", "")))
+    return F.aggregate(F.sequence(F.lit(0), brackets), v, lambda inner, _: _unwrap(inner), _number)
 
 
 def outer_array(text: Column) -> Column:

@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from talkweave.functions.text import LINE_END
 from talkweave.plans.ordered import block_of, dense_position
 
-FILE_NAME = r"([^/]+)\.txt$"
+def file_name(folders: int) -> str:
+    """Pattern of a workspace's name: that of its file, led by as many of its folders."""
+    return rf"((?:[^/]+/){{{folders}}}[^/]+)\.txt$"
 
 
-def read_exports(spark: SparkSession, path: str) -> DataFrame:
+def read_exports(spark: SparkSession, path: str | list[str], folders: int = 0) -> DataFrame:
     """``workspace_id, text`` of every export; UTF-8, or Latin-1 when a file is not valid UTF-8.
 
-    One row per file, so a file must fit a task; ``read_export_lines`` has no such bound.
+    Files of equal names in several folders are workspaces of their own where ``folders`` says how many
+    parent folders tell them apart.  One row per file, so a file must fit a task; ``read_export_lines`` has no such bound.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
     as_text = F.col("content").cast("string")
     return raw.select(
-        F.regexp_extract("path", FILE_NAME, 1).alias("workspace_id"),
+        F.regexp_extract("path", file_name(folders), 1).alias("workspace_id"),
         F.when(F.is_valid_utf8(as_text), as_text)
         .otherwise(F.decode("content", "ISO-8859-1"))
         .alias("text"),
@@ -36,7 +39,7 @@ def explode_lines(exports: DataFrame) -> DataFrame:
     ).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_export_lines(spark: SparkSession, path: str | list[str], folders: int = 0) -> DataFrame:
     """Lines of exports of any size: files are split across tasks like any text input.
 
     A line's place is its split's offset in the file plus its order inside the split, so
@@ -46,7 +49,7 @@ def read_export_lines(spark: SparkSession, path: str) -> DataFrame:
     # Metadata gives the path as a URI; a plus sign there is a plus sign.
     file_path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
     lines = raw.select(
-        F.regexp_extract(file_path, FILE_NAME, 1).alias("workspace_id"),
+        F.regexp_extract(file_path, file_name(folders), 1).alias("workspace_id"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value").alias("line"),

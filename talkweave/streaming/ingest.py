@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from talkweave.operators.ingest import parse_exports
-from talkweave.sources.exports import FILE_NAME, explode_lines
+from talkweave.sources.exports import explode_lines, file_name
 from talkweave.sources.tables import write_messages
 
 
@@ -21,7 +21,7 @@ def stream_exports(spark: SparkSession, folder: str) -> DataFrame:
     )
     as_text = F.col("content").cast("string")
     return raw.select(
-        F.regexp_extract("path", FILE_NAME, 1).alias("workspace_id"),
+        F.regexp_extract("path", file_name(0), 1).alias("workspace_id"),
         F.when(F.is_valid_utf8(as_text), as_text).otherwise(F.decode("content", "ISO-8859-1")).alias("text"),
     )
 

@@ -1,5 +1,6 @@
 import os
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,3 +131,14 @@ def test_gate(chat):
 def test_clean_text_keeps_leading_blanks_only(spark):
     df = spark.createDataFrame([("﻿\n \na\n\n b  \nc <this message was EDITED> ",)], "t string")
     assert df.select(ig.clean_text(F.col("t"))).first()[0] == "\n\na\n b\nc"
+
+
+def test_equal_file_names_of_two_folders_are_told_apart(spark, scratch):
+    for folder in ("a", "b+1"):
+        (Path(scratch) / folder).mkdir()
+        (Path(scratch) / folder / "chat.txt").write_text(f"01/02/2024, 10:00 - A: {folder}\n")
+    paths = [f"{scratch}/a", f"{scratch}/b+1"]
+    whole = exports.explode_lines(exports.read_exports(spark, paths, folders=1)).filter("line <> ''")
+    split = exports.read_export_lines(spark, paths, folders=1).filter("line <> ''")
+    want = {("a/chat", "01/02/2024, 10:00 - A: a"), ("b+1/chat", "01/02/2024, 10:00 - A: b+1")}
+    assert {(r.workspace_id, r.line) for r in whole.collect()} == {(r.workspace_id, r.line) for r in split.collect()} == want

@@ -66,6 +66,13 @@ def test_score_coercion(spark):
     assert got == [0.7, 1.0, 0.0, 0.85, 0.4, None, 0.2, None, 0.3, 0.5, 1.0, None, None, None, None]
 
 
+@pytest.mark.parametrize("depth", [5, 50, 200])
+def test_scores_nested_to_any_depth(spark, depth):
+    nest = lambda opening, closing: opening * depth + '"70%"' + closing * depth
+    got = values(spark, [nest("[", "]"), nest('{"score": ', "}"), nest('[{"value": ', "}]"), "[" * depth + "]" * depth], lambda t: mo.coerce_score(F.try_parse_json(t)))
+    assert got == [0.7, 0.7, 0.7, None]
+
+
 def test_rerank_parse(spark):
     rows = [
         ("a", 'Sure\n```json\n[{"id": 1, "score": 0.9}, {"id": "2", "score": "80%"}]\n```', 3),
