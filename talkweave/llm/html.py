@@ -3,7 +3,8 @@
 Each element gets features of its tag, attribute tokens, depth, subtree density and siblings.  Gradient-boosted trees give
 the log odds that its text belongs to the main text.  They are trained here on at most ``MAX_PAGES`` pages, whose
 elements are labelled by meaning-bearing markup (inside ``article`` or ``main``, outside navigation, notices, forms,
-comments and the like).  Decoding picks for each element *content*, *boilerplate* or *mixed* so that the summed evidence is
+comments and the like).  Each page trains twice, as it is and with that markup hidden, so that the trees also learn to
+tell main text by its structure alone.  Decoding picks for each element *content*, *boilerplate* or *mixed* so that the summed evidence is
 largest; below content all is content, below boilerplate all is boilerplate, and only a mixed element may differ
 from its children, at a price.  So no ancestor and descendant contradict each other.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Callable
 
 import numpy as np
@@ -20,13 +22,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.rows import col, text_batches
+from talkweave.llm.rows import col, cut, text_batches
 
 MAX_PAGES = 400
-MAX_NODES = 40_000
-
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+MAX_NODES = 80_000
+PAGES_AT_ONCE = 32
+
+# A quote opens a value only after "="; one that never closes is part of a name, so the tag ends at the next ">".
+# Nothing is read twice: each piece keeps what it took, and a tag or comment that never ends takes the rest of the page.
+_NAME = r"(?:=[^\s/>=]*+|[^\s/>=]++)"
+_VALUE = r"""\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+"""
+_PLAIN_VALUE = re.sub(r"\((?!\?)", "(?:", _VALUE)
+_MARKUP = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_PLAIN_VALUE})?+)*+)(?:>|\Z)",
+    re.S,
+)
+_ATTRIBUTE = re.compile(f"({_NAME})(?:{_VALUE})?+")
 _TOKEN = re.compile(r"[a-z0-9]+")
 
 # How the HTML standard treats these elements.
@@ -43,6 +55,7 @@ CLOSES = {
     "tfoot": ("tbody thead tr td th", "table"), "option": ("option", "select"),
 }
 CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSES.items()}
+KEEPS_P = frozenset("td th li div article section table button".split())
 CLOSES_P = BLOCK - frozenset("body html li dt dd td th tr tbody thead tfoot caption".split())
 
 # Words of markup that tell main text from the rest.
@@ -53,6 +66,7 @@ BAD = frozenset(
     " share sharing social related recommended comment comments respond reply disqus copyright legal pagination pager tags toolbar skip".split()
 )
 BAD_TAGS = frozenset("nav header footer aside form dialog menu search".split())
+NAMED_TAGS = BAD_TAGS | frozenset("article main section".split())
 TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "li", "ul", "table", "td", "a", "span", "h1", "h2", "h3", "blockquote", "pre", "figure")
 
 
@@ -79,56 +93,70 @@ def _tokens(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def parse(page: str) -> list[Node]:
-    """The elements of a page in document order, with end tags implied and stray ones ignored."""
-    root = Node("html", frozenset(), None)
-    nodes, top, at = [root], root, 0
+class _Open:
+    """The open elements from the root down, and where each tag stands among them."""
+
+    def __init__(self, root: Node):
+        self.path, self.places = [root], {}
 
-    def close(until: Node) -> Node:
-        return until.parent or root
+    def last(self, tags) -> int:
+        """Place of the innermost open element of these tags, 0 (the root) if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
+    def first_below(self, tags, place: int) -> int:
+        """Place of the outermost open element of these tags inside ``place``, 0 if there is none."""
+        found = [self.places[t][i] for t in tags if t in self.places and (i := bisect_right(self.places[t], place)) < len(self.places[t])]
+        return min(found, default=0)
+
+    def close(self, place: int) -> None:
+        while len(self.path) > max(1, place):
+            self.places[self.path.pop().tag].pop()
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.path))
+        self.path.append(node)
+
+
+def parse(page: str) -> list[Node]:
+    """The elements of a page in document order, with end tags implied and stray ones ignored.
+
+    Time is linear in the page but for a logarithm, however elements nest or stay open.
+    """
+    root = Node("html", frozenset(), None)
+    nodes, opened, at, body = [root], _Open(root), 0, False
     while True:
         found = _MARKUP.search(page, at)
         if found is None:
-            top.parts.append(page[at:])
+            opened.path[-1].parts.append(page[at:])
             return nodes
         if found.start() > at:
-            top.parts.append(page[at : found.start()])
+            opened.path[-1].parts.append(page[at : found.start()])
         at = found.end()
         if found[2] is None:
             continue
         tag = found[2].lower()
         if found[1]:
-            node = top
-            while node.parent and node.tag != tag:
-                if node.tag in ("table", "td") and tag not in BLOCK:
-                    break
-                node = node.parent
-            if node.parent and node.tag == tag:
-                top = close(node)
+            place = opened.last((tag,))
+            if place and (tag in BLOCK or place > opened.last(("table", "td"))):
+                opened.close(place)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(n.tag == "body" for n in nodes):
-                while top.parent:
-                    top = top.parent
-            else:
+            if tag == "html" or body:
                 continue
+            body = True
+            opened.close(0)
         if tag in CLOSES_P or tag in CLOSES:
-            node = top
-            while node.parent and node.tag not in ("p", "td", "th", "li", "div", "article", "section", "table", "button"):
-                node = node.parent
-            if node.tag == "p":
-                top = close(node)
+            place = opened.last(("p",))
+            if place > opened.last(KEEPS_P):
+                opened.close(place)
         if tag in CLOSES:
             closed, scope = CLOSES[tag]
-            node = top
-            while node.parent and node.tag not in scope:
-                if node.tag in closed:
-                    top = close(node)
-                node = node.parent
-        if top.tag == "head" and tag not in SILENT and tag not in VOID:
-            top = close(top)
-        node = Node(tag, _tokens(found[3]) if "=" in found[3] else frozenset(), top)
+            place = opened.first_below(closed, opened.last(scope))
+            if place:
+                opened.close(place)
+        if opened.path[-1].tag == "head" and tag not in SILENT and tag not in VOID:
+            opened.close(len(opened.path) - 1)
+        node = Node(tag, _tokens(found[3]) if "=" in found[3] else frozenset(), opened.path[-1])
         nodes.append(node)
         if tag in VOID or found[3].endswith("/") and tag in ("path", "rect", "circle"):
             continue
@@ -136,7 +164,7 @@ def parse(page: str) -> list[Node]:
             end = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = page.find(">", end.start()) + 1 or len(page) if end else len(page)
             continue
-        top = node
+        opened.push(node)
 
 
 def _clean(text: str) -> str:
@@ -205,7 +233,7 @@ def weak_labels(nodes: list[Node]) -> np.ndarray:
 class Boosted:
     """Trees of depth ``depth`` for log odds, grown by gain on feature quantiles."""
 
-    def __init__(self, rounds: int = 30, depth: int = 3, rate: float = 0.3, bins: int = 16):
+    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 16):
         self.rounds, self.depth, self.rate, self.bins = rounds, depth, rate, bins
         self.start, self.trees = 0.0, []
 
@@ -311,30 +339,56 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def extract(page: str | None, odds_of: Callable[[np.ndarray], np.ndarray]) -> str:
-    nodes = parse(page or "")
-    decode(nodes, odds_of(features(nodes)))
-    return "\n".join(blocks(nodes))
+def extract(pages: list[str | None], odds_of: Callable[[np.ndarray], np.ndarray]) -> list[str]:
+    """The main text of each page; the elements of all are scored at once."""
+    trees = [parse(page or "") for page in pages]
+    if not trees:
+        return []
+    odds = odds_of(np.concatenate([features(nodes) for nodes in trees]))
+    out, at = [], 0
+    for nodes in trees:
+        decode(nodes, odds[at : at + len(nodes)])
+        at += len(nodes)
+        out.append("\n".join(blocks(nodes)))
+    return out
+
+
+def unmarked(nodes: list[Node]) -> None:
+    """Hide what markup says of a page: attribute tokens go, and elements named for their part of a page become ``div``."""
+    for node in nodes:
+        node.tokens = frozenset()
+        if node.tag in NAMED_TAGS:
+            node.tag = "div"
 
 
 def _examples(batches):
+    """Two rows per element: one as the page has it, one of the same page without the markup its label comes from."""
     for batch in batches:
-        for page in batch.column("page").to_pylist():
+        for place, page in zip(batch.column("place").to_pylist(), batch.column("page").to_pylist(), strict=True):
             nodes = parse(page or "")
             table, labels = features(nodes), weak_labels(nodes)
             told = np.array([n.text > 0 or n.tag in BLOCK for n in nodes])
-            flat = np.hstack([table, labels[:, None]])[told].astype(np.float32)
+            unmarked(nodes)
+            flat = np.stack([np.hstack([x, labels[:, None]])[told] for x in (table, features(nodes))], axis=1).astype(np.float32)
+            flat = flat.reshape(-1, flat.shape[2])
             offsets = pa.array(np.arange(len(flat) + 1, dtype=np.int32) * flat.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))], ["x"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place] * len(flat), pa.int64()), pa.array(range(len(flat)), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(flat.ravel()))],
+                ["place", "row", "x"],
+            )
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_pages: int = MAX_PAGES, max_nodes: int = MAX_NODES) -> Boosted:
-    """Trees from the pages with the smallest hashes of their ids, at most ``max_pages`` pages and ``max_nodes`` elements."""
-    place = F.xxhash64(col(id_col))
-    chosen = text_batches(pages).select(col(html_col).alias("page"), place.alias("place"), F.xxhash64(col(html_col)).alias("tie"))
-    chosen = chosen.orderBy("place", "tie").limit(max_pages)
-    rows = sorted(tuple(r["x"]) for r in chosen.select("page").mapInArrow(_examples, "x array<float>").limit(max_nodes).collect())
-    table = np.array(rows, np.float64).reshape(len(rows), -1) if rows else np.zeros((0, len(TAGS) + 19))
+    """Trees from at most ``max_pages`` pages and ``max_nodes`` examples, those of the smallest hashes of page ids.
+
+    Ids are chosen before a page is read; of pages that share an id the smallest counts.
+    """
+    place = F.xxhash64(col(id_col)).alias("place")
+    # At most max_pages numbers.
+    chosen = F.broadcast(cut(pages.select(place).distinct().orderBy("place").limit(max_pages)))
+    texts = text_batches(pages).select(place, col(html_col).alias("page")).join(chosen, "place").groupBy("place").agg(F.min("page").alias("page"))
+    rows = texts.mapInArrow(_examples, "place bigint, row int, x array<float>").orderBy("place", "row").limit(max_nodes).select("x").collect()
+    table = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, len(TAGS) + 19))
     return Boosted().fit(table[:, :-1], table[:, -1])
 
 
@@ -347,6 +401,8 @@ def main_text(pages: DataFrame, model: Boosted | None = None, id_col: str = "pag
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        return pa.array([extract(p, model.log_odds) for p in column.to_pylist()], pa.string())
+        pages = column.to_pylist()
+        found = (extract(pages[i : i + PAGES_AT_ONCE], model.log_odds) for i in range(0, len(pages), PAGES_AT_ONCE))
+        return pa.array([t for part in found for t in part], pa.string())
 
     return text_batches(pages).withColumn("text", text(col(html_col)))

@@ -181,7 +181,9 @@ def drop_shared_lines(
     if keep == "first":
         own = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.digest") == F.col("digest"))
         found = found.withColumn("places", F.when(own, F.array_remove("places", F.col("first.line"))).otherwise(F.col("places")))
-    places = found.groupBy("id", "digest").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    # Equal rows have equal places for a key, so one of them tells; a group then holds the keys of one text at most.
+    once = found.groupBy("id", "digest", "key").agg(F.max("places").alias("places"))
+    places = once.groupBy("id", "digest").agg(F.flatten(F.collect_list("places")).alias("places"))
     name = unused(docs, "dropped_places")
     joined = with_decisions(docs, places.withColumnRenamed("places", name), id_col, text_col)
     out = unused(joined, "without_shared")

@@ -1,7 +1,7 @@
 """Toxicity scores from a learned weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and digits that stand for letters to Latin ones and turns
-everything else into spaces.  The lexicon holds whole words and word beginnings that labelled toxic texts have far
+Folding lower-cases, maps look-alike letters of other scripts, digits and signs that stand for letters to Latin ones, drops
+marks and characters without width and turns everything else into spaces.  The lexicon holds whole words and word beginnings that labelled toxic texts have far
 more often than clean ones; its weights are log lifts.  A match inside an exception phrase (two neighbouring words that
 clean texts have around a lexicon entry) does not count.  The weights of a text and their rate by length go through a
 logistic curve.  Everything is learned from at most ``max_rows`` labelled texts, picked by a hash of their ids.
@@ -10,6 +10,8 @@ logistic curve.  Everything is learned from at most ``max_rows`` labelled texts,
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 
 import ahocorasick
@@ -26,19 +28,26 @@ STEMS = range(4, 9)
 MIN_LIFT = 8.0
 MIN_SURPRISE = 24.0
 
-# Letters of other scripts drawn like Latin ones, and digits used for letters.
+# Small letters of other scripts drawn like Latin ones, alone or as capitals, and digits used for letters.
 LOOKALIKES = str.maketrans(
-    "аеорсухіјѕһԁԛԝνοαερτκυιχ" + "013457" + "ｏ",
-    "aeopcyxijshdqwvoaeptkuix" + "oieast" + "o",
+    "авекмнорстухіјѕһԁԛԝ" + "αβεζηικμνορτυχ" + "ıոսօ" + "0123456789",
+    "abekmhopctyxijshdqw" + "abezhikmvoptux" + "inuo" + "oizeasgtbg",
 )
+# Signs used for letters, only beside a letter or digit; the others need one on both sides.
+_SIGNS = ((re.compile(r"(?<=[^\W_])[$€]+|[$€]+(?=[^\W\d_])"), "s"), (re.compile(r"(?<=[^\W_])@+(?=[^\W_])"), "a"), (re.compile(r"(?<=[^\W_])[!|]+(?=[^\W_])"), "i"))
 
 
 class _Fold(dict):
     """Character to folded character, filled as characters turn up."""
 
     def __missing__(self, code: int) -> str:
-        low = chr(code).lower()
-        out = "".join(c if c.isalpha() else " " for c in low.translate(LOOKALIKES))
+        char = chr(code)
+        if unicodedata.category(char) in ("Mn", "Me", "Cf"):
+            out = ""
+        else:
+            bare = "".join(c for c in unicodedata.normalize("NFKD", char) if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+            low = unicodedata.normalize("NFC", bare).lower().translate(LOOKALIKES)
+            out = "".join(c if c.isalpha() else " " for c in low)
         self[code] = out
         return out
 
@@ -47,8 +56,14 @@ _FOLD = _Fold()
 
 
 def fold(text: str | None) -> str:
-    """Folded words between single spaces, with one at each end."""
-    return " " + " ".join((text or "").translate(_FOLD).split()) + " "
+    """Folded words between single spaces, with one at each end.
+
+    Compatibility forms become plain letters; accents, other marks and characters without width vanish.
+    """
+    text = text or ""
+    for signs, letter in _SIGNS:
+        text = signs.sub(lambda found, letter=letter: letter * len(found[0]), text)
+    return " " + " ".join(text.translate(_FOLD).split()) + " "
 
 
 def units(folded: str) -> set[str]:

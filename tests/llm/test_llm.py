@@ -1,7 +1,9 @@
 """The training-data operators against plain Python on small tables with awkward rows."""
 
+import itertools
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -519,14 +521,90 @@ def test_main_text(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
-def test_decoding_has_no_contradictions():
-    nodes = html.parse(PAGE)
+def test_decoding_is_the_best_of_all_consistent_choices():
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        html.features(nodes)
-        html.decode(nodes, rng.normal(0, 3, len(nodes)))
-        kept = [n for n in nodes if n.choice]
-        assert all(n.text >= 0 for n in kept)
+    states = {"content": 1, "boilerplate": -1, "mixed": 0}
+    for _ in range(60):
+        size = int(rng.integers(1, 7))
+        nodes = [html.Node("div", frozenset(), None)]
+        for _ in range(size - 1):
+            nodes.append(html.Node("div", frozenset(), nodes[-1] if rng.random() < 0.5 else nodes[0]))
+        for node in nodes:
+            node.text = int(rng.integers(0, 200))
+        odds = rng.normal(0, 1, size)
+        own = [n.text**0.5 * o / 3 for n, o in zip(nodes, odds, strict=True)]
+        best, of_choice = -1e9, {}
+        for labels in itertools.product(states, repeat=size):
+            named = dict(zip(map(id, nodes), labels, strict=True))
+            if any(n.parent and named[id(n.parent)] not in ("mixed", named[id(n)]) or named[id(n)] == "mixed" and not n.children for n in nodes):
+                continue
+            score = sum(abs(s) - 0.5 if x == "mixed" else states[x] * s for s, x in zip(own, labels, strict=True))
+            choice = tuple(s > 0 if x == "mixed" else x == "content" for s, x in zip(own, labels, strict=True))
+            best, of_choice[choice] = max(best, score), max(score, of_choice.get(choice, -1e9))
+        html.decode(nodes, odds)
+        assert abs(of_choice[tuple(n.choice for n in nodes)] - best) < 1e-9
+
+
+def test_tags_end_where_they_end():
+    def text(page):
+        nodes = html.parse(page)
+        for node in nodes:
+            node.choice = True
+        return html.blocks(nodes)
+
+    assert text('<p>x<img alt="a"b">y') == ["xy"]
+    assert text("<p>x<a title='1 > 0' href=q>y</a> z") == ["xy z"]
+    assert text('<p>it <a href="/a>is</a> here</p>') == ["it is here"]
+    assert text("<p>a<!-->b<!-- c --!>d</!e>f<!-- g") == ["abdf"]
+    assert text("<p>1 < 2 <b>and</b> 3 > 2<a href=") == ["1 < 2 and 3 > 2"]
+    assert text("<ul><li>a<b>b<li>c</ul><table><tr><td>d</b>e<td>f</table>g") == ["ab", "c", "de", "f", "g"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b><li>x", "<b></i>", '<a b="', "<!", "<p><div></p>", "<td></b>", "<body>", "</", "<a b='c\" "])
+def test_broken_pages_take_linear_time(part):
+    def steps(page):
+        start = time.process_time()
+        nodes = html.parse(page)
+        html.decode(nodes, np.zeros(len(html.features(nodes))))
+        html.blocks(nodes)
+        return time.process_time() - start
+
+    pieces = re.findall("<[^<]*", part)
+    assert steps("".join(p * 40_000 for p in pieces)) < 12 and steps(part * 40_000) < 12
+
+
+def test_main_text_without_telling_markup(spark):
+    """The trees do not need the markup that their labels come from."""
+    bare = re.sub(r"<(/?)(article|section|nav|header|aside|form|footer)[^>]*>", r"<\1div>", re.sub(r"<div [^>]*>", "<div>", PAGE))
+    pages = spark.createDataFrame([(i, PAGE.replace("{n}", str(i))) for i in range(30)], "page_id bigint, html string")
+    model = html.fit(pages)
+    found = spark.createDataFrame([(1, bare.replace("{n}", "7"))], "page_id bigint, html string")
+    got = html.main_text(found, model).first()["text"]
+    assert "First & long paragraph with words" in got and "Second paragraph" in got and "Home" not in got
+
+
+def test_fit_is_the_same_whatever_the_partitions(spark):
+    rows = [(i % 25, PAGE.replace("{n}", str(i))) for i in range(50)] + [(None, "<p>x"), (None, None), (3, None)]
+    pages = spark.createDataFrame(rows, "page_id bigint, html string")
+    models = [html.fit(pages.repartition(n), max_pages=20, max_nodes=900) for n in (1, 7)]
+    for one, other in zip(models[0].trees, models[1].trees, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(one, other, strict=True))
+
+
+@pytest.mark.parametrize(
+    "written",
+    ["moron", "MORON", "m0r0n", "ｍｏｒｏｎ", "móron", "mo\u0301ron", "mo\u200bron", "mo\u00adron", "мorоn", "ΜΟron", "𝐦𝐨𝐫𝐨𝐧"],
+)
+def test_fold_of_disguised_letters(written):
+    assert toxicity.fold(written) == " moron "
+
+
+@pytest.mark.parametrize(
+    "written, plain",
+    [("Tr@$h!", "trash"), ("a$$", "ass"), ("$hit sh!t", "shit shit"), ("b1tch 8itch", "bitch bitch"), ("НЕК", "hek"), ("idiot! @you", "idiot you"), ("$ ! @", ""), (None, "")],
+)
+def test_fold_of_signs(written, plain):
+    assert toxicity.fold(written).strip() == plain
 
 
 def test_awkward_rows_do_not_break_any_operator(spark):
