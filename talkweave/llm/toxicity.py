@@ -33,8 +33,24 @@ LOOKALIKES = str.maketrans(
     "авекмнорстухіјѕһԁԛԝ" + "αβεζηικμνορτυχ" + "ıոսօ" + "0123456789",
     "abekmhopctyxijshdqw" + "abezhikmvoptux" + "inuo" + "oizeasgtbg",
 )
-# Signs used for letters, only beside a letter or digit; the others need one on both sides.
-_SIGNS = ((re.compile(r"(?<=[^\W_])[$€]+|[$€]+(?=[^\W\d_])"), "s"), (re.compile(r"(?<=[^\W_])@+(?=[^\W_])"), "a"), (re.compile(r"(?<=[^\W_])[!|]+(?=[^\W_])"), "i"))
+# Signs used for letters.
+SIGNS = {"$": "s", "€": "s", "@": "a", "!": "i", "|": "i"}
+_RUN = re.compile(r"[$€@!|]+")
+
+
+def _letters(run: re.Match) -> str:
+    """A run of signs as letters where it stands between letters or digits; ``$`` also after one, or before a letter."""
+    signs, text, start, end = run[0], run.string, run.start(), run.end()
+    before, after = start > 0 and text[start - 1].isalnum(), end < len(text) and text[end].isalnum()
+    if before and after:
+        return "".join(map(SIGNS.get, signs))
+    if before:
+        rest = signs.lstrip("$€")
+        return SIGNS["$"] * (len(signs) - len(rest)) + rest
+    if after and text[end].isalpha():
+        rest = signs.rstrip("$€")
+        return rest + SIGNS["$"] * (len(signs) - len(rest))
+    return signs
 
 
 class _Fold(dict):
@@ -60,10 +76,7 @@ def fold(text: str | None) -> str:
 
     Compatibility forms become plain letters; accents, other marks and characters without width vanish.
     """
-    text = text or ""
-    for signs, letter in _SIGNS:
-        text = signs.sub(lambda found, letter=letter: letter * len(found[0]), text)
-    return " " + " ".join(text.translate(_FOLD).split()) + " "
+    return " " + " ".join(_RUN.sub(_letters, text or "").translate(_FOLD).split()) + " "
 
 
 def units(folded: str) -> set[str]:
