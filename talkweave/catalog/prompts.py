@@ -44,10 +44,12 @@ def _sanity(spark, folder):
 
 def sampled_exchanges(spark, folder):
     """Recency sample of every person's messages with the exchange that led to each."""
-    t = cx.timeline(usable(spark, folder), fx.BLOCK).drop("n")
-    pairs = cx.paired_exchanges(t, 8, fx.BLOCK).select(WS, "message_id", "exchange")
-    own = sampling.person_positions(usable(spark, folder), fx.BLOCK)
-    return sampling.recency_sample(own, 60).select(WS, "sender", "pos", "message_id").join(pairs, [WS, "message_id"])
+    messages = usable(spark, folder)
+    marks = messages.select(WS, "message_id", "sender", "ts", "seq", (~tx.is_noise(F.col("text"))).alias("readable"))
+    pairs = cx.exchange_partners(cx.timeline(marks, fx.BLOCK), 8, fx.BLOCK).select(WS, "message_id", "partner_id")
+    own = sampling.person_positions(marks, fx.BLOCK)
+    sampled = sampling.recency_sample(own, 60).select(WS, "sender", "pos", "message_id").join(pairs, [WS, "message_id"])
+    return cx.exchange_texts(sampled, messages).select(WS, "message_id", "sender", "pos", "exchange")
 
 
 def _prompt_rows(spark, folder):

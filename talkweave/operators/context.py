@@ -196,6 +196,38 @@ def paired_exchanges(line: DataFrame, look_back: int = 8, block: int = BLOCK_ROW
     )
 
 
+def exchange_partners(line: DataFrame, look_back: int = 8, block: int = BLOCK_ROWS) -> DataFrame:
+    """Like ``paired_exchanges`` without texts: ``partner_id`` is the message that led to each, null where none did.
+
+    ``line`` says by ``readable`` which messages have something to read, so no text is sorted or copied.
+    """
+    near = with_neighbours(line.select(WS, "pos", "message_id", "sender", "readable"), "pos", look_back, 0, block)
+    w = Window.partitionBy(WS, "_blk").orderBy("pos").rowsBetween(-look_back, -1)
+    earlier = F.collect_list(F.when(F.col("readable"), F.struct("sender", "message_id"))).over(w)
+    near = near.withColumn("_earlier", earlier).filter(F.col("_own") & F.col("readable"))
+    others = F.filter("_earlier", lambda m: m["sender"] != F.col("sender"))
+    partner = F.when(F.size(others) > 0, F.element_at(others, -1)["message_id"])
+    return near.select(WS, "pos", "message_id", "sender", partner.alias("partner_id"))
+
+
+def exchange_texts(chosen: DataFrame, messages: DataFrame) -> DataFrame:
+    """``chosen(workspace_id, message_id, partner_id, ...)`` with the texts of both as ``exchange``.
+
+    Only the messages that ``chosen`` names are read into the join; keys are ids of single messages, so it stays even.
+    A chosen message that ``messages`` lacks is left out; an unknown partner counts as none.
+    """
+    kept = [F.col(f"`{c}`") for c in chosen.columns]
+    ends = [F.struct(F.lit(True).alias("own"), F.col("message_id").alias("id")), F.struct(F.lit(False).alias("own"), F.col("partner_id").alias("id"))]
+    asked = chosen.withColumn("_end", F.explode(F.filter(F.array(*ends), lambda e: e["id"].isNotNull())))
+    said = F.concat(F.lit("["), "sender", F.lit("]: "), "text")
+    lines = messages.select(F.col(WS).alias("_ws"), F.col("message_id").alias("_id"), said.alias("_said"))
+    found = asked.join(lines, (F.col(WS) == F.col("_ws")) & (F.col("_end.id") == F.col("_id")))
+    # Both lines of an exchange meet again by its own message.
+    sides = F.collect_list(F.struct(F.col("_end.own").alias("own"), F.col("_said").alias("said")))
+    both = found.groupBy(*kept).agg(F.array_sort(sides).alias("_sides")).filter(F.element_at("_sides", -1)["own"])
+    return both.select(*kept, F.array_join(F.transform("_sides", lambda m: m["said"]), "\n").alias("exchange"))
+
+
 def conversation_snippets(line: DataFrame, limit: int = 4, window: int = 6, block: int = BLOCK_ROWS) -> DataFrame:
     """Excerpts that end with a person's message, spread evenly over their distinct excerpts."""
     near = with_neighbours(line.select(WS, "pos", "sender", "text"), "pos", window, 0, block)

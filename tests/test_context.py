@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import TOPICS
+from talkweave.functions.text import TOPICS, is_noise
 from talkweave.operators import context as cx
 from talkweave.operators import packing, sampling, voice
 
@@ -78,6 +78,20 @@ def test_paired_exchanges(talk):
         assert got[(ws, i)] == f"{head}[{sender}]: {text}"
 
 
+def test_exchanges_with_late_texts(talk):
+    _, df = talk
+    df = df.union(df.limit(1).withColumns({"workspace_id": F.lit("alone"), "message_id": F.lit("x")}))
+    whole = {tuple(r) for r in cx.paired_exchanges(cx.timeline(df, 16), 8, 9).select("workspace_id", "message_id", "pos", "exchange").collect()}
+    marks = df.withColumn("readable", ~is_noise(F.col("text"))).drop("text")
+    partners = cx.exchange_partners(cx.timeline(marks, 16), 8, 9)
+    assert "text" not in partners.columns
+    late = cx.exchange_texts(partners, df)
+    assert {tuple(r) for r in late.select("workspace_id", "message_id", "pos", "exchange").collect()} == whole
+    some = cx.exchange_texts(partners.filter("pos % 7 = 3"), df).select("workspace_id", "message_id", "pos", "exchange").collect()
+    assert {tuple(r) for r in some} == {r for r in whole if r[2] % 7 == 3} and len(some) > 3
+    assert cx.exchange_texts(partners.limit(0), df).count() == 0
+
+
 def test_excerpts_spread_over_distinct_candidates(talk):
     rows, df = talk
     got = cx.conversation_snippets(cx.timeline(df, 16), 4, 6, 9).orderBy("first_pos").collect()
