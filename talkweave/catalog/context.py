@@ -142,7 +142,8 @@ RAW = C + rf""", raw as (select workspace_id as request_id, workspace_id, messag
 
 def hits_sql(k: int) -> str:
     return RAW + f""", hits as (select * from (select *, row_number() over (partition by request_id order by score desc, message_id) as rank from raw) z where rank <= {k}),
- win as (select h.request_id, h.score, l.pos, greatest(0, l.pos - 3) as s, least(l.n, l.pos + 5) as e from hits h join line l on l.workspace_id = h.workspace_id and l.message_id = h.message_id)"""
+ win as (select h.request_id, h.score, l.pos, greatest(0, l.pos - 3) as s, least(l.n, l.pos + 5) as e from hits h join line l on l.workspace_id = h.workspace_id and l.message_id = h.message_id),
+ folded as (select request_id, s, e, max(score) as score from win group by 1, 2, 3)"""
 
 
 def merge_sql(source: str) -> str:
@@ -213,7 +214,7 @@ ENTRIES = {
     "context_blocks": (
         _blocks,
         hits_sql(CHAT_HITS)
-        + f""", {merge_sql('win')}, blk as (select r.request_id, r.range_no, r.s, r.score, bool_or(lower(l.sender) = 'assistant' or contains(lower(l.text), 'assistant')) as about,
+        + f""", {merge_sql('folded')}, blk as (select r.request_id, r.range_no, r.s, r.score, bool_or(lower(l.sender) = 'assistant' or contains(lower(l.text), 'assistant')) as about,
    {fx.strip_sql("string_agg(concat(l.sender, ': ', l.text), chr(10) order by l.pos)")} as text
   from ranges r join line l on l.workspace_id = r.request_id and l.pos >= r.s and l.pos < r.e group by 1, 2, 3, 4),
  miss as (select h.request_id, concat(speaker, ' (', strftime(ts, '%Y-%m-%d %H:%M'), '): ', snippet) as text, max(score) as score, min(h.message_id) as mid
