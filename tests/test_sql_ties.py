@@ -19,5 +19,6 @@ def blocks(con, query):
     return con.execute(f"select block_no, count(distinct request_id) from ({contract.oracle_sql()[query]}) x group by 1 order by 1").fetchall()
 
 
-def test_equal_windows_are_one_block(dialogues):
-    assert blocks(dialogues, "context_blocks") == [(1, 200_000)]
+@pytest.mark.parametrize("query", ["context_blocks", "context_blocks_qa"])
+def test_equal_windows_are_one_block(dialogues, query):
+    assert blocks(dialogues, query) == [(1, 200_000)]
