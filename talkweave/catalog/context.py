@@ -235,7 +235,7 @@ ENTRIES = {
     "rendered_blocks": (
         lambda s, d: cx.render_blocks(_blocks_qa(s, d)),
         hits_sql(QA_HITS)
-        + f""", {merge_sql('win')}, first5 as (select *, row_number() over (partition by request_id order by s) as block_no from ranges),
+        + f""", {merge_sql('folded')}, first5 as (select *, row_number() over (partition by request_id order by s) as block_no from ranges),
  r as (select f.request_id, f.block_no, l.pos, l.sender as speaker, strftime(l.ts, '%Y-%m-%d %H:%M') as ts, l.text,
   exists (select 1 from win w where w.request_id = f.request_id and w.pos = l.pos) as is_hit
  from first5 f join line l on l.workspace_id = f.request_id and l.pos >= f.s and l.pos < f.e where f.block_no <= 5 and not {fx.noise_sql('l.text')})

@@ -19,6 +19,6 @@ def blocks(con, query):
     return con.execute(f"select block_no, count(distinct request_id) from ({contract.oracle_sql()[query]}) x group by 1 order by 1").fetchall()
 
 
-@pytest.mark.parametrize("query", ["context_blocks", "context_blocks_qa"])
+@pytest.mark.parametrize("query", ["context_blocks", "context_blocks_qa", "rendered_blocks"])
 def test_equal_windows_are_one_block(dialogues, query):
     assert blocks(dialogues, query) == [(1, 200_000)]
