@@ -348,8 +348,9 @@ ENTRIES = {
         _rerank,
         f"with raw as ({_duck(_RERANK)}), "
         + r"""a as (select event_id, regexp_extract(raw, '(?s)\[.*\]') as t from raw),
- b as (select event_id, unnest(from_json(cast(t as json), '["json"]')) as j from a where json_valid(t) and t <> ''),
- c as (select event_id, try_cast(j->>'$.id' as bigint) as ordinal, j->'$.score' as s, row_number() over (partition by event_id) as place from b where json_type(j) = 'OBJECT'),
+ l as (select event_id, from_json(cast(t as json), '["json"]') as js from a where json_valid(t) and t <> ''),
+ b as (select event_id, i as place, js[i] as j from l, unnest(range(1, len(js) + 1)) as u(i)),
+ c as (select event_id, try_cast(j->>'$.id' as bigint) as ordinal, j->'$.score' as s, place from b where json_type(j) = 'OBJECT'),
  d as (select event_id, ordinal, place, case when json_type(s) = 'ARRAY' then s->'$[0]' when json_type(s) = 'OBJECT' then s->'$.relevance' else s end as s from c),
  e as (select event_id, ordinal, place, json_type(s) as t, try_cast(rtrim(s->>'$', '%') as double) as x from d),
  f as (select event_id, ordinal, place, case when x is not null then least(1.0, greatest(0.0, case when t = 'VARCHAR' and x > 1 and x <= 100 then x / 100 else x end)) end as score from e)

@@ -22,3 +22,10 @@ def blocks(con, query):
 @pytest.mark.parametrize("query", ["context_blocks", "context_blocks_qa", "rendered_blocks"])
 def test_equal_windows_are_one_block(dialogues, query):
     assert blocks(dialogues, query) == [(1, 200_000)]
+
+
+def test_last_score_of_an_ordinal_counts():
+    con = duckdb.connect()
+    con.execute("create table events as select range as event_id, 50.0 as value, 'view' as event_type from range(600000)")
+    found = con.execute(f"select ordinal, score, count(*) from ({contract.oracle_sql()['parse_rerank']}) x group by 1, 2 order by 1, 2").fetchall()
+    assert found == [(1, 0.4, 600_000), (4, 1.0, 600_000)]
