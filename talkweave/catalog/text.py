@@ -112,10 +112,19 @@ def _normalized(spark, folder):
 
 
 def _jaccard(spark, folder):
+    """Overlap of the two sides of a dialogue, of their texts and of the words in them."""
     m = fx.messages_conv(spark, folder)
-    return style.set_overlap(m, "workspace_id", "sender", "user", "assistant", "text").withColumn(
-        "jaccard", F.round("jaccard", 6)
-    )
+    words = each_term(m, tx.tokens(F.col("text")), "workspace_id", "sender")
+
+    def overlap(rows, element, *names):
+        met = style.set_overlap(rows, "workspace_id", "sender", "user", "assistant", element)
+        shared, every, jaccard = names
+        return met.select("workspace_id", F.col("shared").alias(shared), F.col("all_elements").alias(every), F.round("jaccard", 6).alias(jaccard))
+
+    by_text = overlap(m, "text", "shared", "all_elements", "jaccard")
+    by_word = overlap(words, "term", "shared_words", "all_words", "word_jaccard")
+    # A dialogue without words has two empty sets of them.
+    return by_text.join(by_word, "workspace_id", "left").fillna({"shared_words": 0, "all_words": 0, "word_jaccard": 1.0})
 
 
 def _solo(spark, folder):
@@ -313,10 +322,14 @@ ENTRIES = {
     "exchange_jaccard": (
         _jaccard,
         f"""with {fx.SQL_MESSAGES_CONV}, s as (select workspace_id, text, max(case when sender = 'user' then 1 else 0 end) as a, max(case when sender = 'assistant' then 1 else 0 end) as b
-  from messages_conv where sender in ('user', 'assistant') group by 1, 2)
- select p.workspace_id, cast(coalesce(sum(a * b), 0) as bigint) as shared, count(s.workspace_id) as all_elements,
+  from messages_conv where sender in ('user', 'assistant') group by 1, 2),
+ w as (select workspace_id, sender, unnest({TOK}) as token from messages_conv where sender in ('user', 'assistant')),
+ sw as (select workspace_id, token, max(case when sender = 'user' then 1 else 0 end) as a, max(case when sender = 'assistant' then 1 else 0 end) as b from w group by 1, 2),
+ ws as (select workspace_id, cast(sum(a * b) as bigint) as shared_words, count(*) as all_words, round(sum(a * b) / count(*), 6) as word_jaccard from sw group by 1),
+ ts as (select p.workspace_id, cast(coalesce(sum(a * b), 0) as bigint) as shared, count(s.workspace_id) as all_elements,
   case when count(s.workspace_id) = 0 then 1 else round(sum(a * b) / count(s.workspace_id), 6) end as jaccard
- from (select distinct workspace_id from messages_conv) p left join s using (workspace_id) group by 1""",
+ from (select distinct workspace_id from messages_conv) p left join s using (workspace_id) group by 1)
+ select ts.*, coalesce(shared_words, 0) as shared_words, coalesce(all_words, 0) as all_words, coalesce(word_jaccard, 1) as word_jaccard from ts left join ws using (workspace_id)""",
     ),
     "solo_examples": (
         _solo,

@@ -1,6 +1,8 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from talkweave.functions import model_output as mo
 from talkweave.functions import scores as sc
 from talkweave.functions import text as tx
@@ -150,3 +152,18 @@ def test_style_and_examples(spark, chat):
     rows = spark.createDataFrame([("s", 1, "a"), ("s", 2, " a "), ("s", 3, " "), ("s", 4, "b"), ("s", 5, "c")], "source string, i int, text string")
     picked = style.solo_examples(rows, ["source"], "i", 2).orderBy("rank").collect()
     assert [(r.i, r.text) for r in picked] == [(1, "a"), (4, "b")]
+
+
+def test_exchange_overlap_of_texts_and_words(spark, scratch):
+    rows = [(1, 0, "user", "Same text"), (1, 1, "assistant", "Same text"), (2, 0, "user", "red blue"), (2, 1, "assistant", "Blue green")]
+    rows += [(3, 0, "system", "rules"), (4, 0, "user", "?!"), (4, 1, "assistant", None)]
+    spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{scratch}/conversations.parquet")
+    query, sql = contract.queries()["exchange_jaccard"], contract.oracle_sql()["exchange_jaccard"]
+    names = ["workspace_id", "shared", "all_elements", "jaccard", "shared_words", "all_words", "word_jaccard"]
+    got = sorted(tuple(r) for r in query(spark, scratch).select(*names).collect())
+    assert got == [
+        ("c1", 1, 1, 1.0, 2, 2, 1.0), ("c2", 0, 2, 0.0, 1, 3, 0.333333), ("c3", 0, 0, 1.0, 0, 0, 1.0), ("c4", 0, 2, 0.0, 0, 0, 1.0),
+    ]
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{scratch}/conversations.parquet/*.parquet'")
+    assert sorted(con.execute(f"select {', '.join(names)} from ({sql}) x").fetchall()) == got
