@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 from talkweave.operators import embed, fusion, search
 
 WORDS = "beach sunny hike hills rain coffee tea मीटिंग naïve".split()
@@ -167,3 +168,12 @@ def test_model_slot_and_hashing(spark):
     hashed = {r.message_id: r.embedding for r in embed.hash_embed(df, dims=16).collect()}
     assert hashed[1] == hashed[3] and sum(x * x for x in hashed[1]) == pytest.approx(1)
     assert sum(hashed[2]) == 0
+
+
+def test_verdict_also_finds_near_misses(spark):
+    """Requests whose best hits are unjudged and below the grade of keyword scores are not answered by them."""
+    rows = contract.queries()["qa_verdict"](spark, "/root/testdata/sf0.01").collect()
+    assert {r.status for r in rows} == {"answered"}
+    assert {r.request_id: r.keyword_near_misses for r in rows if r.keyword_status == "not_found"} == {
+        2: "706,970,371", 3: "979,338,936", 4: "71,240,690", 5: "378,789,160", 7: "195,800,825", 9: "658,181,99",
+    }
