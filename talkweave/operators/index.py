@@ -17,17 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.operators.search import B, K1, corpus_stats, idf, postings, query_terms, tokenised
+from talkweave.operators.search import B, K1, idf, query_terms, tokenised
 from talkweave.plans.ordered import top_rows
-from talkweave.plans.topk import SCORE_DIGITS, ddl
+from talkweave.plans.topk import SCORE_DIGITS, ddl, packed
+from talkweave.session import materialise
 
 RANGE_MESSAGES = 4096
 RANGE_TOKENS = 1 << 20
 BUCKETS, BUCKET_FILES = 64, 8
 FIRST_RANGES = 2
+# Rows of statistics that may travel to every task.
+SMALL_STATS = 100_000
 # Sums of stored weights may differ in the last digits; a bound must not fall below what it bounds.
 SLACK = 1e-6
 _RANGE = ["workspace_id", "band", "part"]
@@ -41,37 +45,112 @@ def _band(length: Column) -> Column:
     return F.floor(F.log2(length + 1) * 2).cast("int")
 
 
-def band_parts(token_table: DataFrame) -> DataFrame:
-    """``workspace_id, band, parts``: into how many ranges the messages of similar length are dealt."""
+def length_stats(token_table: DataFrame) -> DataFrame:
+    """``workspace_id, band, docs, sized, words, parts``, one row per workspace and band of lengths.
+
+    ``parts`` is into how many ranges its messages are dealt.  Few rows, kept, as what follows reads them several times.
+    """
     length = F.size("terms")
-    return token_table.filter(length > 0).groupBy("workspace_id", _band(length).alias("band")).agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / RANGE_MESSAGES, F.sum(length) / RANGE_TOKENS)).alias("parts")
+    found = token_table.groupBy("workspace_id", _band(F.coalesce(length, F.lit(0))).alias("band")).agg(
+        F.count(F.lit(1)).alias("docs"), F.count(length).alias("sized"), F.coalesce(F.sum(length), F.lit(0)).alias("words")
     )
+    parts = F.ceil(F.greatest(F.col("docs") / RANGE_MESSAGES, F.col("words") / RANGE_TOKENS))
+    return materialise(found.withColumn("parts", parts))
+
+
+def workspace_stats(lengths: DataFrame) -> DataFrame:
+    """``workspace_id, docs, avgdl`` as ``corpus_stats`` finds them, from ``length_stats``."""
+    return lengths.groupBy("workspace_id").agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("sized")).alias("avgdl"))
+
+
+def dealt(token_table: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``workspace_id, band, part, message_id, words``: every message in its range, its terms joined by spaces.
+
+    Nothing here filters by length, as Spark would tokenise every text once more for it.
+    """
+    length = F.coalesce(F.size("terms"), F.lit(0))
+    rows = token_table.filter("workspace_id is not null").select(
+        "workspace_id", "message_id", F.array_join("terms", " ").alias("words"), _band(length).alias("band")
+    )
+    parts = lengths.select("workspace_id", "band", "parts")
+    if packed(parts.select("band"), SMALL_STATS) is not None:
+        parts = F.broadcast(parts)
+    placed = rows.join(parts, ["workspace_id", "band"], "left")
+    return placed.select(*_RANGE[:2], F.pmod(F.xxhash64("message_id"), F.col("parts")).alias("part"), "message_id", "words")
+
+
+def _postings_of(whole: bool):
+    """Postings of one range: a row per term with its messages, or with their number alone."""
+
+    def run(held: pa.Table) -> pa.Table:
+        ids = held.column("message_id").combine_chunks()
+        lists = pc.split_pattern(pc.fill_null(held.column("words").combine_chunks(), ""), " ")
+        words = lists.flatten()
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        there = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
+        words, row = words.filter(pa.array(there)), row[there]
+        coded = words.dictionary_encode()
+        # Rows of one message and length are one message, however often it was handed over.
+        length = np.bincount(row, minlength=len(lists))
+        names = ids.dictionary_encode(null_encoding="encode")
+        place = np.empty(len(names.dictionary), np.int64)
+        place[pc.sort_indices(names.dictionary).to_numpy()] = np.arange(len(names.dictionary))
+        pairs = np.stack([place[names.indices.to_numpy()], length])
+        keys, first, message = np.unique(pairs[0] * (length.max(initial=0) + 1) + pairs[1], return_index=True, return_inverse=True)
+        n = max(len(keys), 1)
+        found, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * n + message[row], return_counts=True)
+        term, at = found // n, first[found % n]
+        size = np.bincount(term, minlength=len(coded.dictionary))
+        out = {name: pa.repeat(held.column(name)[0], len(size)) for name in _RANGE} | {"term": coded.dictionary, "size": pa.array(size, pa.int32())}
+        if whole:
+            edges = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+            values = {"ids": ids.take(pa.array(at)), "tfs": pa.array(tf, pa.int32()), "dls": pa.array(length[at], pa.int32())}
+            out |= {name: pa.ListArray.from_arrays(edges, held_) for name, held_ in values.items()}
+        return pa.table(out)
+
+    return run
 
 
-def weighted_postings(token_table: DataFrame) -> DataFrame:
-    """``workspace_id, term, message_id, dl, weight`` of every posting, with its share of a BM25 score."""
-    posted = postings(token_table)
-    seen = posted.groupBy("workspace_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    stats = seen.join(corpus_stats(token_table), "workspace_id").select("workspace_id", "term", idf(F.col("docs"), F.col("df")).alias("idf"), "avgdl")
-    tf, dl = F.col("tf").cast("double"), F.col("dl")
-    weight = F.col("idf") * tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * dl / F.col("avgdl")), F.lit(1e-9))
-    # A term of very many messages is one row of the statistics and a hot key of the postings, which adaptive joins split.
-    return posted.join(stats, ["workspace_id", "term"]).select("workspace_id", "term", "message_id", "dl", weight.alias("weight"))
+def range_postings(messages: DataFrame) -> DataFrame:
+    """``workspace_id, band, part, term, size, ids, tfs, dls`` of ``dealt`` messages: one row per term and range.
+
+    A range is bounded, so its terms are counted in one piece, and no row per word is made or shuffled.
+    """
+    id_type = ddl(messages.schema["message_id"])
+    heads = "workspace_id string, band int, part bigint, term string, size int"
+    return messages.groupBy(*_RANGE).applyInArrow(_postings_of(True), f"{heads}, ids array<{id_type}>, tfs array<int>, dls array<int>")
+
+
+def term_counts(messages: DataFrame) -> DataFrame:
+    """``workspace_id, term, df`` of ``dealt`` messages, from the sizes of their postings; the same shuffle serves both."""
+    sizes = messages.groupBy(*_RANGE).applyInArrow(_postings_of(False), "workspace_id string, band int, part bigint, term string, size int")
+    return sizes.groupBy("workspace_id", "term").agg(F.sum("size").alias("df"))
+
+
+def counted_postings(token_table: DataFrame) -> DataFrame:
+    """``range_postings`` with ``df, idf, avgdl`` of their terms.
+
+    A term of very many messages is one row of the counts and as many rows of the postings as it has ranges.
+    """
+    lengths = length_stats(token_table)
+    messages = dealt(token_table, lengths)
+    stats = term_counts(messages).join(F.broadcast(workspace_stats(lengths)) if packed(lengths.select("band"), SMALL_STATS) is not None else workspace_stats(lengths), "workspace_id")
+    stats = stats.select("workspace_id", "term", "df", idf(F.col("docs"), F.col("df")).alias("idf"), "avgdl")
+    return range_postings(messages).join(stats, ["workspace_id", "term"])
 
 
 def index_blocks(corpus: DataFrame) -> DataFrame:
     """``workspace_id, band, part, term, bucket, top, size, ids, weights``: one row per term and range."""
-    token_table = tokenised(corpus.filter("workspace_id is not null and message_id is not null"))
-    posted = weighted_postings(token_table).withColumn("band", _band(F.col("dl")))
-    posted = posted.join(band_parts(token_table), ["workspace_id", "band"])
-    posted = posted.withColumn("part", F.pmod(F.xxhash64("message_id"), F.col("parts")))
-    held = F.array_sort(F.collect_list(F.struct("message_id", "weight")))
-    blocks = posted.groupBy("workspace_id", "band", "part", "term").agg(held.alias("held"), F.max("weight").alias("top"))
+    posted = counted_postings(tokenised(corpus.filter("workspace_id is not null and message_id is not null")))
+
+    def weight(count: Column, dl: Column) -> Column:
+        tf = count.cast("double")
+        return F.col("idf") * tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * dl / F.col("avgdl")), F.lit(1e-9))
+
+    blocks = posted.withColumn("weights", F.zip_with("tfs", "dls", weight))
     return blocks.select(
-        "workspace_id", "band", "part", "term", term_bucket(F.col("term")).alias("bucket"), "top", F.size("held").alias("size"),
-        F.col("held.message_id").alias("ids"), F.col("held.weight").alias("weights"),
-    )
+        "workspace_id", "band", "part", "term", term_bucket(F.col("term")).alias("bucket"), F.array_max("weights").alias("top"), "size", "ids", "weights"
+    )
 
 
 def write_index(corpus: DataFrame, path: str) -> None:

@@ -76,3 +76,22 @@ def test_odd_rows(spark, scratch, monkeypatch):
     assert made.search(queries.limit(0)).count() == 0
     empty = built(spark, scratch + "/none", [], monkeypatch, 4)
     assert empty.search(queries).count() == 0
+
+
+def test_postings_of_ranges_shuffle_no_row_per_word(spark, rows, monkeypatch):
+    """The same postings as those counted word by word, of repeated, empty and odd rows too."""
+    monkeypatch.setattr(index, "RANGE_MESSAGES", 16)
+    odd = [(None, 5, "a b"), ("odd", None, "a a"), ("odd", 7, None), ("odd", 8, "b a"), ("odd", 8, "b c"), ("odd", 8, "b")]
+    tokens = search.tokenised(spark.createDataFrame(rows + odd, "workspace_id string, message_id bigint, text string").repartition(5))
+    counted = index.counted_postings(tokens)
+    names = ["workspace_id", "term", "message_id", "tf", "dl"]
+    got = counted.select("workspace_id", "term", F.inline(F.arrays_zip("ids", "tfs", "dls"))).toDF("workspace_id", "term", "message_id", "tf", "dl")
+    want = search.postings(tokens).filter("workspace_id is not null")
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select(*names).collect()), key=key) == sorted(map(tuple, want.select(*names).collect()), key=key)
+    stats = {(r.workspace_id, r.term): (r.df, pytest.approx(r.idf), pytest.approx(r.avgdl)) for r in search.term_stats(tokens).collect()}
+    told = counted.select("workspace_id", "term", "df", "idf", "avgdl").distinct().collect()
+    # ``term_stats`` counts the rows of a message handed over twice, postings count its lengths.
+    assert all(stats[r.workspace_id, r.term] == (r.df, r.idf, r.avgdl) for r in told if r.workspace_id != "odd")
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
