@@ -13,7 +13,7 @@ from talkweave.catalog import fixtures as fx
 from talkweave.catalog.text import DENSITY, TOK, delta_sql
 from talkweave.functions import scores as sc
 from talkweave.operators import cells, embed, fusion, search
-from talkweave.operators.index import Index, write_index
+from talkweave.operators.index import Index, counted_postings, write_index
 from talkweave.session import materialise
 
 AS_OF = "2024-02-10"
@@ -56,13 +56,12 @@ def rounded(df, *columns):
 
 
 def _bm25_index(spark, folder):
-    tokens = search.tokenised(fx.corpus(spark, folder))
-    index = search.postings(tokens)
-    stats = search.posting_stats(index).join(search.corpus_stats(tokens), "workspace_id")
-    stats = stats.select(
-        "workspace_id", "term", "df", F.round(search.idf(F.col("docs"), F.col("df")), 6).alias("idf")
+    posted = counted_postings(search.tokenised(fx.corpus(spark, folder)))
+    # Statistics join one row per term and range; single postings come last and are not shuffled.
+    each = posted.select("workspace_id", "term", "df", "idf", F.inline(F.arrays_zip("ids", "tfs", "dls")))
+    return each.select(
+        "workspace_id", "term", F.col("ids").alias("message_id"), F.col("tfs").cast("bigint").alias("tf"), F.col("dls").cast("bigint").alias("dl"), "df", F.round("idf", 6).alias("idf")
     )
-    return index.join(stats, ["workspace_id", "term"])
 
 
 def indexed(spark, corpus):
