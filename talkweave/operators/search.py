@@ -33,6 +33,9 @@ B = 0.75
 # Rows of term statistics, and numbers per matrix, that a task may hold.
 PACKED_TERMS = 200_000
 PACKED_NUMBERS = 20_000_000
+# What the packed search works on at once, however many rows and words an Arrow batch has.
+SCORED_NUMBERS = 1_000_000
+RUN_TOKENS = 250_000
 # Cells of the large-request path: requests and embedding values per cell.
 CELL_REQUESTS = 2048
 CELL_VALUES = 1 << 25
@@ -148,36 +151,52 @@ def _bm25_packed(token_table, corpus, wanted, stats, k, id_type) -> DataFrame:
                 member[term_at[t], q] = 1.0
     scope = np.array([ws_at[r.workspace_id] for r in wanted])
     shared = spark.sparkContext.broadcast((workspaces, vocab, weights, avgdl, member, scope))
-    rows_at_once = max(1, 4_000_000 // len(vocab))
+    rows_at_once = max(1, SCORED_NUMBERS // len(vocab))
 
     def score(batch: pa.RecordBatch):
         workspaces_, vocab_, weights_, avgdl_, member_, scope_ = shared.value
-        lists = batch.column("terms")
-        ws = codes(batch.column("workspace_id"), workspaces_)
-        dl = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = codes(lists.flatten(), vocab_)
-        row = np.repeat(np.arange(len(dl)), dl)
-        row, term = row[flat >= 0], flat[flat >= 0]
+        scopes = codes(batch.column("workspace_id"), workspaces_)
         v = len(vocab_)
-        for w in np.unique(ws[ws >= 0]):
-            asked = np.flatnonzero(scope_ == w)
-            inside = ws == w
-            mine = inside[row]
-            here = np.flatnonzero(inside)
-            place = np.cumsum(inside) - 1
-            r, t = place[row[mine]], term[mine]
-            for lo in range(0, len(here), rows_at_once):
-                hi = min(lo + rows_at_once, len(here))
-                cut = (r >= lo) & (r < hi)
-                tf = np.bincount((r[cut] - lo) * v + t[cut], minlength=(hi - lo) * v).reshape(hi - lo, v).astype(float)
-                norm = K1 * (1 - B + B * dl[here[lo:hi]] / avgdl_[w])
-                part = weights_[w] * tf * (K1 + 1) / np.maximum(tf + norm[:, None], 1e-9)
-                yield part @ member_[:, asked], here[lo:hi], asked
+        wanted_ = {w: np.flatnonzero(scope_ == w) for w in np.unique(scopes[scopes >= 0])}
+        members = {w: member_[:, asked] for w, asked in wanted_.items()}
+        for start, stop in token_runs(batch.column("terms"), rows_at_once):
+            lists = batch.column("terms").slice(start, stop - start)
+            ws = scopes[start:stop]
+            dl = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = codes(lists.flatten(), vocab_)
+            known = np.flatnonzero(flat >= 0)
+            row, term = np.repeat(np.arange(len(dl)), dl)[known], flat[known]
+            for w in np.unique(ws[ws >= 0]):
+                inside = ws == w
+                mine = inside[row]
+                here = np.flatnonzero(inside)
+                place = np.cumsum(inside) - 1
+                part = np.bincount(place[row[mine]] * v + term[mine], minlength=len(here) * v).reshape(len(here), v).astype(float)
+                norm = K1 * (1 - B + B * dl[here] / avgdl_[w])
+                below = part + norm[:, None]
+                np.maximum(below, 1e-9, out=below)
+                part *= weights_[w]
+                part *= K1 + 1
+                part /= below
+                yield part @ members[w], start + here, wanted_[w]
 
     rows = token_table.select("message_id", "workspace_id", "terms")
     return local_topk(rows, score, arrow_ids([r.query_id for r in wanted], id_type), schema, k, minimum=0.0)
 
 
+def token_runs(lists: pa.Array, rows: int) -> list[tuple[int, int]]:
+    """Runs of at most ``rows`` lists and ``RUN_TOKENS`` tokens that cover ``lists``; a longer list is a run of its own."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    runs, start = [], 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = int(np.searchsorted(ends, before + RUN_TOKENS, side="right"))
+        stop = min(max(stop, start + 1), start + rows)
+        runs.append((start, min(stop, len(ends))))
+        start = runs[-1][1]
+    return runs
+
+
 def codes(values: pa.Array, known: list) -> np.ndarray:
     """Index of each value in ``known``, -1 where it is not there."""
     found = pc.fill_null(pc.index_in(values, value_set=pa.array(known)), -1)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,19 @@ def test_verdict_also_finds_near_misses(spark):
     assert {r.request_id: r.keyword_near_misses for r in rows if r.keyword_status == "not_found"} == {
         2: "706,970,371", 3: "979,338,936", 4: "71,240,690", 5: "378,789,160", 7: "195,800,825", 9: "658,181,99",
     }
+
+
+def test_packed_search_works_on_bounded_runs(spark, docs, monkeypatch):
+    """Rows and words handled at once do not follow the batch, and the hits stay the same."""
+    lists = pa.array([["a"] * n for n in (3, 0, 9, 2, 2, 1)] + [None], pa.list_(pa.string()))
+    monkeypatch.setattr(search, "RUN_TOKENS", 4)
+    assert search.token_runs(lists, 2) == [(0, 2), (2, 3), (3, 5), (5, 7)]
+    assert search.token_runs(lists.slice(0, 0), 2) == []
+    rows, df = docs
+    q = spark.createDataFrame(QUERIES, "query_id string, workspace_id string, text string")
+    found = search.bm25_topk(df, q, 7).collect()
+    for query, ws, text in QUERIES:
+        mine = sorted((-r["score"], r["message_id"]) for r in found if r["query_id"] == query)
+        want = brute_bm25(rows, ws, text, 7)
+        assert [i for _, i in mine] == [i for _, i in want]
+        assert [-s for s, _ in mine] == pytest.approx([s for s, _ in want], abs=1e-8)
