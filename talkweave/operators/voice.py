@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import bind, is_noise, is_pure_ack, strip, topic_bucket, word_count
+from talkweave.functions.text import bind, has_two_words, is_noise, is_pure_ack, strip, topic_marks, topic_of_marks
 from talkweave.plans.ordered import top_rows, with_neighbours
 from talkweave.schema import BLOCK_ROWS
 from talkweave.session import materialise
@@ -13,10 +15,23 @@ from talkweave.session import materialise
 WS = "workspace_id"
 PERSON = [WS, "sender"]
 SAME = 0.6
+# Bits of a message that voice candidates ask for.
+WORDY, SAYS, LONG, CONTENT = 1, 2, 4, 8
 
 __all__ = ["dialogue_text", "exchange_score", "labelled_samples", "materialise", "shortlist", "voice_candidates", "voice_samples"]
 
 
+def _facts(text: Column) -> Column:
+    """What the rules below ask of a stripped message, as bits: so each message is read once, not once per window."""
+    ack = is_pure_ack(text)
+    asked = {WORDY: has_two_words(text), SAYS: (F.length(text) > 10) & ~ack, LONG: F.length(text) > 15, CONTENT: ~ack}
+    return sum((F.when(holds, bit).otherwise(0) for bit, holds in asked.items()), F.lit(0))
+
+
+def _has(message: Column, fact: int) -> Column:
+    return message["facts"].bitwiseAND(F.lit(fact)) != 0
+
+
 def voice_candidates(line: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     """Exchanges of at most four messages around every own message.
 
@@ -24,58 +39,55 @@ def voice_candidates(line: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
     third sender.  Both sides must speak, no message may be a single word, and one own
     message must say something.
     """
-    near = with_neighbours(line.select(WS, "pos", "sender", "text"), "pos", 1, 9, block)
-    w = Window.partitionBy(WS, "_blk").orderBy("pos").rowsBetween(-1, 9)
+    text = F.col("text")
+    read = line.select(WS, "pos", "sender", F.when(~is_noise(text), strip(text)).alias("text"))
     # A null entry keeps its place in the ten rows while its text is skipped.
-    entry = F.struct(F.col("sender"), F.when(~is_noise(F.col("text")), strip(F.col("text"))).alias("text"))
-    near = near.withColumn("_rows", F.collect_list(entry).over(w))
-    anchors = near.filter(F.col("_own") & ~is_noise(F.col("text")))
-
-    message = "struct<sender:string,text:string>"
-    start = F.struct(
-        F.array().cast("array<string>").alias("senders"),
-        F.array().cast(f"array<{message}>").alias("said"),
-        F.lit(False).alias("done"),
+    said = F.when(
+        F.col("text").isNotNull(),
+        F.struct("sender", "text", _facts(F.col("text")).alias("facts"), topic_marks(F.col("text")).alias("marks")),
     )
+    near = with_neighbours(read.select(WS, "pos", "sender", said.alias("_said")), "pos", 1, 9, block)
+    w = Window.partitionBy(WS, "_blk").orderBy("pos").rowsBetween(-1, 9)
+    rows = near.withColumn("_rows", F.collect_list(F.struct("_said")).over(w))
+    anchors = rows.filter(F.col("_own") & F.col("_said").isNotNull())
+
+    def two_sided(first: Column) -> Column:
+        """``first``, at most four messages, up to a third sender."""
+
+        def cut(others: Column) -> Column:
+            third = F.filter(others, lambda m: ~m["sender"].eqNullSafe(F.get(others, F.lit(0))["sender"]))
+            return F.when(F.size(third) == 0, first).otherwise(
+                F.slice(first, 1, F.array_position(first, F.get(third, F.lit(0))).cast("int") - 1)
+            )
 
-    def step(state: Column, row: Column) -> Column:
-        third = (F.size(state["senders"]) >= 2) & ~F.array_contains(state["senders"], row["sender"])
-        stop = state["done"] | (F.size(state["said"]) >= 4) | third
-        taken = F.struct(
-            F.array_union(state["senders"], F.array(row["sender"])).alias("senders"),
-            F.array_append(state["said"], row).alias("said"),
-            F.lit(False).alias("done"),
-        )
-        ended = F.struct(state["senders"].alias("senders"), state["said"].alias("said"), F.lit(True).alias("done"))
-        return F.when(row["text"].isNull(), state).when(stop, ended).otherwise(taken)
+        return bind(F.filter(first, lambda m: ~m["sender"].eqNullSafe(F.get(first, F.lit(0))["sender"])), cut)
 
     def is_sample(exchange: Column) -> Column:
-        mine = F.filter(exchange, lambda m: m["sender"] == F.col("sender"))
-        both = (F.size(mine) > 0) & (F.size(mine) < F.size(exchange))
-        wordy = F.forall(exchange, lambda m: word_count(m["text"]) > 1)
-        says = F.exists(mine, lambda m: (F.length(m["text"]) > 10) & ~is_pure_ack(m["text"]))
-        return both & wordy & says
+        own = lambda m: m["sender"] == F.col("sender")
+        both = F.exists(exchange, lambda m: ~m["sender"].eqNullSafe(F.col("sender")))
+        return both & F.forall(exchange, lambda m: _has(m, WORDY)) & F.exists(exchange, lambda m: own(m) & _has(m, SAYS))
 
     # Exploding a list of none or one builds the exchange once; a filter on it, also the one an
     # inner explode implies, would build it again.
-    folded = F.aggregate(F.slice("_rows", 1, 10), start, step, lambda s: s["said"])
+    spoken = F.filter(F.transform(F.slice("_rows", 1, 10), lambda r: r["_said"]), lambda m: m.isNotNull())
+    folded = bind(F.slice(spoken, 1, 4), two_sided)
     kept = anchors.select(
-        *PERSON, "pos", F.explode_outer(F.filter(F.array(folded), is_sample)).alias("exchange")
-    ).filter(F.col("exchange").isNotNull())
-    all_text = F.array_join(F.transform("exchange", lambda m: F.lower(m["text"])), " ")
+        *PERSON, "pos", F.explode_outer(F.filter(F.array(folded), is_sample)).alias("_exchange")
+    ).filter(F.col("_exchange").isNotNull())
+    person = F.col("sender")
     return kept.select(
-        *PERSON, "pos", "exchange",
-        topic_bucket(all_text).alias("topic"),
-        exchange_score(F.col("exchange"), F.col("sender")).alias("score"),
+        *PERSON, "pos",
+        F.transform("_exchange", lambda m: F.struct(m["sender"].alias("sender"), m["text"].alias("text"))).alias("exchange"),
+        topic_of_marks(F.transform("_exchange", lambda m: m["marks"])).alias("topic"),
+        _points("_exchange", person, lambda m: _has(m, LONG), lambda m: _has(m, CONTENT)).alias("score"),
     )
 
 
-def exchange_score(exchange: Column, person: Column) -> Column:
-    """Points for how much the person says; the other side's words do not count."""
+def _points(exchange: Column, person: Column, is_long: Callable, is_content: Callable) -> Column:
     mine = F.filter(exchange, lambda m: m["sender"] == person)
-    long_ones = F.size(F.filter(mine, lambda m: F.length(strip(m["text"])) > 15))
+    long_ones = F.size(F.filter(mine, is_long))
     other = F.exists(exchange, lambda m: m["sender"] != person)
-    content = F.exists(mine, lambda m: ~is_pure_ack(m["text"]))
+    content = F.exists(mine, is_content)
     return (
         F.when(F.size(mine) >= 2, 2).otherwise(0)
         + long_ones
@@ -84,6 +96,11 @@ def exchange_score(exchange: Column, person: Column) -> Column:
     ).cast("bigint")
 
 
+def exchange_score(exchange: Column, person: Column) -> Column:
+    """Points for how much the person says; the other side's words do not count."""
+    return _points(exchange, person, lambda m: F.length(strip(m["text"])) > 15, lambda m: ~is_pure_ack(m["text"]))
+
+
 def _texts(exchange: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(exchange, lambda m: m["text"])))
 
@@ -96,7 +113,9 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def shortlist(pool: DataFrame, at_least: int) -> DataFrame:
-    """Those rows of ``pool`` (one per person and set of ``texts``) from which the scan of ``voice_samples`` may add.
+    """``pos`` of those rows of ``pool`` (one per person and set of texts) from which the scan of ``voice_samples`` may add.
+
+    ``keys`` are hashes of a set without one of its texts; a set of one or two has a key of its own.
 
     An exchange has at most four texts, so one that is kept shuts out itself, sets with one text less, and the sets
     that hold it and one text more, which may be any number.  Of the sets with a common subset of that kind (a key)
@@ -106,13 +125,11 @@ def shortlist(pool: DataFrame, at_least: int) -> DataFrame:
     Both are ranks that Spark cuts in the map tasks, and only they are shuffled, without the exchanges.
     """
     cap = 5 * at_least
-    subsets = F.transform("texts", lambda t: F.xxhash64(F.array_remove("texts", t)))
-    slim = pool.select(*PERSON, "pos", "score", F.when(F.size("texts") > 2, subsets).alias("keys"))
     order = [F.col("score").desc(), F.col("pos")]
-    keyed = slim.filter("keys is not null").select(*PERSON, "pos", "score", F.size("keys").alias("held"), F.explode("keys").alias("key"))
+    keyed = pool.select(*PERSON, "pos", "score", F.size("keys").alias("held"), F.explode("keys").alias("key"))
     near = top_rows(keyed, [*PERSON, "key"], order, cap).groupBy(*PERSON, "pos", "score", "held").agg(F.count(F.lit(1)).alias("n"))
-    left = near.filter("n = held").select(*PERSON, "pos", "score").unionByName(slim.filter("keys is null").drop("keys"))
-    return pool.join(top_rows(left, PERSON, order, at_least * (cap + 6)).drop("rank", "score"), [*PERSON, "pos"])
+    left = near.filter("n = held").select(*PERSON, "pos", "score")
+    return top_rows(left, PERSON, order, at_least * (cap + 6)).select(*PERSON, "pos")
 
 
 def voice_samples(candidates: DataFrame, at_least: int = 5, at_most: int = 8) -> DataFrame:
@@ -122,22 +139,33 @@ def voice_samples(candidates: DataFrame, at_least: int = 5, at_most: int = 8) ->
     unlike all kept ones; it runs over a short list per person that holds all it can add,
     so a person with most of the candidates is no bottleneck.  Exchanges have at most four
     messages, as ``voice_candidates`` makes them.
+
+    What is chosen is chosen by numbers and hashes; then the exchanges of the chosen rows are
+    fetched by ``pos``.  ``candidates`` are read three times, so they had better be stored.
     """
     # Exchanges of equal texts shut each other out, so only the best of them can be picked.
-    pool = (
-        candidates.groupBy(*PERSON, "topic", _texts(F.col("exchange")).alias("texts"))
-        .agg(
-            F.max_by(F.struct("exchange", "score", "pos"), F.struct(F.col("score"), -F.col("pos"))).alias("_b"),
-            F.min("pos").alias("first_pos"),
-        )
-        .select(*PERSON, "topic", "texts", "first_pos", "_b.exchange", "_b.score", "_b.pos")
+    subsets = F.transform("texts", lambda t: F.xxhash64(F.array_remove("texts", t)))
+    hashed = candidates.select(*PERSON, "pos", "score", F.explode(F.array(_texts(F.col("exchange")))).alias("texts")).select(
+        *PERSON, "pos", "score",
+        F.xxhash64("texts").alias("print"),
+        F.xxhash64(F.lit(1), "texts").alias("second_print"),
+        F.when(F.size("texts") > 2, subsets).otherwise(F.array(F.xxhash64(F.lit(2), "texts"))).alias("keys"),
+    )
+    one_set = [*PERSON, "print", "second_print", "keys"]
+    pool = hashed.groupBy(*one_set, "score").agg(F.min("pos").alias("pos")).groupBy(*one_set).agg(
+        F.max_by("pos", "score").alias("pos"), F.max("score").alias("score")
     )
-    best = pool.groupBy(*PERSON, "topic").agg(
-        F.max_by(F.struct("exchange", "texts", "score"), F.struct(F.col("score"), -F.col("pos"))).alias("best"),
-        F.min("first_pos").alias("first_pos"),
+    best = candidates.groupBy(*PERSON, "topic", "score").agg(F.min("pos").alias("pos")).groupBy(*PERSON, "topic").agg(
+        F.max_by("pos", "score").alias("pos"), F.min("pos").alias("first_pos")
     )
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("best.score")).alias("down"), "first_pos", "best.exchange", "best.texts"))
+    listed = shortlist(pool, at_least).withColumn("first_pos", F.lit(None).cast("bigint"))
+    chosen = best.select(*PERSON, "pos", "first_pos", F.lit(False).alias("listed")).unionByName(listed.withColumn("listed", F.lit(True)))
+    chosen = chosen.groupBy(*PERSON, "pos").agg(F.max("first_pos").alias("first_pos"), F.max("listed").alias("listed"))
+    fetched = candidates.select(*PERSON, "pos", "exchange", "score").join(chosen, [*PERSON, "pos"]).withColumn("texts", _texts(F.col("exchange")))
+    down = (-F.col("score")).alias("down")
+    lists = fetched.groupBy(*PERSON).agg(
+        F.array_sort(F.collect_list(F.when(F.col("first_pos").isNotNull(), F.struct(down, "first_pos", "exchange", "texts")))).alias("_best"),
+        F.array_sort(F.collect_list(F.when(F.col("listed"), F.struct(down, "pos", "exchange", "texts")))).alias("_more"),
     )
     empty = F.array().cast(
         "array<struct<exchange:array<struct<sender:string,text:string>>,texts:array<string>,score:bigint>>"
@@ -148,22 +176,13 @@ def voice_samples(candidates: DataFrame, at_least: int = 5, at_most: int = 8) ->
         entry = F.struct(item["exchange"].alias("exchange"), item["texts"].alias("texts"), (-item["down"]).alias("score"))
         return F.when(copy, acc).otherwise(F.array_append(acc, entry))
 
-    kept = best.groupBy(*PERSON).agg(F.aggregate(ordered, empty, keep).alias("samples"))
-
     def add(acc: Column, item: Column) -> Column:
         there = F.exists(acc, lambda k: _alike(k["texts"], item["texts"]))
         entry = F.struct(item["exchange"].alias("exchange"), item["texts"].alias("texts"), F.lit(0).cast("bigint").alias("score"))
         return F.when((F.size(acc) >= at_least) | there, acc).otherwise(F.array_append(acc, entry))
 
-    by_texts = (
-        pool.groupBy(*PERSON, "texts")
-        .agg(F.max_by(F.struct("exchange", "score", "pos"), F.struct(F.col("score"), -F.col("pos"))).alias("_b"))
-        .select(*PERSON, "texts", "_b.exchange", "_b.score", "_b.pos")
-    )
-    item = F.struct((-F.col("score")).alias("down"), "pos", "exchange", "texts")
-    more = shortlist(by_texts, at_least).groupBy(*PERSON).agg(F.array_sort(F.collect_list(item)).alias("_more"))
-    kept = kept.join(more, PERSON).select(*PERSON, F.aggregate("_more", F.col("samples"), add).alias("samples"))
-    return kept.withColumn("samples", F.slice("samples", 1, at_most))
+    kept = F.aggregate("_best", empty, keep)
+    return lists.select(*PERSON, F.slice(F.aggregate("_more", kept, add), 1, at_most).alias("samples"))
 
 
 def labelled_samples(samples: DataFrame, labels: DataFrame | None = None) -> DataFrame:

@@ -266,6 +266,21 @@ def test_short_list_holds_all_that_a_scan_adds(spark, seed):
     assert [([(m["sender"], m["text"]) for m in s["exchange"]], s["score"]) for s in got] == kept
 
 
+def test_a_message_is_examined_once_and_not_in_every_window(spark):
+    """Patterns and keywords are asked for below the window that hands a message to ten exchanges."""
+    df = spark.createDataFrame([], "workspace_id string, pos bigint, sender string, text string")
+    lines = voice.voice_candidates(df, 16)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    window = next(i for i, line in enumerate(lines) if "Window [" in line)
+    costly = [i for i, line in enumerate(lines) if "RLIKE" in line or "Contains(" in line or "regexp" in line]
+    assert costly and min(costly) > window
+
+
+def test_samples_are_chosen_without_their_texts(spark):
+    kind = "workspace_id string, sender string, pos bigint, exchange array<struct<sender:string,text:string>>, topic string, score bigint"
+    plan = voice.voice_samples(spark.createDataFrame([], kind))._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [" in line and "exchange" in line for line in plan.split("\n")) == 1
+
+
 def test_plan_of_samples_does_not_grow_with_their_number(spark):
     kind = "workspace_id string, sender string, pos bigint, exchange array<struct<sender:string,text:string>>, topic string, score bigint"
     df = spark.createDataFrame([], kind)

@@ -167,3 +167,20 @@ def test_exchange_overlap_of_texts_and_words(spark, scratch):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{scratch}/conversations.parquet/*.parquet'")
     assert sorted(con.execute(f"select {', '.join(names)} from ({sql}) x").fetchall()) == got
+
+
+def test_marks_of_parts_are_those_of_the_joined_text(spark):
+    parts = [["yaar, PUSH the code", "kal exam"], ["result", "Paper"], ["zzz", "\u212aal"], ["bro", "yaar", "sad tired rest"]]
+    df = spark.createDataFrame([(p, " ".join(p)) for p in parts], "parts array<string>, joined string")
+    got = df.select(
+        tx.topic_of_marks(F.transform("parts", lambda p: tx.topic_marks(p))).alias("a"), tx.topic_bucket(F.col("joined")).alias("b"), tx.topic_bucket(F.lit(None).cast("string")).alias("none")
+    ).collect()
+    assert [r.a for r in got] == [r.b for r in got] == ["project_work", "academic", "scheduling", "social_casual"]
+    assert all(r.none is None for r in got)
+
+
+def test_two_words(spark):
+    texts = ["", " ", "a", " a ", "a b", "a\nb", "\u00a0a\u2003\u2003b", "\x1ca\x1d", "a\u200bb", "a   "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select(tx.has_two_words(F.col("t")).alias("a"), (tx.word_count(F.col("t")) > 1).alias("b")).collect():
+        assert r.a == r.b
