@@ -36,6 +36,8 @@ PACKED_NUMBERS = 20_000_000
 # What the packed search works on at once, however many rows and words an Arrow batch has.
 SCORED_NUMBERS = 1_000_000
 RUN_TOKENS = 250_000
+# Scores, and values of vectors, that the packed cosine search holds at once.
+VECTOR_NUMBERS = 4_000_000
 # Cells of the large-request path: requests and embedding values per cell.
 CELL_REQUESTS = 2048
 CELL_VALUES = 1 << 25
@@ -274,7 +276,10 @@ def cosine_topk(
         for code in np.unique(row_scope[row_scope >= 0]):
             here = np.flatnonzero(row_scope == code)
             wanted, matrix_ = blocks_[code]
-            yield _units(lists.take(pa.array(here)), matrix_.shape[1]) @ matrix_.T, here, wanted
+            rows_at_once = max(1, VECTOR_NUMBERS // max(matrix_.shape))
+            for start in range(0, len(here), rows_at_once):
+                run = here[start : start + rows_at_once]
+                yield _units(lists.take(pa.array(run)), matrix_.shape[1]) @ matrix_.T, run, wanted
 
     return local_topk(rows, score, arrow_ids([r.query_id for r in small], id_type), schema, k)
 

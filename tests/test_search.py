@@ -110,6 +110,20 @@ def test_cosine(vecs, person, path, monkeypatch):
     assert got == brute_cosine(rows, asked, 9, person)
 
 
+def test_packed_cosine_works_on_bounded_runs(vecs, monkeypatch):
+    """The matrices held at once do not follow the batch, every row is scored once, and the hits stay the same."""
+    rows, asked, v, q = vecs
+    monkeypatch.setattr(search, "VECTOR_NUMBERS", 60)
+    assert [r.message_id for r in search.cosine_topk(v, q, 9).filter("query_id = 'q1'").orderBy("rank").collect()] == brute_cosine(rows, asked, 9, False)["q1"]
+    caught = []
+    monkeypatch.setattr(search, "local_topk", lambda table, score, *_: caught.extend([table, score]))
+    search.cosine_topk(v, q, 9)
+    batch = caught[0].toArrow().combine_chunks().to_batches()[0]
+    runs = [(scores.shape, here) for scores, here, _ in caught[1](batch)]
+    assert max(n * m for (n, m), _ in runs) <= 60 and len(runs) > 1
+    assert sorted(i for _, here in runs for i in here) == [i for i, w in enumerate(batch["_scope"].to_pylist()) if "w" in w.split('"workspace_id":')[1]]
+
+
 def test_ann_finds_most_and_scores_exactly(spark, vecs):
     rows, asked, v, q = vecs
     one = v.filter("workspace_id = 'w'")
