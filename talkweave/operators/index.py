@@ -1,12 +1,13 @@
 """A stored BM25 index and searches that read only it.
 
 The messages of a workspace are dealt into ranges: by length, as short messages score highest, then by a hash.  A
-posting holds the final weight of a term in a message, so a search adds stored numbers and needs no statistics.
-Postings of one term and range are one row, a block, with the largest weight (``top``) beside it; a range, and so a
+posting holds the count of a term in a message and the message's length, small numbers that pack well.  Postings of one
+term and range are one row, a block, with the largest share of a score (``top``) beside it; a range, and so a
 block, holds about ``RANGE_MESSAGES`` messages, or fewer long ones.  Files are cut into buckets of terms and sorted by term,
 so a search opens the buckets of its terms and skips row groups of others.
 
-A search reads the tops first.  Their sum over the terms of a query bounds every message of a range.  The ranges with
+A search reads the block heads first: their sizes add up to the ``idf`` of its terms, the only statistics it needs, and
+the sum of ``idf`` times ``top`` over the terms of a query bounds every message of a range.  The ranges with
 the best bounds are scored; the k-th score found there is a bar, and only ranges whose bound reaches it are scored as
 well.  A range is scored in one task for all queries that ask it, and ``k`` rows per query leave it.
 """
@@ -32,7 +33,7 @@ BUCKETS, BUCKET_FILES = 64, 8
 FIRST_RANGES = 2
 # Rows of statistics that may travel to every task.
 SMALL_STATS = 100_000
-# Sums of stored weights may differ in the last digits; a bound must not fall below what it bounds.
+# Sums of weights may differ in the last digits; a bound must not fall below what it bounds.
 SLACK = 1e-6
 _RANGE = ["workspace_id", "band", "part"]
 
@@ -45,6 +46,11 @@ def _band(length: Column) -> Column:
     return F.floor(F.log2(length + 1) * 2).cast("int")
 
 
+def bounded(small: DataFrame) -> DataFrame:
+    """``small``, marked for broadcast if its rows may travel to every task."""
+    return F.broadcast(small) if packed(small, SMALL_STATS) is not None else small
+
+
 def length_stats(token_table: DataFrame) -> DataFrame:
     """``workspace_id, band, docs, sized, words, parts``, one row per workspace and band of lengths.
 
@@ -72,10 +78,7 @@ def dealt(token_table: DataFrame, lengths: DataFrame) -> DataFrame:
     rows = token_table.filter("workspace_id is not null").select(
         "workspace_id", "message_id", F.array_join("terms", " ").alias("words"), _band(length).alias("band")
     )
-    parts = lengths.select("workspace_id", "band", "parts")
-    if packed(parts.select("band"), SMALL_STATS) is not None:
-        parts = F.broadcast(parts)
-    placed = rows.join(parts, ["workspace_id", "band"], "left")
+    placed = rows.join(bounded(lengths.select("workspace_id", "band", "parts")), ["workspace_id", "band"], "left")
     return placed.select(*_RANGE[:2], F.pmod(F.xxhash64("message_id"), F.col("parts")).alias("part"), "message_id", "words")
 
 
@@ -134,22 +137,30 @@ def counted_postings(token_table: DataFrame) -> DataFrame:
     """
     lengths = length_stats(token_table)
     messages = dealt(token_table, lengths)
-    stats = term_counts(messages).join(F.broadcast(workspace_stats(lengths)) if packed(lengths.select("band"), SMALL_STATS) is not None else workspace_stats(lengths), "workspace_id")
+    stats = term_counts(messages).join(bounded(workspace_stats(lengths)), "workspace_id")
     stats = stats.select("workspace_id", "term", "df", idf(F.col("docs"), F.col("df")).alias("idf"), "avgdl")
     return range_postings(messages).join(stats, ["workspace_id", "term"])
 
 
-def index_blocks(corpus: DataFrame) -> DataFrame:
-    """``workspace_id, band, part, term, bucket, top, size, ids, weights``: one row per term and range."""
-    posted = counted_postings(tokenised(corpus.filter("workspace_id is not null and message_id is not null")))
+def share(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a posting adds to a score, but for the ``idf`` of its term."""
+    return tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * dl / avgdl), F.lit(1e-9))
 
-    def weight(count: Column, dl: Column) -> Column:
-        tf = count.cast("double")
-        return F.col("idf") * tf * (K1 + 1) / F.greatest(tf + K1 * (1 - B + B * dl / F.col("avgdl")), F.lit(1e-9))
 
-    blocks = posted.withColumn("weights", F.zip_with("tfs", "dls", weight))
-    return blocks.select(
-        "workspace_id", "band", "part", "term", term_bucket(F.col("term")).alias("bucket"), F.array_max("weights").alias("top"), "size", "ids", "weights"
+def index_blocks(corpus: DataFrame) -> DataFrame:
+    """``workspace_id, band, part, term, bucket, top, size, docs, avgdl, ids, tfs, dls``: one row per term and range.
+
+    ``docs`` and ``avgdl`` are those of the workspace; as columns of equal values they take no room in a file.  Rows come
+    dealt to files, which is the only shuffle of postings: ``top`` and ``size`` are found behind it.
+    """
+    token_table = tokenised(corpus.filter("workspace_id is not null and message_id is not null"))
+    lengths = length_stats(token_table)
+    posted = range_postings(dealt(token_table, lengths)).drop("size")
+    known = posted.join(bounded(workspace_stats(lengths)), "workspace_id").withColumn("bucket", term_bucket(F.col("term")))
+    placed = known.repartition("bucket", F.pmod(F.xxhash64(*_RANGE), F.lit(BUCKET_FILES)))
+    shares = F.zip_with("tfs", "dls", lambda tf, dl: share(tf.cast("double"), dl, F.col("avgdl")))
+    return placed.select(
+        *_RANGE, "term", "bucket", F.array_max(shares).alias("top"), F.size("ids").alias("size"), "docs", "avgdl", "ids", "tfs", "dls"
     )
 
 
@@ -158,14 +169,8 @@ def write_index(corpus: DataFrame, path: str) -> None:
 
     Message ids are unique within a workspace.
     """
-    blocks = index_blocks(corpus)
-    (
-        blocks.repartition("bucket", F.pmod(F.xxhash64(*_RANGE), F.lit(BUCKET_FILES)))
-        .sortWithinPartitions("bucket", "term", "workspace_id", "band", "part")
-        .write.mode("overwrite")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    blocks = index_blocks(corpus).sortWithinPartitions("bucket", "term", "workspace_id", "band", "part")
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -180,21 +185,35 @@ class Index:
     id_type: str = "bigint"
 
     def blocks(self) -> DataFrame:
-        columns = "workspace_id string, band int, part bigint, term string, top double, size int, weights array<double>, bucket int"
-        return self.spark.read.schema(f"{columns}, ids array<{self.id_type}>").parquet(self.path)
+        heads = "workspace_id string, band int, part bigint, term string, top double, size int, docs bigint, avgdl double, bucket int"
+        return self.spark.read.schema(f"{heads}, ids array<{self.id_type}>, tfs array<int>, dls array<int>").parquet(self.path)
 
     def search(self, queries: DataFrame, k: int = 20) -> DataFrame:
         return index_topk(self.blocks(), queries, k)
 
 
+_TERM = ["bucket", "workspace_id", "term"]
+
+
+def weighted(blocks: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id, workspace_id, term, bucket, idf, avgdl`` of the terms that the index holds, from its block heads."""
+    if "idf" in terms.columns:
+        return terms
+    terms = terms.withColumn("bucket", term_bucket(F.col("term")))
+    heads = blocks.join(bounded(terms.select(*_TERM).distinct()), _TERM, "left_semi")
+    counts = heads.groupBy(*_TERM).agg(F.sum("size").alias("df"), F.first("docs").alias("docs"), F.first("avgdl").alias("avgdl"))
+    return terms.join(counts.select(*_TERM, idf(F.col("docs"), F.col("df")).alias("idf"), "avgdl"), _TERM)
+
+
 def asked_ranges(blocks: DataFrame, terms: DataFrame) -> DataFrame:
     """``query_id, workspace_id, band, part, bound, postings``: what a query may find in each range.
 
-    Reads the block heads only: no ids, no weights.
+    Reads the block heads only: no ids, no counts.
     """
-    heads = blocks.select(*_RANGE, "term", "bucket", "top", "size")
-    met = heads.join(terms.withColumn("bucket", term_bucket(F.col("term"))), ["bucket", "workspace_id", "term"])
-    return met.groupBy("query_id", *_RANGE).agg((F.sum(F.greatest("top", F.lit(0.0))) + SLACK).alias("bound"), F.sum("size").alias("postings"))
+    terms = weighted(blocks, terms)
+    met = blocks.select(*_RANGE, "term", "bucket", "top", "size").join(bounded(terms), _TERM)
+    bound = F.sum(F.greatest(F.col("idf") * F.col("top"), F.lit(0.0))) + SLACK
+    return met.groupBy("query_id", *_RANGE).agg(bound.alias("bound"), F.sum("size").alias("postings"))
 
 
 def _scored(id_type: pa.DataType, query_type: pa.DataType, k: int):
@@ -211,19 +230,21 @@ def _scored(id_type: pa.DataType, query_type: pa.DataType, k: int):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         at = place[coded.indices.to_numpy()]
-        weights = held.column("weights").combine_chunks().flatten().to_numpy()
+        tf, dl = (held.column(c).combine_chunks().flatten().to_numpy().astype(float) for c in ("tfs", "dls"))
         edges = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
         rows = {term: (edges[i], edges[i + 1]) for i, term in enumerate(held.column("term").to_pylist())}
+        avgdl = asked.column("avgdl")[0].as_py()
+        shares = tf * (K1 + 1) / np.maximum(tf + K1 * (1 - B + B * dl / avgdl), 1e-9)
         terms: dict = {}
-        for query, term in zip(asked.column("query_id").to_pylist(), asked.column("term").to_pylist(), strict=True):
-            terms.setdefault(query, []).append(term)
+        for query, term, idf_ in zip(*(asked.column(c).to_pylist() for c in ("query_id", "term", "idf")), strict=True):
+            terms.setdefault(query, []).append((term, idf_))
         queries, found, scores = [], [], []
         for query, own in terms.items():
             total = np.zeros(len(order))
-            for term in sorted(own):
+            for term, idf_ in sorted(own):
                 if term in rows:
                     low, high = rows[term]
-                    total[at[low:high]] += weights[low:high]
+                    total[at[low:high]] += idf_ * shares[low:high]
             total = np.round(total, SCORE_DIGITS)
             best = np.argsort(-total, kind="stable")[:k]
             best = best[total[best] > 0]
@@ -240,13 +261,17 @@ _ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigi
 
 
 def score_ranges(blocks: DataFrame, terms: DataFrame, ranges: DataFrame, k: int) -> DataFrame:
-    """``query_id, message_id, score``: at most ``k`` rows of every query and range."""
+    """``query_id, message_id, score``: at most ``k`` rows of every query and range.
+
+    Blocks of other terms are left where they lie; what is shuffled is the blocks of the terms, once, by their range.
+    """
+    terms = weighted(blocks, terms)
     id_type = blocks.schema["ids"].dataType.elementType.simpleString()
     query_type = ddl(terms.schema["query_id"])
-    asked = ranges.select("query_id", *_RANGE).join(terms, ["query_id", "workspace_id"])
-    wanted = asked.select(*_RANGE, "term").distinct().withColumn("bucket", term_bucket(F.col("term")))
-    held = blocks.join(wanted, ["bucket", "term", *_RANGE], "left_semi").select(*_RANGE, "term", "ids", "weights")
-    anew = asked.select(*[F.col(c).alias(c) for c in (*_RANGE, "query_id", "term")])
+    asked = ranges.select("query_id", *_RANGE).join(bounded(terms), ["query_id", "workspace_id"])
+    held = blocks.join(bounded(terms.select(*_TERM).distinct()), _TERM, "left_semi").join(ranges.select(*_RANGE).distinct(), _RANGE, "left_semi")
+    held = held.select(*_RANGE, "term", "ids", "tfs", "dls")
+    anew = asked.select(*[F.col(c).alias(c) for c in (*_RANGE, "query_id", "term", "idf", "avgdl")])
     pairs = held.groupBy(*_RANGE).cogroup(anew.groupBy(*_RANGE))
     return pairs.applyInArrow(_scored(_ARROW[id_type], _ARROW[query_type], k), f"query_id {query_type}, message_id {id_type}, score double")
 
@@ -257,7 +282,7 @@ def index_topk(blocks: DataFrame, queries: DataFrame, k: int = 20, first: int =
     ``queries``: ``query_id, workspace_id, text``; a query id lies in one workspace.  The same rows as a search of the
     corpus that was indexed.
     """
-    terms = query_terms(queries)
+    terms = materialise(weighted(blocks, query_terms(queries)))
     ranges = asked_ranges(blocks, terms)
     order = [F.col("bound").desc(), F.col("band"), F.col("part")]
     best = top_rows(ranges, ["query_id"], order, first).drop("rank")

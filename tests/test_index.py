@@ -95,3 +95,20 @@ def test_postings_of_ranges_shuffle_no_row_per_word(spark, rows, monkeypatch):
     assert all(stats[r.workspace_id, r.term] == (r.df, r.idf, r.avgdl) for r in told if r.workspace_id != "odd")
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_postings_are_shuffled_once_and_searches_leave_other_terms_in_place(spark, scratch, rows, monkeypatch):
+    corpus = spark.createDataFrame(rows, "workspace_id string, message_id bigint, text string")
+    plan = index.index_blocks(corpus)._jdf.queryExecution().executedPlan().toString()
+    # Postings are made once and dealt to their files; no join moves them before.
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Exchange hashpartitioning(bucket") == 1 and "SortMergeJoin" not in plan
+    made = built(spark, scratch, rows, monkeypatch, 64)
+    physical = made.search(asked(spark), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [bucket" in physical and "SortMergeJoin [bucket" not in physical
+
+
+def test_more_terms_than_may_travel(spark, scratch, rows, monkeypatch):
+    monkeypatch.setattr(index, "SMALL_STATS", 0)
+    found = built(spark, scratch, rows, monkeypatch, 16).search(asked(spark), 7).orderBy("rank").collect()
+    for query, ws, text in QUERIES:
+        assert [r["message_id"] for r in found if r["query_id"] == query] == [i for _, i in brute_bm25(rows, ws, text, 7)]
