@@ -235,6 +235,16 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_secrets_match_each_text_once(spark):
+    """No pattern is matched again for its groups, its places or a block of them, and the conditions before it miss nothing."""
+    plan = spark.range(1).selectExpr("'' as text").select(secrets.candidates(F.col("text")))._jdf.queryExecution().logical().toString()
+    assert plan.count("regexp_extract_all(") == len(secrets.PATTERNS)
+    texts = [f"{a * n}{d}{b * (m - n)}" for a, d, b in (("A", "1", "B"), ("a", "7", "Z"), ("-", "0", "Q")) for m in (15, 16, 23, 24, 31, 32) for n in (0, 7, 8, 9, m)]
+    texts = [f"{t} password=abcdefghijkl" for t in texts] + ["abcdefabcdefabcd", "key AKIA" + "Z" * 14, "token =  'abc.def.ghi.", "token=abcdefghijk", "HTTP://h http://h secret:" + "b" * 12]
+    got = secrets.find_secrets(table(spark, texts)).orderBy("id").collect()
+    assert [[(s.begin, s.rank, s.end, s.kind) for s in r.spans] for r in got] == [secrets_by_hand(t) for t in texts]
+
+
 def test_quotes(spark):
     talk = [
         (1, 0, "a", "Shall we  meet?\n\nBring tea."), (1, 1, "b", "Other matter."), (1, 2, "c", "Ann wrote:\n> shall we meet?\nYes."),
