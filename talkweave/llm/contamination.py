@@ -23,7 +23,7 @@ from talkweave.llm.rows import col, cut, identified, written
 
 WIDTH = 10
 BROADCAST_BYTES = 16 << 20
-TERM = r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"
+BETWEEN_TERMS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 EXTRA_ANCHORS = 3
 
 
@@ -31,7 +31,8 @@ def terms(text: Column) -> Column:
     # On ASCII alone ``lower`` does the same as the slower ``translate``.
     plain = F.octet_length(text) == F.length(text)
     lowered = F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(1)), F.array().cast("array<string>"))
+    # Splitting takes a fraction of the time that extracting each term does; ends of a text that are no term leave empty strings.
+    return F.coalesce(F.array_remove(F.split(lowered, BETWEEN_TERMS), ""), F.array().cast("array<string>"))
 
 
 def is_small(small: DataFrame, text: str) -> bool:

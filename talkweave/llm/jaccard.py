@@ -35,6 +35,8 @@ from talkweave.llm.rows import by_size, components, cut, identified
 GROUPS = 128
 FAN = 16
 SMALL_KEY, HOT_KEY = 24, 1 << 16
+# Digests of eight bytes that may travel to every task.
+SENT_DIGESTS = 1_000_000
 LEAF = 2048
 LEAF_BYTES = 32 << 20
 SEGMENT = 1 << 16
@@ -112,8 +114,10 @@ def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         data, offsets = w.flat(column.slice(low, high - low))
         row, hashes = w.hashed(data, offsets, fold=True)
         edge = w.bounds(row, high - low)
-        for i in range(high - low):
-            yield w.shingles(hashes[edge[i] : edge[i + 1]], width)
+        # Runs of all texts at once; those that begin in one text and end in another are left out.
+        runs = w.runs(hashes, width)
+        for first, last in zip(edge[:-1], edge[1:], strict=True):
+            yield np.unique(runs[first : last - width + 1]) if last - first >= width else w.shingles(hashes[first:last], width)
 
 
 def _node(grams: np.ndarray) -> int:
@@ -325,24 +329,31 @@ def connect(labels: list[int], sets: list[np.ndarray], points: np.ndarray, sizes
             yield labels[x], labels[y]
 
 
-def _pointed(width: int):
-    """Size, point and deflated text of each row's set."""
+def _deflated(batches):
+    """Members with their points unpacked and their texts deflated."""
+    for batch in batches:
+        points = [_point(x) for x in batch.column("point").to_pylist()]
+        flat = np.concatenate(points) if points else np.zeros(0, np.int32)
+        offsets = pa.array(np.arange(len(points) + 1, dtype=np.int32) * GROUPS)
+        bodies = [zlib.compress((text or "").encode(), 1) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("cluster"), batch.column("node"), batch.column("n"), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(bodies, pa.binary())],
+            ["cluster", "node", "n", "point", "body"],
+        )
 
-    def run(batches):
-        for batch in batches:
-            sizes, points = [], []
-            for grams in _sets(batch.column("text"), width):
-                sizes.append(len(grams))
-                points.append(point_of(grams).astype(np.int32))
-            flat = np.concatenate(points) if points else np.zeros(0, np.int32)
-            offsets = pa.array(np.arange(len(points) + 1, dtype=np.int32) * GROUPS)
-            bodies = [zlib.compress((text.as_py() or "").encode(), 1) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(bodies, pa.binary())],
-                ["id", "digest", "n", "point", "body"],
-            )
 
-    return run
+def _members(rows: DataFrame, holders: DataFrame) -> DataFrame:
+    """``cluster, node, n, point, body`` of the ``holders``, each with its text.
+
+    Where the holders' digests may travel to every task, texts of no holder are left where they lie.
+    """
+    wanted = holders.select("digest").distinct()
+    if wanted.limit(SENT_DIGESTS + 1).count() <= SENT_DIGESTS:
+        rows = rows.join(F.broadcast(wanted), "digest", "left_semi")
+    # Rows of one id and digest have one set; the leaves skip all but the first.
+    left, right = rows.alias("l"), holders.alias("r")
+    met = left.join(right, F.col("l.id").eqNullSafe(F.col("r.id")) & (F.col("l.digest") == F.col("r.digest")))
+    return met.select("cluster", "node", "n", "point", "text").mapInArrow(_deflated, "cluster bigint, node bigint, n bigint, point array<int>, body binary")
 
 
 def _sets_of(bodies: list[bytes], width: int) -> list[np.ndarray]:
@@ -492,14 +503,12 @@ def near_copies(
     sent = docs.sparkSession.sparkContext.broadcast(classes)
     cells = rows.select("text").mapInArrow(_cells(width, percent, sent), "key bigint, node bigint")
     clusters = components(united_mates(cells, info, percent))
-    holders = info.select("id", "digest", "node").join(clusters, "node").groupBy("node").agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("best"), F.first("component").alias("cluster")
-    )
-    points = rows.mapInArrow(_pointed(width), f"id {kind}, digest bigint, n bigint, point array<int>, body binary").where("n > 0")
-    best = holders.select(F.col("best.id").alias("best_id"), F.col("best.digest").alias("best_digest"), "node", "cluster")
-    members = points.join(best, F.col("id").eqNullSafe(F.col("best_id")) & (F.col("digest") == F.col("best_digest")))
-    members = members.select("cluster", "node", "n", "point", "body")
-    labels = _labelled(_packed(members, percent, width, leaf), percent, width, leaf)
+    holders = info.join(clusters, "node").groupBy("node").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "digest")).alias("best"),
+        F.first("component").alias("cluster"), F.first("n").alias("n"), F.first("point").alias("point"),
+    )
+    holders = cut(holders.select(F.col("best.id").alias("id"), F.col("best.digest").alias("digest"), "node", "cluster", "n", "point"))
+    labels = _labelled(_packed(_members(rows, holders), percent, width, leaf), percent, width, leaf)
     placed = info.select("id", "digest", "n", "node").join(labels, "node", "left").select(
         "id", "digest", "n", F.coalesce("label", "node").alias("label")
     )

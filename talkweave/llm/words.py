@@ -96,13 +96,14 @@ def bounds(row: np.ndarray, rows: int) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(counts(row, rows))])
 
 
+def runs(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` words from each place on, as long as there are as many."""
+    total = np.full(max(0, len(words) - size + 1), size, np.uint64) * _STEP
+    for i in range(size):
+        total = mix(total + words[i : len(total) + i])
+    return total
+
+
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of the distinct runs of ``width`` words; a shorter text is one run, no text none."""
-    n = len(words)
-    if n == 0:
-        return words
-    size = min(width, n)
-    total = np.full(n - size + 1, size, np.uint64) * _STEP
-    for i in range(size):
-        total = mix(total + words[i : n - size + 1 + i])
-    return np.unique(total)
+    return np.unique(runs(words, min(width, len(words)))) if len(words) else words

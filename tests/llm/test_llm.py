@@ -235,6 +235,35 @@ def test_secrets(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_terms_are_split_and_not_extracted_one_by_one(spark):
+    texts = ["", None, "  ", "!a B\x7f0é😀c-", "Éa,,b", "...x", "q\x80r", ":/@[`{ K", "one", "Two  three."]
+    found = table(spark, texts).select("doc_id", contamination.terms(F.col("text")).alias("terms"))
+    assert "regexp_extract" not in found._jdf.queryExecution().toString()
+    assert [r["terms"] for r in found.orderBy("doc_id").collect()] == [TERM.findall((t or "").translate(LOWER)) for t in texts]
+
+
+def test_texts_that_share_no_key_are_not_shuffled(spark, monkeypatch):
+    docs = rows.identified(table(spark, ["a b c d e f", "g h i", None, "j k"]), "doc_id", "text")
+    point = F.lit(jaccard._packed_point(jaccard.point_of(np.arange(3, dtype=np.uint64))))
+    held = docs.where("id in (1, 3)").select("id", "digest", F.col("id").alias("node"), F.lit(7).cast("bigint").alias("cluster"), F.lit(3).cast("bigint").alias("n"), point.alias("point"))
+    members = jaccard._members(docs, held)
+    assert "BroadcastHashJoin [digest" in members._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(jaccard, "SENT_DIGESTS", 0)
+    for found in (members, jaccard._members(docs, held)):
+        got = {r["node"]: (r["cluster"], r["n"], sum(r["point"]), len(r["point"]), jaccard._sets_of([bytes(r["body"])], 2)[0].tolist()) for r in found.collect()}
+        assert got == {i: (7, 3, 3, jaccard.GROUPS, next(jaccard._sets(pa.array([t]), 2)).tolist()) for i, t in ((1, "g h i"), (3, "j k"))}
+
+
+def test_runs_of_many_texts_are_those_of_each():
+    texts = ["a b c", None, "", "a", "b c a b c a", "c " * 9, "a b c d e"]
+    for width in (1, 3, 5):
+        for text, got in zip(texts, jaccard._sets(pa.array(texts), width), strict=True):
+            hashes = words.hashed(*words.flat(pa.array([text], pa.string())), fold=True)[1]
+            assert got.tolist() == words.shingles(hashes, width).tolist()
+    data = words.hashed(*words.flat(pa.array(["a b c d"])), fold=True)[1]
+    assert len(words.runs(data, 3)) == 2 and len(words.runs(data, 5)) == 0
+
+
 def test_secrets_match_each_text_once(spark):
     """No pattern is matched again for its groups, its places or a block of them, and the conditions before it miss nothing."""
     plan = spark.range(1).selectExpr("'' as text").select(secrets.candidates(F.col("text")))._jdf.queryExecution().logical().toString()
